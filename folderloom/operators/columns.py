@@ -17,14 +17,23 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def clean_header(spark: SparkSession, header: Sequence[str], dialect: str = "current") -> list[str]:
-    """Clean one header. Only the header, never data, comes to the driver."""
-    if not header:
+def clean_headers(spark: SparkSession, headers: Sequence[Sequence[str]], dialect: str = "current",
+                  duplicates: str = "merge") -> list[list[str]]:
+    """Clean headers in one job. Only headers, never data, come to the driver.
+
+    ``duplicates`` is ``merge`` (colliding names stay equal) or ``suffix``.
+    """
+    if not headers:
         return []
-    one = spark.createDataFrame([(list(header),)], "header array<string>")
-    rows = one.select(F.posexplode_outer("header").alias("i", "name"))
-    cleaned = rows.select("i", names.clean_identifier("name", dialect).alias("clean"))
-    return [r.clean for r in sorted(cleaned.collect(), key=lambda r: r.i)]
+    rows = spark.createDataFrame([(i, list(h)) for i, h in enumerate(headers)], "i int, header array<string>")
+    cleaned = names.clean_header_cells("header", dialect)
+    if duplicates == "suffix":
+        cleaned = names.suffix_duplicates(cleaned)
+    return [r.header for r in sorted(rows.select("i", cleaned.alias("header")).collect(), key=lambda r: r.i)]
+
+
+def clean_header(spark: SparkSession, header: Sequence[str], dialect: str = "current") -> list[str]:
+    return clean_headers(spark, [header], dialect)[0]
 
 
 def _positional(df: DataFrame) -> DataFrame:
@@ -50,8 +59,7 @@ def normalize_columns(df: DataFrame, dialect: str = "current") -> DataFrame:
 
 def suffix_columns(df: DataFrame) -> DataFrame:
     """Clean all column names and keep colliding ones apart with ``_1``, ``_2`` and so on."""
-    cleaned = clean_header(df.sparkSession, df.columns, "suffix")
-    return df.toDF(*_resolved(df.sparkSession, cleaned, names.suffix_duplicates))
+    return df.toDF(*clean_headers(df.sparkSession, [df.columns], "suffix", "suffix")[0])
 
 
 def _resolved(spark: SparkSession, header: Sequence[str], rule) -> list[str]:

@@ -81,8 +81,9 @@ def infer_schema(df: DataFrame, by: Sequence[str], columns: Sequence[str], compa
 
 def with_empty_columns(inferred: DataFrame, headers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the header columns that hold no value at all, as TEXT."""
-    filled = headers.select(*keys).distinct().join(inferred, list(keys), "left")
-    return filled.withColumn("sql_type", F.coalesce("sql_type", F.lit("TEXT")))
+    types = inferred.select(*keys, "sql_type")
+    empty = headers.select(*keys).distinct().join(types, list(keys), "left_anti")
+    return types.unionByName(empty.withColumn("sql_type", F.lit("TEXT")))
 
 
 def infer_majority(cell_rows: DataFrame, by: Sequence[str], totals: DataFrame | None = None) -> DataFrame:
