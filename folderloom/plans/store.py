@@ -229,7 +229,10 @@ class Store:
 
         A hash undoes that version of the file only. Returns the report of what was removed.
         """
-        chosen = self._chosen(table, selector, by)
+        return self.revert_imports(self._chosen(table, selector, by), backup)
+
+    def revert_imports(self, chosen: DataFrame, backup: bool = False) -> DataFrame:
+        """Undo any selection of ``imports()`` at once."""
         run = f"revert-{uuid.uuid4().hex}"
         if backup:
             for r in chosen.select("table_name").distinct().collect():

@@ -15,6 +15,9 @@ from folderloom.plans.store import Store, safe_run_name
 from folderloom.sources import files as file_source
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def ingest_stream(store: Store, root: str, checkpoint: str, fmt: str = "csv", options: Options | None = None,
                   files_per_trigger: int = 1000, interval: str | None = None, **kw):
     """Start the stream. Without ``interval`` it takes all files that are there and ends; with it,
@@ -29,7 +32,7 @@ def ingest_stream(store: Store, root: str, checkpoint: str, fmt: str = "csv", op
         ingest_files(store, root, found, fmt, options, run=safe_run_name(f"stream-{fmt}-{checkpoint}-{batch_id}"))
 
     source = (
-        store.spark.readStream.format("binaryFile")
+        store.spark.readStream.format("binaryFile").schema(BINARY_FILE)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(root)
