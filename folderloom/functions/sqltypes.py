@@ -106,18 +106,19 @@ def resolve(current: str, incoming: str, policy: str = "lub") -> str:
     raise ValueError(f"unknown policy {policy!r}; use one of {POLICIES}")
 
 
+def _pairs(policy: str) -> list[tuple[str, str, str]]:
+    known = (*ALL_TYPES, "VARCHAR")
+    return [(a, b, resolve(a, b, policy)) for a, b in product(known, known)]
+
+
 def widening_table(spark: SparkSession, policy: str) -> DataFrame:
-    """All type pairs with the resolved type; at most the square of the number of types."""
-    names = (*ALL_TYPES, "VARCHAR")
-    rows = [(a, b, resolve(a, b, policy)) for a, b in product(names, names)]
-    return spark.createDataFrame(rows, "current_type string, incoming_type string, resolved_type string")
+    """All type pairs with the resolved type; as many rows as the square of the number of types."""
+    return spark.createDataFrame(_pairs(policy), "current_type string, incoming_type string, resolved_type string")
 
 
 def resolve_column(current: Column | str, incoming: Column | str, policy: str = "lub") -> Column:
     """``resolve`` over two type-name columns, as one literal map lookup."""
-    names = (*ALL_TYPES, "VARCHAR")
-    pairs = {f"{a}>{b}": resolve(a, b, policy) for a, b in product(names, names)}
-    lookup = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    lookup = F.expr("map(" + ", ".join(f"'{a}>{b}', '{r}'" for a, b, r in _pairs(policy)) + ")")
     a, b = as_column(current), as_column(incoming)
     fallback = a if policy in ("ranked", "safe") else F.lit("TEXT")
     known = F.try_element_at(lookup, F.concat_ws(">", a, b))

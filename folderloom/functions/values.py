@@ -21,17 +21,24 @@ DATE_PREFIXES = (
     r"^\d{1,2}/\d{1,2}/\d{2,4}",
 )
 NUMERIC_NOISE = "$,%"
-TRUE_WORDS = ("true", "yes", "y", "1", "t")
-FALSE_WORDS = ("false", "no", "n", "0", "f")
 BOOLEAN_VOTE_WORDS = ("true", "false", "yes", "no", "y", "n", "1", "0")
 
-_DIGITS = r"\d+(?:_\d+)*"
+# Numbers as written without decoration; most values take this short way.
+_PLAIN = r"^[+-]?\d+(?:\.\d+)?$"
+_WHOLE = r"^[+-]?\d+$"
+_DIGITS = r"\d+(?:_\d+)*+"
 NUMBER_PATTERN = rf"^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))$"
 CASTABLE_PATTERN = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 _JSON_STRING = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"'
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?"
+# The same whitespace as above, for use at either end of a pattern.
+_WS = r"[\s\x1c-\x1f\x85\xa0  -     　]*+"
+_TIME = rf"((?:[T ]\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?(?: ?(?:Z|[+-]\d{{2}}:?\d{{2}}))?)?){_WS}$"
+_YEAR_FIRST = rf"^{_WS}\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}{_TIME}"
+_SLASHED = rf"^{_WS}(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_TIME}"
+_SLASHED_SHORT = rf"^{_WS}(\d{{1,2}})/(\d{{1,2}})/(\d{{2}}){_TIME}"
+_WORDED = rf"^{_WS}(\d{{1,2}})-([A-Za-z]{{3,9}})-(\d{{4}}){_TIME}"
 
 
 def strip(value: Column | str) -> Column:
@@ -40,7 +47,7 @@ def strip(value: Column | str) -> Column:
 
 def is_uuid(value: Column | str) -> Column:
     c = as_column(value)
-    return (F.length(c) == 36) & F.lower(c).rlike(UUID_PATTERN)
+    return (F.octet_length(c) == 36) & F.lower(c).rlike(UUID_PATTERN)
 
 
 def is_json(value: Column | str) -> Column:
@@ -63,36 +70,46 @@ def is_json(value: Column | str) -> Column:
 
 def is_date_like(value: Column | str) -> Column:
     """A date prefix; what follows is not looked at."""
-    c = strip(value)
-    return (F.contains(c, F.lit("-")) | F.contains(c, F.lit("/"))) & c.rlike("|".join(DATE_PREFIXES))
+    c = as_column(value)
+    shapes = "|".join(p.removeprefix("^") for p in DATE_PREFIXES)
+    return (F.contains(c, F.lit("-")) | F.contains(c, F.lit("/"))) & c.rlike(f"^{_WS}(?:{shapes})")
+
+
+def _undecorated(c: Column) -> Column:
+    return F.translate(c, NUMERIC_NOISE + WHITESPACE, "")
 
 
 def numeric_text(value: Column | str) -> Column:
     """Currency, percent and thousands marks and all whitespace removed; empty gives null."""
-    return F.nullif(F.translate(as_column(value), NUMERIC_NOISE + WHITESPACE, ""), F.lit(""))
+    c = as_column(value)
+    return F.when(c.rlike(_PLAIN), c).otherwise(F.nullif(_undecorated(c), F.lit("")))
 
 
 def is_numeric(value: Column | str) -> Column:
-    return numeric_text(value).rlike(NUMBER_PATTERN)
+    c = as_column(value)
+    return F.when(c.rlike(_PLAIN), True).otherwise(F.nullif(_undecorated(c), F.lit("")).rlike(NUMBER_PATTERN))
 
 
 def as_double(value: Column | str) -> Column:
-    cleaned = numeric_text(value)
-    return F.when(cleaned.rlike(CASTABLE_PATTERN), cleaned.try_cast("double"))
+    c = as_column(value)
+    written = F.regexp_substr(_undecorated(c), F.lit(CASTABLE_PATTERN))
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(written.try_cast("double"))
 
 
 def as_bigint(value: Column | str) -> Column:
     """Whole numbers exactly; fractions cut toward zero; anything else null."""
-    cleaned = numeric_text(value)
-    whole = cleaned.rlike(r"^[+-]?\d+$")
-    return F.when(whole, cleaned.try_cast("bigint")).when(
-        cleaned.rlike(CASTABLE_PATTERN), cleaned.try_cast("double").try_cast("bigint")
+    c = as_column(value)
+    bare = _undecorated(c)
+    return (
+        F.when(c.rlike(_WHOLE), c.try_cast("bigint"))
+        .when(bare.rlike(_WHOLE), bare.try_cast("bigint"))
+        .otherwise(F.regexp_substr(bare, F.lit(CASTABLE_PATTERN)).try_cast("double").try_cast("bigint"))
     )
 
 
 def as_boolean(value: Column | str) -> Column:
-    word = F.lower(strip(as_column(value).cast("string")))
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    """The engine's own cast knows the same words: true, yes, y, 1, t and false, no, n, 0, f."""
+    return strip(as_column(value).cast("string")).try_cast("boolean")
 
 
 def as_text(value: Column | str) -> Column:
@@ -109,39 +126,35 @@ def nan_text_to_null(value: Column | str) -> Column:
     return F.when(~c.isin("nan", "None"), c)
 
 
-def iso_date_text(value: Column | str) -> Column:
-    """``y-m-d`` text of a recognised date, else null. Month first, day first when the month is over 12."""
-    c = strip(value)
-    slashed = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}}){_TIME}$"
-    worded = rf"^(\d{{1,2}})-([A-Za-z]{{3,9}})-(\d{{4}}){_TIME}$"
-    first, second, year = (F.regexp_extract(c, slashed, i) for i in (1, 2, 3))
-    full_year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    month_first = first.try_cast("int") <= 12
-    month = F.lower(F.substring(F.regexp_extract(c, worded, 2), 1, 3))
-    month_at = F.instr(F.lit(_MONTHS), month)
-    month_no = F.when((month_at > 0) & (month_at % 3 == 1), (month_at + 2).try_cast("int") / 3).try_cast("int")
-    return (
-        F.when(c.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"), F.regexp_extract(c, r"^[\d-]+", 0))
-        .when(c.rlike(rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_TIME}$"),
-              F.translate(F.regexp_extract(c, r"^[\d/]+", 0), "/", "-"))
-        .when(c.rlike(slashed), F.concat_ws("-", full_year, F.when(month_first, first).otherwise(second),
-                                            F.when(month_first, second).otherwise(first)))
-        .when(c.rlike(worded), F.concat(F.regexp_extract(c, worded, 3), F.lit("-"), month_no.cast("string"),
-                                        F.lit("-"), F.regexp_extract(c, worded, 1)))
-    )
+def _iso_texts(c: Column) -> tuple[Column, ...]:
+    """ISO forms of a recognised date with its time, to be tried in order; null where the shape is another.
+
+    A slashed date is month first; day first where that is no date, that is when the month is over 12.
+    """
+    year_first = F.when(c.rlike(_YEAR_FIRST), F.translate(c, "/" + WHITESPACE.replace(" ", ""), "-"))
+    month = F.lower(F.substring(F.regexp_extract(c, _WORDED, 2), 1, 3))
+    at = F.instr(F.lit(_MONTHS), month)
+    month_no = F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3).cast("string"))
+    worded = F.when(c.rlike(_WORDED), F.concat(F.regexp_replace(c, _WORDED, "$3-"), month_no,
+                                               F.regexp_replace(c, _WORDED, "-$1$4")))
+    slashed = [F.when(c.rlike(pattern), F.regexp_replace(c, pattern, form))
+               for pattern, century in ((_SLASHED, ""), (_SLASHED_SHORT, "20"))
+               for form in (f"{century}$3-$1-$2$4", f"{century}$3-$2-$1$4")]
+    return (year_first, *slashed, worded)
+
+
+def _first_cast(c: Column, kind: str) -> Column:
+    parsed = F.coalesce(*[text.try_cast(kind) for text in _iso_texts(c)])
+    return F.when(F.contains(c, F.lit("-")) | F.contains(c, F.lit("/")), parsed)
 
 
 def as_date(value: Column | str) -> Column:
-    return iso_date_text(value).try_cast("date")
+    return _first_cast(as_column(value), "date")
 
 
 def as_timestamp(value: Column | str) -> Column:
     """Timestamp without zone: the recognised date plus the written time of day."""
-    c = strip(value)
-    time = F.regexp_extract(c, r"[T ]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)", 1)
-    return F.concat(iso_date_text(c), F.when(time == "", "").otherwise(F.concat(F.lit(" "), time))).try_cast(
-        "timestamp_ntz"
-    )
+    return _first_cast(as_column(value), "timestamp_ntz")
 
 
 def is_sha256(value: Column | str) -> Column:
@@ -166,17 +179,23 @@ def render_text(value: Column | str, data_type: str) -> Column:
 
 
 def vote(value: Column | str, compat: bool = False) -> Column:
-    """The type a single text value speaks for, '' for none, null for null."""
+    """The type a single text value speaks for, '' for none, null for null.
+
+    Cheap tests stand before patterns, so that a common value meets one or two of these.
+    """
     c = as_column(value)
+    braces = F.contains(c, F.lit("{")) | F.contains(c, F.lit("["))
     trimmed = strip(c)
-    word = F.lower(trimmed)
-    number = F.replace(numeric_text(c), F.lit("_"), F.lit("")).try_cast("double")
+    number = F.regexp_substr(_undecorated(c), F.lit(NUMBER_PATTERN))
+    whole = F.replace(number, F.lit("_"), F.lit("")).try_cast("double") % 1 == 0
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
-        .when(is_uuid(trimmed), "UUID")
-        .when(is_json(word if compat else trimmed), "JSONB")
+        .when(c.rlike(_PLAIN), F.when(c.rlike(_WHOLE), "BIGINT").otherwise(
+            F.when(c.try_cast("double") % 1 == 0, "BIGINT").otherwise("DOUBLE PRECISION")))
+        .when((F.octet_length(c) >= 36) & is_uuid(trimmed), "UUID")
+        .when(braces & is_json(F.lower(trimmed) if compat else trimmed), "JSONB")
         .when(is_date_like(c), "DATE")
-        .when(is_numeric(c), F.when(number % 1 == 0, "BIGINT").otherwise("DOUBLE PRECISION"))
-        .when(word.isin(*BOOLEAN_VOTE_WORDS), "BOOLEAN")
+        .when(number.isNotNull(), F.when(whole, "BIGINT").otherwise("DOUBLE PRECISION"))
+        .when(F.lower(trimmed).isin(*BOOLEAN_VOTE_WORDS), "BOOLEAN")
         .otherwise("")
     )

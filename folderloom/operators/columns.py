@@ -86,6 +86,17 @@ def with_lineage(df: DataFrame, source_file: Column | str, stamp: str = "load_ti
     return df.withColumns({"source_file": source, stamp: clock})
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over the cores where it has fewer splits than there are cores.
+
+    For costly expressions over a few files that cannot be split. A large scan has more splits than
+    cores and is left as it is. Only for plain scans: counting the splits of a plan with a shuffle
+    would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def drop_empty_rows(df: DataFrame, data_columns: Sequence[str] | None = None) -> DataFrame:
     return df.na.drop("all", subset=list(data_columns or df.columns))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folderloom.functions.values import is_sha256
+from folderloom.operators.joins import broadcast_if_small
 from folderloom.operators.ledger import matching
 
 VERSION = ("table_name", "source_file", "file_sha256")
@@ -32,12 +33,12 @@ def revert_mode(value: Column | str) -> Column:
 
 def remaining(data: DataFrame, reverted: DataFrame, key=VERSION) -> DataFrame:
     """Data rows whose import is not reverted."""
-    return data.join(reverted.select(*key).distinct(), list(key), "left_anti")
+    return data.join(broadcast_if_small(reverted.select(*key).distinct()), list(key), "left_anti")
 
 
 def affected(data: DataFrame, reverted: DataFrame, key=VERSION) -> DataFrame:
     """Data rows of the reverted imports."""
-    return data.join(reverted.select(*key).distinct(), list(key), "left_semi")
+    return data.join(broadcast_if_small(reverted.select(*key).distinct()), list(key), "left_semi")
 
 
 def revert_plan(imports: DataFrame, data: DataFrame, backups_root: str = "backups", key=VERSION) -> DataFrame:

@@ -9,14 +9,17 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folderloom.functions import names, sqltypes
 from folderloom.operators import columns, evolution, inference, ledger
+from folderloom.operators.joins import broadcast_if_small
 from folderloom.operators.sheets import DEFAULT_SHEET
 from folderloom.plans import scans as scanning
 from folderloom.plans.scans import SOURCE, Scan, ScanSet, union
@@ -25,6 +28,8 @@ from folderloom.plans.store import Store, safe_run_name
 from folderloom.sources import files as file_source
 from folderloom.sources import workbook
 
+# Appends of different tables that may run side by side, so that small tables do not idle the cluster.
+TABLES_AT_ONCE = 8
 EXTENSIONS = {"workbook": file_source.WORKBOOK_EXTENSIONS, "csv": (".csv",), "json": (".json",), "archive": (".zip",)}
 
 
@@ -167,7 +172,7 @@ def _fresh(listed: DataFrame, known: DataFrame, options: Options) -> DataFrame:
 def _scanned(store, root, candidates, contents, fmt, options, stage) -> ScanSet:
     spark = store.spark
     if fmt == "archive":
-        fresh = contents.join(candidates.select("source_file"), "source_file", "left_semi")
+        fresh = contents.join(broadcast_if_small(candidates.select("source_file")), "source_file", "left_semi")
         out = scanning.scan_contents(spark, fresh, candidates, options, stage)
     else:
         scan = {"csv": scanning.scan_csv, "json": scanning.scan_json, "workbook": scanning.scan_workbooks}[fmt]
@@ -258,16 +263,20 @@ def _versioned(types: DataFrame, existing: DataFrame, next_version: DataFrame, o
 
 
 def _append(store: Store, run: str, scans: list[Scan], schema: DataFrame) -> DataFrame:
-    """Write the cleaned rows of every table; gives (table_name, source_file, row_count) as written."""
+    """Write the cleaned rows of every table, one job per table; gives (table_name, source_file, row_count) as written."""
     by_table: dict[str, list] = {}
     for r in schema.orderBy("table_name", "ordinal").collect():
         by_table.setdefault(r.table_name, []).append(r)
-    counts = []
-    for table, cols in by_table.items():
+
+    def write(table: str) -> DataFrame:
+        cols = by_table[table]
         frames = [_cleaned(s, {r.column_name: r.sql_type for r in cols}) for s in scans if s.table == table]
         rows = reduce(DataFrame.unionByName, frames).withColumn("load_timestamp", F.current_timestamp())
         store.write_rows(table, cols[0].version, run, rows)
-        counts.append(store.written_counts(table, cols[0].version, run).withColumn("table_name", F.lit(table)))
+        return store.written_counts(table, cols[0].version, run).withColumn("table_name", F.lit(table))
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        counts = list(pool.map(inheritable_thread_target(store.spark)(write), by_table))
     return union(counts, store.spark, "source_file string, row_count bigint, table_name string")
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from folderloom.functions import sqltypes
 from folderloom.operators import columns, evolution, inference
 from folderloom.plans import oracle as q
-from folderloom.plans.registry import load, query
+from folderloom.plans.staging import Stage
+from folderloom.plans.registry import load, load_spread, query
 
 BATCH_COLUMNS = ["event_id", "user_id", "value", "props", "seen", "flag"]
 
@@ -27,7 +28,7 @@ def event_batches(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("$"), F.col("value").cast("string")))
     )
     flag = F.when((kind == "error") & (day > 25), "7").otherwise(F.when(F.col("event_id") % 2 == 0, "Yes").otherwise("n"))
-    return load(spark, sf, "events").select(
+    return load_spread(spark, sf, "events").select(
         F.col("event_type").alias("table_name"),
         F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".csv")).alias("file_key"),
         F.col("event_id").cast("string").alias("event_id"),
@@ -71,7 +72,7 @@ _LINE_TEXT = "SELECT * FROM lineitem"
 @query(f"""SELECT *, {q.DECIDE} AS sql_type FROM ({q.count_votes(q.long_form(
     _LINE_TEXT, "l_returnflag AS source_file", _LINE_COLUMNS), "source_file, column_name")})""")
 def infer_lineitem(spark, sf):
-    rows = load(spark, sf, "lineitem").withColumn("source_file", F.col("l_returnflag"))
+    rows = load_spread(spark, sf, "lineitem").withColumn("source_file", F.col("l_returnflag"))
     return inference.infer_schema(rows, ["source_file"], _LINE_COLUMNS)
 
 
@@ -112,7 +113,7 @@ def infer_majority(spark, sf):
     UNION ALL SELECT l_returnflag, 'late', count(*), 'BOOLEAN' FROM lineitem GROUP BY 1
     UNION ALL SELECT l_returnflag, 'l_linestatus', count(l_linestatus), 'TEXT' FROM lineitem GROUP BY 1)""")
 def infer_unanimous(spark, sf):
-    rows = load(spark, sf, "lineitem").withColumns({
+    rows = load_spread(spark, sf, "lineitem").withColumns({
         "shipped": F.date_format("l_shipdate", "MM/dd/yyyy"), "late": F.col("l_discount") > 0.05})
     return inference.infer_unanimous(
         rows, ["l_returnflag"], ["l_quantity", "l_tax", "l_orderkey", "l_shipdate", "shipped", "late", "l_linestatus"])
@@ -239,7 +240,9 @@ _CHAIN_STATES = f"""SELECT table_name, column_name, file_key, old_type, new_type
 
 @query(_log(_CHAIN_STATES))
 def change_log_chain(spark, sf):
-    return evolution.change_log(batch_types(spark, sf), policy="chain", relog=True)
+    # Followed step by step, so the small types table is staged instead of inferred again each time.
+    types = Stage(spark).keep(batch_types(spark, sf), "types")
+    return evolution.change_log(types, policy="chain", relog=True)
 
 
 _RANKED_STATES = f"""SELECT * FROM (SELECT table_name, column_name, file_key, lag(t) OVER w AS old_type, t AS new_type FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folderloom.functions import sqltypes, values
 from folderloom.operators import columns
 from folderloom.plans import oracle as q
-from folderloom.plans.registry import load, query
+from folderloom.plans.registry import load, load_spread, query
 
 
 def _messy_numbers(spark, sf):
@@ -22,7 +22,7 @@ def _messy_numbers(spark, sf):
         .otherwise(F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise(
             F.concat("l_orderkey", F.lit("_"), "l_suppkey")))
     )
-    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return load_spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
 
 
 _MESSY = r"""(SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7
@@ -63,7 +63,7 @@ def _written_dates(spark, sf):
     raw = raw.when(kind == 8, F.date_format(d, "dd/MM/yyyy")).when(kind == 9, "")
     for i, pattern in enumerate(patterns):
         raw = raw.when(kind == i, F.date_format(d, pattern))
-    return load(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
+    return load_spread(spark, sf, "orders").select("o_orderkey", raw.alias("raw"))
 
 
 _DATES = """(SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
@@ -131,7 +131,7 @@ def _json_texts(spark, sf):
         .when(kind == 5, F.concat(F.lit("["), p, F.lit("]}"))).when(kind == 6, F.concat(p, F.lit(",[1]")))
         .otherwise(F.concat(F.lit('{"k": {"k": 1, "q": "it\'s"}, "e": '), p, F.lit("}")))
     )
-    return load(spark, sf, "events").select("event_id", raw.alias("raw"))
+    return load_spread(spark, sf, "events").select("event_id", raw.alias("raw"))
 
 
 @query(rf"""SELECT event_id, coalesce({q.is_json('raw')}, false) AS valid FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN props
@@ -182,7 +182,7 @@ _CLEAN = {"price": "DOUBLE PRECISION", "quantity": "INTEGER", "order_key": "BIGI
       CASE WHEN l_linenumber = 1 THEN '  ' ELSE ' ' || l_linestatus END AS status,
       strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS moment, l_partkey AS untouched FROM lineitem)""")
 def clean_frame(spark, sf):
-    raw = load(spark, sf, "lineitem").select(
+    raw = load_spread(spark, sf, "lineitem").select(
         F.concat(F.lit("$"), "l_extendedprice").alias("price"),
         F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".7")).alias("quantity"),
         F.concat("l_orderkey", F.lit(" ")).alias("order_key"),

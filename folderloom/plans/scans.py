@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folderloom.functions import names
 from folderloom.operators import columns, sheets
+from folderloom.operators.joins import broadcast_if_small
 from folderloom.plans.staging import Stage
 from folderloom.sources import delimited, files as file_source, workbook
 
@@ -72,10 +73,14 @@ def scan_json(spark: SparkSession, root: str, candidates: DataFrame, options, st
     for table in sorted(paths):
         frame, found, bad = delimited.json_frame(
             spark, root, paths[table], options.dialect, options.duplicates, options.json_lines)
-        if found:
-            scans.append(Scan(table, frame, found))
         if bad is not None:
+            bad = stage.keep(bad, f"broken_{len(broken)}")
             broken.append(problem(bad.withColumnRenamed(SOURCE, "source_file"), "error", "not valid JSON"))
+            if options.json_lines and found:
+                # Good rows may share a file with a broken line; the file is refused whole.
+                frame = frame.join(broadcast_if_small(bad), SOURCE, "left_anti")
+        if found:
+            scans.append(Scan(table, frame, found))
     return ScanSet(scans, candidates.select("table_name", "source_file"), union(broken, spark, PROBLEM), None)
 
 
@@ -119,7 +124,8 @@ def scan_contents(spark: SparkSession, contents: DataFrame, candidates: DataFram
         chosen, missing = _every_sheet(listed, catalogue), spark.createDataFrame([], PROBLEM)
     else:
         chosen, missing = _one_sheet(listed, catalogue, options)
-    used = readable.join(chosen.select("source_file", "sheet", "table_name"), ["source_file", "sheet"])
+    chosen = stage.keep(chosen.select("source_file", "sheet", "table_name"), "sheets")
+    used = readable.join(broadcast_if_small(chosen), ["source_file", "sheet"])
     has_header = F.exists("header", lambda h: h.isNotNull())
     has_rows = F.exists("rows", lambda r: F.exists(r, lambda v: v.isNotNull()))
     held = used.groupBy("table_name", "source_file").agg(F.bool_or(has_header & has_rows).alias("_any"))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from folderloom.functions import names
 from folderloom.operators import columns, ledger, revert
 from folderloom.operators.inference import struct_type
+from folderloom.operators.joins import broadcast_if_small
 
 LEDGERS = {
     "commits": "committed_at timestamp",
@@ -187,14 +188,14 @@ class Store:
         gone = self.read_ledger("reverts", runs).filter(F.col("table_name") == table).select(
             "source_file", F.col("import_run").alias("_run")).distinct()
         if not gone.isEmpty():
-            rows = rows.join(gone, ["source_file", "_run"], "left_anti")
+            rows = rows.join(broadcast_if_small(gone), ["source_file", "_run"], "left_anti")
         return rows.select(*target, *LINEAGE)
 
     def _rows_of(self, table: str, imports: DataFrame) -> DataFrame:
         """Rows of chosen imports of one table."""
         rows, target = self._all_rows(table, self.committed_runs())
         chosen = imports.filter(F.col("table_name") == table).select("source_file", "_run")
-        return rows.join(chosen, ["source_file", "_run"], "left_semi").select(*target, *LINEAGE)
+        return rows.join(broadcast_if_small(chosen), ["source_file", "_run"], "left_semi").select(*target, *LINEAGE)
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """SQL with named parameters over all tables and the ledgers ``etl_imports`` and ``etl_schema_changes``."""

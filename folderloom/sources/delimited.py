@@ -65,7 +65,10 @@ CORRUPT = "_corrupt_record"
 
 def json_frame(spark: SparkSession, root: str, paths: list[str], dialect: str = "current", duplicates: str = "merge",
                lines: bool = False) -> tuple[DataFrame, list[str], DataFrame | None]:
-    """(frame, clean column names, broken files) of the JSON documents of one table."""
+    """(frame, clean column names, broken files) of the JSON documents of one table.
+
+    Broken rows are left out of the frame; with ``lines`` the good rows of a broken file are still in it.
+    """
     flat, broken = read_json(spark, root, paths, lines), None
     data = [c for c in flat.columns if c not in (SOURCE, CORRUPT)]
     if CORRUPT in flat.columns and not data:
@@ -75,9 +78,7 @@ def json_frame(spark: SparkSession, root: str, paths: list[str], dialect: str =
         # The reader refuses to scan the corrupt column alone, so a data column is counted as well.
         broken = flat.groupBy(SOURCE).agg(F.count(CORRUPT).alias("_bad"), F.count(F.col(f"`{data[0]}`")).alias("_n"))
         broken = broken.filter("_bad > 0 AND _n >= 0").select(SOURCE)
-        # A broken document is one row; only with one document per line may good rows share its file.
-        flat = flat.join(broken, SOURCE, "left_anti") if lines else flat.filter(F.col(CORRUPT).isNull())
-        flat = flat.drop(CORRUPT)
+        flat = flat.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     merged = merge_columns(flat, [SOURCE, *clean_headers(spark, [data], dialect, duplicates)[0]])
     return merged, merged.columns[1:], broken
 
