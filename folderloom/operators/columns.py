@@ -115,6 +115,15 @@ def non_numeric_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(cells))
 
 
+def rejected_counts(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """(column_name, rejected): values that are there but do not fit the column's type and clean to null."""
+    lost = [F.count_if(values.as_text(quoted(c)).isNotNull() & sqltypes.clean_value(quoted(c).cast("string"), t).isNull())
+            for c, t in schema.items()]
+    counts = df.agg(*[n.alias(f"n{i}") for i, n in enumerate(lost)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("rejected")) for i, c in enumerate(schema)])
+    return counts.select(F.inline(cells))
+
+
 def align(df: DataFrame, target: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """Project a typed frame on ``target`` types; missing columns become null."""
     have = {f.name: f.dataType for f in df.schema.fields}

@@ -69,8 +69,13 @@ def decide_type(compat: bool = False) -> Column:
     )
 
 
-def infer_types(votes: DataFrame, compat: bool = False) -> DataFrame:
-    return votes.withColumn("sql_type", decide_type(compat))
+def infer_types(votes: DataFrame, compat: bool = False, text_on_misfit: bool = False) -> DataFrame:
+    """Votes with ``sql_type``. With ``text_on_misfit`` a numeric column that holds any other value is TEXT."""
+    decided = decide_type(compat)
+    if text_on_misfit:
+        misfit = F.col("n_bigint") + F.col("n_double") < F.col("n_values")
+        decided = F.when(decided.isin("INTEGER", "BIGINT", "DOUBLE PRECISION") & misfit, "TEXT").otherwise(decided)
+    return votes.withColumn("sql_type", decided)
 
 
 def infer_schema(df: DataFrame, by: Sequence[str], columns: Sequence[str], compat: bool = False) -> DataFrame:
@@ -109,6 +114,32 @@ def infer_majority(cell_rows: DataFrame, by: Sequence[str], totals: DataFrame |
     return agg.select(*by, "n_rows", "n_numeric", "n_datetime", kind.alias("kind"))
 
 
+def majority_types(cell_rows: DataFrame, keys: Sequence[str], totals: DataFrame) -> DataFrame:
+    """(*keys, sql_type) by majority: BIGINT only where every row holds a whole number, a numeric column
+    with gaps or fractions is DOUBLE PRECISION, dates are TIMESTAMP."""
+    kinds = infer_majority(cell_rows, keys, totals)
+    whole = cell_rows.groupBy(*keys).agg(F.count_if(F.col("value").rlike(r"^\s*[+-]?\d+\s*$")).alias("n_whole"))
+    numeric = F.when(F.col("n_whole") == F.col("n_rows"), "BIGINT").otherwise("DOUBLE PRECISION")
+    return kinds.join(whole, list(keys)).select(
+        *keys, F.when(F.col("kind") == "numeric", numeric).when(F.col("kind") == "datetime", "TIMESTAMP")
+        .otherwise("TEXT").alias("sql_type"))
+
+
+def unanimous_types(cell_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(*keys, sql_type) on which all text values agree: BOOLEAN, BIGINT, DOUBLE PRECISION, TIMESTAMP or TEXT."""
+    number = values.as_double("value")
+    every = lambda test: F.bool_and(F.coalesce(test, F.lit(False)))
+    agg = cell_rows.groupBy(*keys).agg(
+        every(F.lower("value").isin("true", "false")).alias("boolean"),
+        every(number.isNotNull()).alias("numeric"),
+        every(number % 1 == 0).alias("whole"),
+        every(values.as_timestamp("value").isNotNull()).alias("datetime"),
+    )
+    return agg.select(*keys, F.when(F.col("boolean"), "BOOLEAN").when(F.col("whole"), "BIGINT")
+                      .when(F.col("numeric"), "DOUBLE PRECISION").when(F.col("datetime"), "TIMESTAMP")
+                      .otherwise("TEXT").alias("sql_type"))
+
+
 def infer_unanimous(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Types on which all non-null values agree, by native type first: one row per group and column."""
     aggregates, picks = [], []

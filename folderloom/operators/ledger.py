@@ -23,6 +23,11 @@ def not_imported(files: DataFrame, ledger: DataFrame, key=IMPORT_KEY) -> DataFra
     return files.join(ledger.select(*key).distinct(), list(key), "left_anti")
 
 
+def remaining_folders(files: DataFrame, ledger: DataFrame, key=IMPORT_KEY) -> DataFrame:
+    """Folders that still hold files to import, as after an interrupted run."""
+    return not_imported(files, ledger, key).select("folder").distinct()
+
+
 def first_copies(files: DataFrame, key=CONTENT_KEY, order: str = "source_file") -> DataFrame:
     """One file per key, the first in order.
 

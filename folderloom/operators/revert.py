@@ -92,6 +92,11 @@ def schema_after_revert(columns: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.withColumn("sql_type", F.coalesce("_type", "sql_type")).select(*columns.columns)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A revert report or plan as JSON lines."""
+    report.write.mode("overwrite").json(path)
+
+
 def newest_per_group(df: DataFrame, group: str, order: str, tie: str, n: int, salts: int = 32) -> DataFrame:
     """The ``n`` newest rows of each group. Groups are first thinned in ``salts`` parts, so that no
     task sorts a whole large group."""

@@ -38,6 +38,8 @@ class Options:
     """How a run reads, names, types and commits.
 
     ``table_naming`` path, safe or folder; ``dedupe`` key (table, file, hash) or content (table, hash);
+    ``inference`` votes (most common type from 80 %), majority (over half) or unanimous (all values);
+    ``text_on_misfit`` makes a numeric column with any other value TEXT; ``policy`` how types widen;
     ``atomic`` file or folder, what a failed file holds back; ``on_error`` skip or abort.
     """
 
@@ -49,7 +51,9 @@ class Options:
     sheet_rule: str = "nearest"
     all_sheets: bool = False
     policy: str = "lub"
+    inference: str = "votes"
     compat: bool = False
+    text_on_misfit: bool = False
     dedupe: str = "key"
     drop_empty: bool = True
     keep_empty: bool = False
@@ -103,7 +107,8 @@ def ingest(store: Store, root: str | Sequence[str], fmt: str = "workbook", optio
 def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: Options, run: str | None = None) -> Result:
     """Import hashed files; ``found`` has the columns of ``scan_files``."""
     began, run = time.time(), safe_run_name(run or f"run-{uuid.uuid4().hex}")
-    for name, known in (("on_error", ("skip", "abort")), ("atomic", ("file", "folder")), ("dedupe", ("key", "content"))):
+    for name, known in (("on_error", ("skip", "abort")), ("atomic", ("file", "folder")), ("dedupe", ("key", "content")),
+                        ("inference", ("votes", "majority", "unanimous")), ("policy", sqltypes.POLICIES)):
         if getattr(options, name) not in known:
             raise ValueError(f"{name} is one of {known}")
     unknown = set(options.type_overrides.values()) - set(sqltypes.SPARK_TYPES)
@@ -214,7 +219,15 @@ def _inferred(scans, headers, good, options, store) -> DataFrame:
         cells.append(inference.cells(frame, ["table_name", "file_key"], scan.columns))
         order += [(scan.table, c, i) for i, c in enumerate(scan.columns)]
     every = union(cells, spark, "table_name string, file_key string, column_name string, value string")
-    types = inference.infer_types(inference.count_votes(every, keys, options.compat), options.compat).select(*keys, "sql_type")
+    if options.inference == "majority":
+        totals = union([s.frame.groupBy(F.lit(s.table).alias("table_name"), F.col(SOURCE).alias("file_key")).agg(
+            F.count(F.lit(1)).alias("n_rows")) for s in scans], spark, "table_name string, file_key string, n_rows bigint")
+        types = inference.majority_types(every, keys, totals)
+    elif options.inference == "unanimous":
+        types = inference.unanimous_types(every, keys)
+    else:
+        votes = inference.count_votes(every, keys, options.compat)
+        types = inference.infer_types(votes, options.compat, options.text_on_misfit).select(*keys, "sql_type")
     files = good.select("table_name", F.col("source_file").alias("file_key"))
     if headers is not None:
         types = inference.with_empty_columns(types, headers.withColumnRenamed("source_file", "file_key"), keys)

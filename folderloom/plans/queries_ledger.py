@@ -85,6 +85,15 @@ def renamed_dedupe(spark, sf):
     return ledger.first_copies(fresh, order="id").select("table_name", "file_sha256", "id")
 
 
+@query(f"""SELECT DISTINCT folder_path AS folder FROM {_IMPORTS} WHERE imported_at >= TIMESTAMP '2024-01-01 02:00:00'
+    AND (table_name, source_file, file_sha256) NOT IN (SELECT (table_name, source_file, file_sha256) FROM {_IMPORTS}
+      WHERE imported_at < TIMESTAMP '2024-01-01 02:00:00')""")
+def remaining_folders(spark, sf):
+    files = imports(spark, sf)
+    done = files.filter("imported_at < TIMESTAMP_NTZ '2024-01-01 02:00:00'")
+    return ledger.remaining_folders(files.withColumnRenamed("folder_path", "folder"), done)
+
+
 # --- ledgers ------------------------------------------------------------------------------------
 
 @query("""SELECT l_returnflag AS table_name, strftime(l_shipdate, '%Y-%m') || '.csv' AS source_file,

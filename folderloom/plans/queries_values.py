@@ -195,6 +195,12 @@ def clean_frame(spark, sf):
     return sqltypes.clean_frame(raw, _CLEAN)
 
 
+@query(f"""SELECT 'raw' AS column_name, count(*) FILTER ({q.strip('raw')} <> '' AND ({q.as_bigint('raw')}) IS NULL) AS rejected FROM {_MESSY}
+    UNION ALL SELECT 'l_linenumber', count(*) FILTER (l_linenumber NOT IN (0, 1)) FROM {_MESSY}""")
+def rejected_values(spark, sf):
+    return columns.rejected_counts(_messy_numbers(spark, sf), {"raw": "BIGINT", "l_linenumber": "BOOLEAN"})
+
+
 @query("""SELECT l_orderkey, l_linenumber, a, b, c FROM (SELECT l_orderkey, l_linenumber,
     CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS a, CASE WHEN l_quantity > 40 THEN l_quantity END AS b,
     CASE WHEN l_discount > 0.05 THEN l_discount END AS c FROM lineitem) WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL""")

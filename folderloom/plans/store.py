@@ -153,6 +153,22 @@ class Store:
         self.commit(run)
         return True
 
+    def load_csv(self, table: str, path: str, schema: dict[str, str]) -> int:
+        """Bulk load of CSV files under a declared schema, creating the table if need be; returns the row count."""
+        self.create_table(table, schema)
+        version, run = max(self.table_versions(table)), f"load-{uuid.uuid4().hex}"
+        rows = self.spark.read.schema(struct_type(schema)).option("header", True).csv(path)
+        declared = columns.align(rows, self.table_columns(table))
+        self.write_rows(table, version, run, declared.withColumns(
+            {"source_file": F.lit(path), "load_timestamp": F.current_timestamp()}))
+        counts = self.written_counts(table, version, run)
+        self.append_ledger("imports", run, counts.select(
+            F.xxhash64(F.lit(table), "source_file", F.lit(run)).alias("id"), F.lit(table).alias("table_name"), "source_file",
+            F.sha2(F.lit(run), 256).alias("file_sha256"), "row_count", F.current_timestamp().alias("imported_at"),
+            F.lit(path).alias("folder_path"), F.lit(version).alias("schema_version")))
+        self.commit(run)
+        return sum(r.row_count for r in counts.collect())
+
     def write_rows(self, table: str, version: int, run: str, rows: DataFrame) -> None:
         columns.check_insertable(rows.columns)
         rows.write.mode("overwrite").parquet(self._path("data", table, f"_schema_version={version}", f"_run={run}"))

@@ -252,3 +252,12 @@ def sheet_profile(blocks: DataFrame) -> DataFrame:
         F.max(F.when(F.size("rows") > 0, F.col("first_row") + F.size("rows") - 2).otherwise(0)).alias("row_count"),
         F.min_by("names", "first_row").alias("columns"),
     )
+
+
+def file_info(files: DataFrame, blocks: DataFrame, sheet: str) -> DataFrame:
+    """(source_file, length, sheet_exists, row_count, columns) of every listed file for one sheet."""
+    profile = sheet_profile(blocks).filter(F.col("sheet") == sheet)
+    return files.select("source_file", "length").join(profile, "source_file", "left").select(
+        "source_file", "length", F.col("sheet").isNotNull().alias("sheet_exists"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))

@@ -189,12 +189,14 @@ def test_archive_of_workbooks(store, tmp_path):
         z.writestr("in/file3.xlsx", workbook_bytes({"Other": [["Name"], ["c"]]}))
         z.writestr("readme.txt", "no")
     (root / "torn.zip").write_bytes(b"nothing")
-    result = ingest(store, str(root), "archive", sheets={}, default_sheet="Policies", dialect="upload", policy="ranked")
+    result = ingest(store, str(root), "archive", sheets={}, default_sheet="Policies", dialect="upload",
+                    policy="ranked", inference="unanimous")
     assert rows(result.outcomes, "source_file", "status", "row_count") == [
         ("Müşteri Listesi.zip/file1.xlsx", "success", 2), ("Müşteri Listesi.zip/in/file2.xlsx", "success", 1),
         ("Müşteri Listesi.zip/in/file3.xlsx", "skipped", 0), ("torn.zip", "error", 0)]
     assert rows(store.read_table("musteri_listesi"), "name", "age", "salary") == [
         ("a", 1, None), ("b", 2, None), ("c", None, 2.5)]
+    assert store.table_columns("musteri_listesi") == {"name": "TEXT", "age": "BIGINT", "salary": "DOUBLE PRECISION"}
 
 
 def test_every_sheet_is_a_dataset(store, tmp_path, make_workbook):
@@ -270,6 +272,25 @@ def test_backups(store, evolving):
     assert store.expire_backups(retention_days=0) == 1
 
 
+def test_majority_and_misfits(store, tmp_path, put):
+    put(tmp_path / "d" / "t" / "a.csv", "n,gaps,day,word\n1,1,2024-01-05,x\n2,,2024-01-06,1\n3,3,01/07/2024,y\n")
+    ingest(store, str(tmp_path / "d"), "csv", inference="majority")
+    assert store.table_columns("t") == {"n": "BIGINT", "gaps": "DOUBLE PRECISION", "day": "TIMESTAMP", "word": "TEXT"}
+    put(tmp_path / "e" / "v" / "a.csv", "n\n1\n2\n3\n4\nfive\n")
+    ingest(store, str(tmp_path / "e"), "csv", text_on_misfit=True)
+    assert rows(store.read_table("v"), "n") == [("1",), ("2",), ("3",), ("4",), ("five",)]
+
+
+def test_bulk_load_and_report(store, tmp_path, put):
+    from folderloom.operators.revert import write_report
+
+    path = put(tmp_path / "in.csv", "id,s\n1,a\n2,b\n")
+    assert store.load_csv("bulk", str(path), {"id": "BIGINT", "s": "TEXT"}) == 2
+    assert rows(store.read_table("bulk"), "id", "s") == [(1, "a"), (2, "b")]
+    write_report(store.revert_plan("bulk", source_file=str(path)), str(tmp_path / "report"))
+    assert store.spark.read.json(str(tmp_path / "report")).head().found_rows == 2
+
+
 def test_unknown_options_are_refused(store, evolving):
     for bad in ({"atomic": "row"}, {"dedupe": "x"}, {"type_overrides": {"a": "MONEY"}}):
         with pytest.raises(ValueError):

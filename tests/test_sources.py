@@ -89,6 +89,9 @@ def test_ragged_rows_and_names(spark):
     assert [tuple(r)[2:] for r in got] == [(2, "second", "x", "extra"), (3, "first", "y", None)]
     profile = {r.sheet: (r.row_count, r.columns) for r in workbook.sheet_profile(
         workbook.decode_workbooks(contents(spark, ("f", book)))).collect()}
+    listing = spark.createDataFrame([("f", 10), ("g", 20)], "source_file string, length bigint")
+    info = workbook.file_info(listing, workbook.decode_workbooks(contents(spark, ("f", book))), "S").orderBy("source_file")
+    assert [tuple(r)[:4] for r in info.collect()] == [("f", 10, True, 2), ("g", 20, False, 0)]
     assert profile == {"S": (2, ["a", "col_1", "a_1", "extra_col_3"]), "Empty": (0, [])}
 
 
