@@ -107,10 +107,10 @@ def change_log(batch_types: DataFrame, policy: str = "lub", existing: DataFrame
     seen first in a later file logs ``add_column``, a changed type logs ``alter_type``.
     """
     states = column_states(batch_types, policy, existing)
-    if relog:
-        states = states.unionByName(relogged_text(batch_types, states))
     # A table's first file always sets a state, so the birth needs only the few state rows.
     known = states.withColumn("_born", F.min("file_key").over(Window.partitionBy("table_name")))
+    if relog:
+        known = known.unionByName(relogged_text(batch_types, states).withColumn("_born", F.lit("")))
     change = F.when(F.col("old_type").isNotNull(), "alter_type").when(F.col("file_key") > F.col("_born"), "add_column")
     changes = known.select(
         "table_name", change.alias("change_type"), "column_name", "old_type", "new_type",

@@ -38,6 +38,7 @@ class Options:
     """How a run reads, names, types and commits.
 
     ``table_naming`` path, safe or folder; ``dedupe`` key (table, file, hash) or content (table, hash);
+    ``trust_listing`` takes files of unchanged path, size and time for known without reading them;
     ``inference`` votes (most common type from 80 %), majority (over half) or unanimous (all values);
     ``text_on_misfit`` makes a numeric column with any other value TEXT; ``policy`` how types widen;
     ``atomic`` file or folder, what a failed file holds back; ``on_error`` skip or abort.
@@ -55,6 +56,7 @@ class Options:
     compat: bool = False
     text_on_misfit: bool = False
     dedupe: str = "key"
+    trust_listing: bool = False
     drop_empty: bool = True
     keep_empty: bool = False
     only_files: Sequence[str] = ()
@@ -100,17 +102,30 @@ def ingest(store: Store, root: str | Sequence[str], fmt: str = "workbook", optio
     options = options or Options(**kw)
     if not isinstance(root, str):
         return [ingest(store, r, fmt, options, run and f"{run}-{i}") for i, r in enumerate(root)][-1]
-    found = file_source.scan_files(store.spark, root, EXTENSIONS[fmt], in_root=fmt == "archive")
-    return ingest_files(store, root, found, fmt, options, run)
+    known = None
+    if options.trust_listing and fmt != "archive":
+        listed = file_source.list_files(store.spark, root, EXTENSIONS[fmt])
+        same = store.imports().select("table_name", "file_sha256", *_UNCHANGED)
+        known = listed.join(same, list(_UNCHANGED))
+        fresh = listed.join(same, list(_UNCHANGED), "left_anti")
+        found = file_source.scan_files(store.spark, root, EXTENSIONS[fmt], listed=fresh)
+    else:
+        found = file_source.scan_files(store.spark, root, EXTENSIONS[fmt], in_root=fmt == "archive")
+    return ingest_files(store, root, found, fmt, options, run, known)
+
+
+_UNCHANGED = ("source_file", "length", "modified")
 
 
-def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: Options, run: str | None = None) -> Result:
-    """Import hashed files; ``found`` has the columns of ``scan_files``."""
+def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: Options, run: str | None = None,
+                 known: DataFrame | None = None) -> Result:
+    """Import hashed files; ``found`` has the columns of ``scan_files``. ``known`` are files that were left
+    out because they are imported already."""
     began, run = time.time(), safe_run_name(run or f"run-{uuid.uuid4().hex}")
-    for name, known in (("on_error", ("skip", "abort")), ("atomic", ("file", "folder")), ("dedupe", ("key", "content")),
-                        ("inference", ("votes", "majority", "unanimous")), ("policy", sqltypes.POLICIES)):
-        if getattr(options, name) not in known:
-            raise ValueError(f"{name} is one of {known}")
+    for name, values in (("on_error", ("skip", "abort")), ("atomic", ("file", "folder")), ("dedupe", ("key", "content")),
+                         ("inference", ("votes", "majority", "unanimous")), ("policy", sqltypes.POLICIES)):
+        if getattr(options, name) not in values:
+            raise ValueError(f"{name} is one of {values}")
     unknown = set(options.type_overrides.values()) - set(sqltypes.SPARK_TYPES)
     if unknown:
         raise ValueError(f"unknown types {sorted(unknown)}")
@@ -134,7 +149,10 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
 
     count = _counted if options.dry_run else _append
     counts = count(store, run, scans, schema)
-    repeated = listed.join(candidates.select("source_file"), "source_file", "left_anti")
+    key = ["table_name", "source_file", "file_sha256"]
+    repeated = listed.join(candidates.select("source_file"), "source_file", "left_anti").select(*key)
+    if known is not None:
+        repeated = repeated.unionByName(known.select(*key))
     outcomes = _outcomes(candidates, good, counts, problems, repeated, changes, began)
     if options.dry_run:
         return Result(run, outcomes, changes, schema)
@@ -199,7 +217,7 @@ def _admitted(candidates, scanned, options, stage) -> tuple[DataFrame, DataFrame
     if options.on_error == "abort" and not failed.isEmpty():
         first = failed.orderBy("source_file").first()
         raise RuntimeError(f"{first.source_file}: {first.reason}")
-    about = candidates.select("source_file", "file_sha256", "folder")
+    about = candidates.select("source_file", "file_sha256", "folder", "length", "modified")
     good = scanned.assigned.join(problems.select("source_file").distinct(), "source_file", "left_anti").join(about, "source_file")
     if options.atomic == "folder":
         broken = failed.join(candidates.select("source_file", "table_name"), "source_file").select("table_name").distinct()
@@ -239,13 +257,23 @@ def _inferred(scans, headers, good, options, store) -> DataFrame:
 
 
 def _numbered(moves: DataFrame, types: DataFrame, began: float) -> DataFrame:
-    """Changes with ids that rise in the order they took effect within a table."""
+    """Changes with ids that rise in the order they took effect within a table.
+
+    Changes that move a type are few per table. TEXT columns logged again (chain policy) may be as many
+    as files; these are numbered within their file.
+    """
     place = types.groupBy("table_name", "column_name").agg(F.min("ordinal").alias("_at"))
     kind = F.when(F.col("change_type") == "create_table", 0).when(F.col("change_type") == "add_column", 1).otherwise(2)
-    order = Window.partitionBy("table_name").orderBy("source_file", kind, "_at", "column_name")
-    return moves.join(place, ["table_name", "column_name"], "left").select(
-        (F.lit(int(began * 1000) << 20) + F.row_number().over(order)).alias("id"),
-        "table_name", "change_type", "column_name", "old_type", "new_type", "source_file",
+    placed = moves.join(place, ["table_name", "column_name"], "left").withColumn("_kind", kind)
+    again = F.coalesce((F.col("old_type") == "TEXT") & (F.col("new_type") == "TEXT"), F.lit(False))
+    order = ["source_file", "_kind", "_at", "column_name"]
+    base = int(began * 1000) << 20
+    moved = placed.filter(~again).withColumn(
+        "id", F.lit(base) + F.row_number().over(Window.partitionBy("table_name").orderBy(*order)))
+    logged = placed.filter(again).withColumn("id", F.lit(base + (1 << 19)) + F.row_number().over(
+        Window.partitionBy("table_name", "source_file").orderBy("_at", "column_name")))
+    return moved.unionByName(logged).select(
+        "id", "table_name", "change_type", "column_name", "old_type", "new_type", "source_file",
         F.timestamp_micros(F.lit(int(began * 1e6))).alias("changed_at"),
         F.to_json(F.struct("old_type", "new_type")).alias("details"),
     )
@@ -335,7 +363,7 @@ def _commit(store, run, good, counts, schema, changes, outcomes, options) -> Non
     store.append_ledger("imports", run, logged.select(
         F.xxhash64("table_name", "source_file", "file_sha256").alias("id"), "table_name", "source_file", "file_sha256",
         "row_count", F.current_timestamp().alias("imported_at"), F.col("folder").alias("folder_path"),
-        F.col("version").alias("schema_version")))
+        F.col("version").alias("schema_version"), "length", "modified"))
     store.append_ledger("changes", run, changes)
     store.append_ledger("columns", run, schema.filter("moved"))
     store.append_ledger("outcomes", run, outcomes)

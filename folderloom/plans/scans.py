@@ -51,14 +51,14 @@ def problem(rows: DataFrame, status: str, reason: Column | str) -> DataFrame:
 def scan_csv(spark: SparkSession, root: str, candidates: DataFrame, options, stage: Stage) -> ScanSet:
     groups = delimited.csv_groups(spark, candidates, options.dialect, options.duplicates)
     scans = []
-    for table, _, _, clean, paths in groups:
-        frame = delimited.csv_frame(spark, root, paths, clean)
+    for group in groups:
+        frame = delimited.csv_frame(spark, root, group)
         if options.drop_empty:
             frame = columns.drop_empty_rows(frame, frame.columns[1:])
-        scans.append(Scan(table, frame, frame.columns[1:]))
-    texts = spark.createDataFrame([(t, h, c) for t, h, _, c, _ in groups],
+        scans.append(Scan(group.table, frame, frame.columns[1:]))
+    texts = spark.createDataFrame([(g.table, g.header_text, g.clean) for g in groups],
                                   "table_name string, header_text string, names array<string>")
-    headers = candidates.join(texts, ["table_name", "header_text"]).select(
+    headers = candidates.join(texts.distinct(), ["table_name", "header_text"]).select(
         "table_name", "source_file", F.explode(F.array_distinct("names")).alias("column_name"))
     empty = candidates.filter("header_text = ''")
     assigned = candidates.filter("header_text <> ''").select("table_name", "source_file")
@@ -106,6 +106,7 @@ def archive_listing(members: DataFrame) -> DataFrame:
         F.coalesce(F.sha2("content", 256), F.lit("")).alias("file_sha256"),
         F.coalesce(file_source.signature("content"), F.lit("unknown")).alias("signature"),
         F.lit(None).cast("string").alias("header_text"),
+        F.lit(None).cast("boolean").alias("multiline"),
         workbook.suggested_table("archive").alias("table_name"),
     )
 

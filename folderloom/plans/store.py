@@ -26,14 +26,14 @@ from folderloom.operators.joins import broadcast_if_small
 LEDGERS = {
     "commits": "committed_at timestamp",
     "imports": "id bigint, table_name string, source_file string, file_sha256 string, row_count bigint, "
-               "imported_at timestamp, folder_path string, schema_version int",
+               "imported_at timestamp, folder_path string, schema_version int, length bigint, modified timestamp",
     "changes": "id bigint, table_name string, change_type string, column_name string, old_type string, "
                "new_type string, source_file string, changed_at timestamp, details string",
     "columns": "table_name string, version int, column_name string, sql_type string, ordinal int",
     "outcomes": "table_name string, source_file string, file_sha256 string, status string, reason string, "
                 "row_count bigint, schema_changes bigint, seconds double, at timestamp",
     "reverts": "table_name string, source_file string, file_sha256 string, import_run string, reverted_at timestamp",
-    "undone_changes": "id bigint, table_name string",
+    "undone_changes": "id bigint, table_name string, source_file string, column_name string",
     "backups": "table_name string, backup_path string, row_count bigint, reason string, created_at timestamp, "
                "source_file string, file_sha256 string",
     "expired": "table_name string, backup_path string",
@@ -86,8 +86,9 @@ class Store:
 
     def changes(self) -> DataFrame:
         runs = self.committed_runs()
-        undone = self.read_ledger("undone_changes", runs).select("id", "table_name").distinct()
-        return self.read_ledger("changes", runs).join(undone, ["id", "table_name"], "left_anti")
+        key = ["id", "table_name", "source_file", "column_name"]
+        undone = self.read_ledger("undone_changes", runs).select(*key).distinct()
+        return self.read_ledger("changes", runs).join(undone, key, "left_anti")
 
     def outcomes(self) -> DataFrame:
         return self.read_ledger("outcomes")
@@ -165,7 +166,8 @@ class Store:
         self.append_ledger("imports", run, counts.select(
             F.xxhash64(F.lit(table), "source_file", F.lit(run)).alias("id"), F.lit(table).alias("table_name"), "source_file",
             F.sha2(F.lit(run), 256).alias("file_sha256"), "row_count", F.current_timestamp().alias("imported_at"),
-            F.lit(path).alias("folder_path"), F.lit(version).alias("schema_version")))
+            F.lit(path).alias("folder_path"), F.lit(version).alias("schema_version"),
+            F.lit(None).alias("length"), F.lit(None).alias("modified")))
         self.commit(run)
         return sum(r.row_count for r in counts.collect())
 
@@ -278,7 +280,8 @@ class Store:
         after = revert.schema_after_revert(mine, plan)
         run = f"schema-{uuid.uuid4().hex}"
         self.append_ledger("columns", run, after.withColumn("version", F.col("version") + 1))
-        self.append_ledger("undone_changes", run, plan.select(F.col("step").alias("id"), "table_name"))
+        self.append_ledger("undone_changes", run, plan.select(
+            F.col("step").alias("id"), "table_name", "source_file", "column_name"))
         self.commit(run)
         return todo
 

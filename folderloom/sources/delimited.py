@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,31 +22,45 @@ def parse_header(text: str) -> list[str]:
     return [c if c else f"col_{i}" for i, c in enumerate(cells)]
 
 
-def read_csv_group(spark: SparkSession, root: str, paths: list[str], width: int) -> DataFrame:
-    """Files of one header width, all columns as text by position, with their relative path."""
+def read_csv_group(spark: SparkSession, root: str, paths: list[str], width: int, multiline: bool = False) -> DataFrame:
+    """Files of one header width, all columns as text by position, with their relative path.
+
+    Quotes inside quotes are doubled. Only files with line ends inside quotes are read unsplit.
+    """
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(
-        [glob_escaped(p) for p in paths])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
+    raw = reader.option("multiLine", multiline).csv([glob_escaped(p) for p in paths])
     return raw.select(relative_path(metadata_path(), root).alias(SOURCE), *raw.columns)
 
 
-def csv_groups(spark: SparkSession, files: DataFrame, dialect: str = "current",
-               duplicates: str = "merge") -> list[tuple[str, str, list[str], list[str], list[str]]]:
-    """(table, header text, raw header, clean header, paths) per table and distinct header.
+@dataclass
+class CsvGroup:
+    """Files of one table that share a header and its clean form."""
+
+    table: str
+    header_text: str
+    clean: list[str]
+    multiline: bool
+    paths: list[str]
 
-    Headers and paths come to the driver, as they do for the scan's own file index; data does not.
-    """
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in files.filter("header_text <> ''").select("table_name", "header_text", "path").toLocalIterator():
-        groups.setdefault((r.table_name, r.header_text), []).append(r.path)
-    raw = [parse_header(text) for _, text in groups]
-    cleaned = clean_headers(spark, raw, dialect, duplicates)
-    return [(table, text, h, c, paths) for ((table, text), paths), h, c in zip(groups.items(), raw, cleaned)]
 
+def csv_groups(spark: SparkSession, files: DataFrame, dialect: str = "current", duplicates: str = "merge") -> list[CsvGroup]:
+    """The groups of the listed files.
 
-def csv_frame(spark: SparkSession, root: str, paths: list[str], clean: list[str]) -> DataFrame:
-    """``_source_file`` and the clean columns of files with one header; equal names merge."""
-    return merge_columns(read_csv_group(spark, root, paths, len(clean)), [SOURCE, *clean])
+    Headers and paths come to the driver, as they do for the scan's own file index; data does not.
+    """
+    found: dict[tuple[str, str, bool], list[str]] = {}
+    for r in files.filter("header_text <> ''").select("table_name", "header_text", "multiline", "path").toLocalIterator():
+        found.setdefault((r.table_name, r.header_text, bool(r.multiline)), []).append(r.path)
+    cleaned = clean_headers(spark, [parse_header(text) for _, text, _ in found], dialect, duplicates)
+    return [CsvGroup(table, text, clean, broken, paths)
+            for ((table, text, broken), paths), clean in zip(found.items(), cleaned)]
+
+
+def csv_frame(spark: SparkSession, root: str, group: CsvGroup) -> DataFrame:
+    """``_source_file`` and the clean columns of one group; equal names merge."""
+    raw = read_csv_group(spark, root, group.paths, len(group.clean), group.multiline)
+    return merge_columns(raw, [SOURCE, *group.clean])
 
 
 def read_json(spark: SparkSession, root: str, paths: list[str], lines: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ FIRST_RECORD = "^\ufeff?((?:[^\"\r\n]++|\"[^\"]*+\")*+)"
 # Beyond this size a file is hashed block by block in a task instead of as one row.
 WHOLE_FILE_BYTES = 512 * 1024 * 1024
 _LISTING = "path string, source_file string, folder string, name string, extension string, length bigint, modified timestamp"
-_HASHES = "file_sha256 string, signature string, header_text string"
+_HASHES = "file_sha256 string, signature string, header_text string, multiline boolean"
 
 
 def plain_path(path: str) -> str:
@@ -101,25 +101,42 @@ def signature(content: Column | str) -> Column:
     return F.when(first == ZIP_SIGNATURE, "workbook").when(first == LEGACY_SIGNATURE, "legacy").otherwise("unknown")
 
 
+def has_quoted_breaks(content: Column | str) -> Column:
+    """Whether a quoted cell runs over a line end: some line then holds an odd number of quotes.
+
+    Everything but quotes and line ends is cut, then pairs of quotes; a quote that is left is odd.
+    """
+    marks = F.regexp_replace(F.decode(names.as_column(content), "ISO-8859-1"), '[^"\n]+', "")
+    return F.contains(F.replace(marks, F.lit('""'), F.lit("")), F.lit('"'))
+
+
 def hashed(contents: DataFrame, root: str) -> DataFrame:
     """Listing columns, hash, kind and first record of binary file rows."""
-    head = F.decode(F.substring("content", 1, HEAD_BYTES), "UTF-8")
+    head = F.make_valid_utf8(F.substring("content", 1, HEAD_BYTES).cast("string"))
     is_text = F.lower("path").endswith(".csv")
     return contents.select(
         *_described(root),
         F.sha2("content", 256).alias("file_sha256"),
         signature("content").alias("signature"),
         F.when(is_text, F.regexp_extract(head, FIRST_RECORD, 1)).alias("header_text"),
+        F.when(is_text, has_quoted_breaks("content")).alias("multiline"),
     )
 
 
 def scan_files(spark: SparkSession, root: str, extensions=WORKBOOK_EXTENSIONS, in_root: bool = False,
-               whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """The listing with ``file_sha256``, ``signature`` and ``header_text``, in one pass over the contents."""
-    listed = list_files(spark, root, extensions, in_root)
-    if listed.isEmpty():
+               whole_file_bytes: int = WHOLE_FILE_BYTES, listed: DataFrame | None = None) -> DataFrame:
+    """The listing with hash, kind and first record of every file, in one pass over the contents.
+
+    ``listed`` narrows the scan to some files of the listing, so that the contents of others are not read.
+    """
+    paths: str | list[str] = root
+    if listed is not None:
+        paths = [glob_escaped(r[0]) for r in listed.select("path").toLocalIterator()]
+    else:
+        listed = list_files(spark, root, extensions, in_root)
+    if not paths or listed.isEmpty():
         return spark.createDataFrame([], f"{_LISTING}, {_HASHES}")
-    small = _chosen(hashed(binary_files(spark, root).filter(F.col("length") <= whole_file_bytes), root), extensions, in_root)
+    small = _chosen(hashed(binary_files(spark, paths).filter(F.col("length") <= whole_file_bytes), root), extensions, in_root)
     large = listed.filter(F.col("length") > whole_file_bytes)
     return small.unionByName(large.mapInPandas(_hash_by_block, f"{_LISTING}, {_HASHES}"))
 
@@ -129,19 +146,24 @@ def _hash_by_block(batches):
 
     kinds = {ZIP_SIGNATURE: "workbook", LEGACY_SIGNATURE: "legacy"}
     for batch in batches:
-        hashes, found, headers = [], [], []
+        hashes, found, headers, broken = [], [], [], []
         for path in batch["path"]:
             system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-            digest, head = hashlib.sha256(), b""
+            digest, head, odd, split = hashlib.sha256(), b"", 0, False
             with system.open_input_stream(inner) as stream:
                 while block := stream.read(1 << 20):
                     head = head or block[:HEAD_BYTES]
                     digest.update(block)
+                    *ended, last = block.split(b"\n")
+                    for line in ended:
+                        split, odd = split or (odd + line.count(b'"')) % 2 == 1, 0
+                    odd += last.count(b'"')
             hashes.append(digest.hexdigest())
             found.append(kinds.get(head[:4].hex().upper(), "unknown"))
             first = re.match(FIRST_RECORD, head.decode("utf-8", "replace")) if path.lower().endswith(".csv") else None
             headers.append(first.group(1) if first else None)
-        yield batch.assign(file_sha256=hashes, signature=found, header_text=headers)
+            broken.append(split or odd % 2 == 1 if path.lower().endswith(".csv") else None)
+        yield batch.assign(file_sha256=hashes, signature=found, header_text=headers, multiline=broken)
 
 
 def validate(files: DataFrame) -> DataFrame:

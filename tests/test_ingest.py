@@ -291,6 +291,30 @@ def test_bulk_load_and_report(store, tmp_path, put):
     assert store.spark.read.json(str(tmp_path / "report")).head().found_rows == 2
 
 
+def test_quoted_line_ends_and_quotes(store, tmp_path, put):
+    root = tmp_path / "d"
+    put(root / "t" / "a.csv", 'id,note\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    put(root / "t" / "b.csv", 'id,note\n3,"one ""line"""\n4,back\\slash\n')
+    ingest(store, str(root), "csv")
+    assert rows(store.read_table("t"), "id", "note") == [
+        (1, 'two\nlines, "quoted"'), (2, "plain"), (3, 'one "line"'), (4, "back\\slash")]
+
+
+def test_unchanged_files_are_not_read_again(store, tmp_path, put):
+    import os
+
+    root = tmp_path / "d"
+    first = put(root / "t" / "a.csv", "id\n1\n")
+    ingest(store, str(root), "csv", trust_listing=True)
+    stamp = first.stat()
+    first.write_text("id\n7\n")
+    os.utime(first, ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    put(root / "t" / "b.csv", "id\n2\n")
+    result = ingest(store, str(root), "csv", trust_listing=True)
+    assert rows(result.outcomes, "source_file", "status") == [("t/a.csv", "skipped"), ("t/b.csv", "success")]
+    assert rows(ingest(store, str(root), "csv").outcomes, "source_file", "status") == [("t/a.csv", "success"), ("t/b.csv", "skipped")]
+
+
 def test_unknown_options_are_refused(store, evolving):
     for bad in ({"atomic": "row"}, {"dedupe": "x"}, {"type_overrides": {"a": "MONEY"}}):
         with pytest.raises(ValueError):

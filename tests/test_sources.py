@@ -43,6 +43,7 @@ def test_hashes_whole_and_by_block(spark, tmp_path, put):
         got = files.scan_files(spark, str(tmp_path / "r"), (".csv",), whole_file_bytes=limit).collect()
         assert {r.name: r.file_sha256 for r in got} == want
         assert {r.name: r.header_text for r in got} == {"a.csv": '"x\ny",z', "b.csv": "x"}
+        assert {r.name: r.multiline for r in got} == {"a.csv": True, "b.csv": False}
 
 
 def test_validation(spark, tmp_path, put, make_workbook):
