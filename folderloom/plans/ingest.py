@@ -360,11 +360,16 @@ def _commit(store, run, good, counts, schema, changes, outcomes, options) -> Non
         "row_count", F.coalesce("row_count", F.lit(0))).join(versions, "table_name", "left")
     if not options.keep_empty:
         logged = logged.filter("row_count > 0")
-    store.append_ledger("imports", run, logged.select(
-        F.xxhash64("table_name", "source_file", "file_sha256").alias("id"), "table_name", "source_file", "file_sha256",
-        "row_count", F.current_timestamp().alias("imported_at"), F.col("folder").alias("folder_path"),
-        F.col("version").alias("schema_version"), "length", "modified"))
-    store.append_ledger("changes", run, changes)
-    store.append_ledger("columns", run, schema.filter("moved"))
-    store.append_ledger("outcomes", run, outcomes)
+    entries = {
+        "imports": logged.select(
+            F.xxhash64("table_name", "source_file", "file_sha256").alias("id"), "table_name", "source_file", "file_sha256",
+            "row_count", F.current_timestamp().alias("imported_at"), F.col("folder").alias("folder_path"),
+            F.col("version").alias("schema_version"), "length", "modified"),
+        "changes": changes,
+        "columns": schema.filter("moved"),
+        "outcomes": outcomes,
+    }
+    append = inheritable_thread_target(store.spark)(lambda name: store.append_ledger(name, run, entries[name]))
+    with ThreadPoolExecutor(len(entries)) as pool:
+        list(pool.map(append, entries))
     store.commit(run)

@@ -1,4 +1,4 @@
-"""Folder trees from file to table, on the fixtures the reference's own tests use."""
+"""Folder trees from file to table."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def evolving(tmp_path, make_workbook):
     return root
 
 
-def test_evolving_workbooks(store, evolving):
+def test_evolving_workbooks(store, evolving, make_workbook):
     result = ingest(store, str(evolving))
     assert result.summary().head().asDict() == {"success": 2, "errors": 0, "skipped": 0, "success_rate": 100}
     table = store.read_table("test_folder")
@@ -40,19 +40,13 @@ def test_evolving_workbooks(store, evolving):
         ("add_column", "category", "test_folder/file2.xlsx"), ("create_table", None, "test_folder/file1.xlsx")]
     assert rows(store.imports(), "source_file", "row_count") == [
         ("test_folder/file1.xlsx", 2), ("test_folder/file2.xlsx", 2)]
-
-
-def test_second_run_adds_nothing(store, evolving):
-    ingest(store, str(evolving))
+    # A second run adds nothing.
     again = ingest(store, str(evolving))
     assert rows(again.outcomes, "status", "reason") == [("skipped", "already imported")] * 2
     assert store.read_table("test_folder").count() == 4
     assert store.imports().count() == 2
     assert store.changes().count() == 2
-
-
-def test_later_run_widens_old_rows(store, evolving, make_workbook):
-    ingest(store, str(evolving))
+    # A later one widens the rows that are there.
     make_workbook(evolving / "test_folder" / "file3.xlsx", {"Sheet1": [["ID", "Value"], [5, "n/a"], [6, "7"], [7, "many"]]})
     ingest(store, str(evolving))
     assert store.table_columns("test_folder")["value"] == "TEXT"
@@ -62,7 +56,7 @@ def test_later_run_widens_old_rows(store, evolving, make_workbook):
         ("value", "INTEGER", "TEXT")]
 
 
-def test_revert_by_file_and_back(store, evolving):
+def test_reverts(store, evolving, make_workbook):
     ingest(store, str(evolving))
     before = rows(store.read_table("test_folder"), "id", "name")
     plan = store.revert_plan("test_folder", source_file="test_folder/file1.xlsx")
@@ -73,10 +67,7 @@ def test_revert_by_file_and_back(store, evolving):
     assert rows(store.backups(), "row_count", "reason") == [(2, "import_revert")]
     ingest(store, str(evolving))
     assert rows(store.read_table("test_folder"), "id", "name") == before
-
-
-def test_revert_by_hash_leaves_other_versions(store, evolving, make_workbook):
-    ingest(store, str(evolving))
+    # By hash only one version of a file goes.
     make_workbook(evolving / "test_folder" / "file1.xlsx", {"Sheet1": [["ID", "Name", "Value"], [9, "Z", 90]]})
     ingest(store, str(evolving))
     assert rows(store.read_table("test_folder"), "id") == [(1,), (2,), (3,), (4,), (9,)]
@@ -262,8 +253,9 @@ def test_store_catalogue(store, evolving):
     assert store.read_table("test_folder").count() == 4
 
 
-def test_backups(store, evolving):
-    ingest(store, str(evolving))
+def test_backups(store, tmp_path, put):
+    path = put(tmp_path / "in.csv", "id\n1\n2\n3\n4\n")
+    store.load_csv("test_folder", str(path), {"id": "BIGINT"})
     path, n = store.backup("test_folder", "id > 1", fmt="csv")
     assert n == 3 and store.spark.read.option("header", True).csv(path).count() == 3
     store.backup("test_folder")

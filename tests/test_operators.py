@@ -1,4 +1,4 @@
-"""Operators against brute force on small random inputs, and on the reference's frame fixtures."""
+"""Operators against brute force on small random inputs and on hand-written frames."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def rows(df, *order):
 
 
 def simulate(files, policy, existing=None, relog=False):
-    """File by file, as the reference works."""
+    """File by file, one after the other."""
     tables = {t: dict(c) for t, c in (existing or {}).items()}
     log = []
     for table, key, types in files:
@@ -132,8 +132,8 @@ CONFIG = {"folder_a": {"sheet": "Policies"}, "Folder_B": {"nested": {"sheet": "C
           "skip": {"deep": {"sheet": "Deep"}}}
 
 
-def reference_sheet(config, parts, rule, default):
-    """The walks as the reference's generations do them, keys folded to lower case."""
+def walked_sheet(config, parts, rule, default):
+    """Plain walks down the mapping, keys folded to lower case."""
     fold = lambda d: {str(k).lower(): v for k, v in d.items()}
     node, found = config, None
     for part in parts:
@@ -156,7 +156,7 @@ def test_sheet_rules(spark, rule):
                "skip", "skip/between/deep", "skip/deep"]
     df = spark.createDataFrame([(f,) for f in folders], "folder string")
     got = {r.folder: r.sheet for r in sheets.resolve_sheets(df, CONFIG, rule, "Sheet1").collect()}
-    assert got == {f: reference_sheet(CONFIG, f.split("/"), rule, "Sheet1") for f in folders}
+    assert got == {f: walked_sheet(CONFIG, f.split("/"), rule, "Sheet1") for f in folders}
 
 
 def test_ledger_dedupe(spark):
