@@ -13,12 +13,13 @@ from folderloom.plans.registry import load, query
 from folderloom.plans.staging import Stage
 from folderloom.plans.store import Store
 from folderloom.sources import files as file_source
+from folderloom.sources.delimited import CSV_OPTIONS
 from folderloom.streaming.incremental import ingest_stream
 
 
 def _event_tree(spark: SparkSession, sf: str, root: str) -> None:
     """One folder per event type, CSV files of text columns."""
-    event_batches(spark, sf).drop("file_key").write.partitionBy("table_name").option("header", True).csv(root)
+    event_batches(spark, sf).drop("file_key").write.partitionBy("table_name").options(**CSV_OPTIONS).csv(root)
 
 
 def _union(store: Store, columns: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def revert_after_ingest(spark, sf):
     """Documents imported by source folder; the files of one folder are reverted."""
     stage = Stage(spark)
     docs = load(spark, sf, "documents").select("doc_id", "n_chars", "source")
-    docs.write.partitionBy("source").option("header", True).csv(f"{stage.root}/tree")
+    docs.write.partitionBy("source").options(**CSV_OPTIONS).csv(f"{stage.root}/tree")
     store = Store(spark, f"{stage.root}/store")
     listed = file_source.scan_files(spark, f"{stage.root}/tree", (".csv",))
     flat = listed.withColumn("folder", F.lit("docs"))

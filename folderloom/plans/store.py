@@ -22,6 +22,7 @@ from folderloom.functions import names
 from folderloom.operators import columns, ledger, revert
 from folderloom.operators.inference import struct_type
 from folderloom.operators.joins import broadcast_if_small
+from folderloom.sources.delimited import CSV_OPTIONS, read_declared, write_csv
 
 LEDGERS = {
     "commits": "committed_at timestamp",
@@ -158,7 +159,7 @@ class Store:
         """Bulk load of CSV files under a declared schema, creating the table if need be; returns the row count."""
         self.create_table(table, schema)
         version, run = max(self.table_versions(table)), f"load-{uuid.uuid4().hex}"
-        rows = self.spark.read.schema(struct_type(schema)).option("header", True).csv(path)
+        rows = read_declared(self.spark, path, struct_type(schema))
         declared = columns.align(rows, self.table_columns(table))
         self.write_rows(table, version, run, declared.withColumns(
             {"source_file": F.lit(path), "load_timestamp": F.current_timestamp()}))
@@ -307,10 +308,13 @@ class Store:
     def _write_backup(self, table: str, rows: DataFrame, run: str, fmt: str, reason: str,
                       imports: DataFrame | None) -> tuple[str, int]:
         path = self._path("backups", table, run)
-        writer = rows.write.mode("overwrite")
-        (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
-        reader = self.spark.read.option("header", True).csv(path) if fmt == "csv" else self.spark.read.parquet(path)
-        n = reader.count()
+        if fmt == "csv":
+            write_csv(rows, path)
+            # Cells may hold line ends, so the copy is counted by records.
+            n = self.spark.read.options(**CSV_OPTIONS).option("multiLine", True).csv(path).count()
+        else:
+            rows.write.mode("overwrite").parquet(path)
+            n = self.spark.read.parquet(path).count()
         about = [F.lit(table).alias("table_name"), F.lit(path).alias("backup_path"), F.lit(n).alias("row_count"),
                  F.lit(reason).alias("reason"), F.current_timestamp().alias("created_at")]
         if imports is None:

@@ -14,6 +14,8 @@ from folderloom.operators.columns import clean_headers, flatten_structs, merge_c
 from folderloom.sources.files import glob_escaped, metadata_path, relative_path
 
 SOURCE = "_source_file"
+# Quotes inside quoted cells are doubled, read and written.
+CSV_OPTIONS = {"header": "true", "escape": '"'}
 
 
 def parse_header(text: str) -> list[str]:
@@ -23,12 +25,10 @@ def parse_header(text: str) -> list[str]:
 
 
 def read_csv_group(spark: SparkSession, root: str, paths: list[str], width: int, multiline: bool = False) -> DataFrame:
-    """Files of one header width, all columns as text by position, with their relative path.
-
-    Quotes inside quotes are doubled. Only files with line ends inside quotes are read unsplit.
-    """
+    """Files of one header width, all columns as text by position, with their relative path. Only files
+    with line ends inside quotes are read unsplit."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS).option("enforceSchema", True)
     raw = reader.option("multiLine", multiline).csv([glob_escaped(p) for p in paths])
     return raw.select(relative_path(metadata_path(), root).alias(SOURCE), *raw.columns)
 
@@ -100,9 +100,9 @@ def json_frame(spark: SparkSession, root: str, paths: list[str], dialect: str =
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One dataset as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Bulk read of CSV under a declared schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)

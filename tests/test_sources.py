@@ -118,7 +118,7 @@ def test_archives(spark):
 def test_csv_sinks(spark, tmp_path):
     from folderloom.operators.inference import struct_type
 
-    df = spark.createDataFrame([(1, "a,b"), (2, None)], "id int, s string")
+    df = spark.createDataFrame([(1, 'a,"b"\\'), (2, None)], "id int, s string")
     delimited.write_csv(df, str(tmp_path / "out"))
     back = delimited.read_declared(spark, str(tmp_path / "out"), struct_type({"id": "INTEGER", "s": "TEXT"}))
-    assert sorted(map(tuple, back.collect())) == [(1, "a,b"), (2, None)]
+    assert sorted(map(tuple, back.collect())) == [(1, 'a,"b"\\'), (2, None)]
