@@ -27,9 +27,12 @@ _LISTING = "path string, source_file string, folder string, name string, extensi
 _HASHES = "file_sha256 string, signature string, header_text string, multiline boolean"
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def plain_path(path: str) -> str:
     """Path without scheme and host, no slash at the end."""
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    return re.sub("/+", "/", re.sub(_SCHEME, "", path)).rstrip("/")
 
 
 def glob_escaped(path: str) -> str:
@@ -37,8 +40,10 @@ def glob_escaped(path: str) -> str:
 
 
 def relative_path(path: Column | str, root: str) -> Column:
-    """What follows the root folder in a full path."""
-    return F.substring_index(F.concat(names.as_column(path), F.lit("")), plain_path(root) + "/", -1)
+    """What follows the root folder in a full path; of a relative root, its first place in the path."""
+    base, plain = plain_path(root), F.regexp_replace(names.as_column(path), _SCHEME, "")
+    start = F.lit(0) if base.startswith("/") or not base else F.instr(plain, F.lit(f"/{base}/"))
+    return F.substr(plain, start + len(base) + 2)
 
 
 def metadata_path() -> Column:

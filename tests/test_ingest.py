@@ -146,16 +146,16 @@ def test_dry_run_writes_nothing(store, evolving):
 
 
 def test_csv_with_differing_headers(store, tmp_path, put):
-    root = tmp_path / "d ä+ta"
-    put(root / "Sales Data" / "a 1.csv", "Id,Amount (€),Paid\n1,$1.50,yes\n2,2,no\n")
-    put(root / "Sales Data" / "b+2.csv", "ID,id,Paid,When\n,3,Y,2024-01-05\n4,,N,2024-02-30\n,,,\n")
-    put(root / "Sales Data" / "c.csv", "\n")
+    root = tmp_path / "d ä+ta" / "in"
+    put(root / "in" / "Sales Data" / "a [1].csv", "Id,Amount (€),Paid\n1,$1.50,yes\n2,2,no\n")
+    put(root / "in" / "Sales Data" / "b+2.csv", "ID,id,Paid,When\n,3,Y,2024-01-05\n4,,N,2024-02-30\n,,,\n")
+    put(root / "in" / "Sales Data" / "c.csv", "\n")
     result = ingest(store, str(root), "csv")
     assert rows(result.outcomes, "source_file", "status", "row_count") == [
-        ("Sales Data/a 1.csv", "success", 2), ("Sales Data/b+2.csv", "success", 2), ("Sales Data/c.csv", "skipped", 0)]
-    got = [tuple(str(v) for v in r) for r in rows(store.read_table("sales_data"), "id", "amount", "paid", "when", "source_file")]
-    assert got == [("1", "1.5", "True", "None", "Sales Data/a 1.csv"), ("2", "2.0", "False", "None", "Sales Data/a 1.csv"),
-                   ("3", "None", "True", "2024-01-05", "Sales Data/b+2.csv"), ("4", "None", "False", "None", "Sales Data/b+2.csv")]
+        ("in/Sales Data/a [1].csv", "success", 2), ("in/Sales Data/b+2.csv", "success", 2), ("in/Sales Data/c.csv", "skipped", 0)]
+    got = [tuple(str(v) for v in r) for r in rows(store.read_table("in_sales_data"), "id", "amount", "paid", "when", "source_file")]
+    assert got == [("1", "1.5", "True", "None", "in/Sales Data/a [1].csv"), ("2", "2.0", "False", "None", "in/Sales Data/a [1].csv"),
+                   ("3", "None", "True", "2024-01-05", "in/Sales Data/b+2.csv"), ("4", "None", "False", "None", "in/Sales Data/b+2.csv")]
 
 
 def test_json_documents(store, tmp_path, put):

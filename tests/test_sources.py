@@ -122,3 +122,13 @@ def test_csv_sinks(spark, tmp_path):
     delimited.write_csv(df, str(tmp_path / "out"))
     back = delimited.read_declared(spark, str(tmp_path / "out"), struct_type({"id": "INTEGER", "s": "TEXT"}))
     assert sorted(map(tuple, back.collect())) == [(1, 'a,"b"\\'), (2, None)]
+
+
+def test_relative_paths(spark):
+    from pyspark.sql import functions as F
+
+    got = lambda path, root: spark.range(1).select(files.relative_path(F.lit(path), root)).head()[0]
+    assert got("file:/data/x/data/f.csv", "/data") == got("file:/data/x/data/f.csv", "file:///data/") == "x/data/f.csv"
+    assert got("s3a://bucket/in/t/f.csv", "s3a://bucket/in") == "t/f.csv"
+    assert got("s3a://bucket/t/f.csv", "s3a://bucket/") == "t/f.csv"
+    assert got("file:/home/me/in/t/in/f.csv", "in") == "t/in/f.csv"
