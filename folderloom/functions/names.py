@@ -80,12 +80,13 @@ def clean_identifier(value: Column | str, dialect: str = "current", ascii_input:
     raise ValueError(f"unknown dialect {dialect!r}; use one of {DIALECTS}")
 
 
-def clean_header_cells(header: Column | str, dialect: str = "current") -> Column:
+def clean_header_cells(header: Column | str, dialect: str = "current", ascii_input: bool = False) -> Column:
     """``clean_identifier`` over an array of names. The accent fold runs once on the joined names."""
     cells = as_column(header)
     if dialect in ("current", "suffix"):
         joined = F.array_join(cells, _CELL_MARK)
-        joined = fold_ascii(F.lower(joined) if dialect == "current" else joined)
+        joined = F.lower(joined) if dialect == "current" else joined
+        joined = joined if ascii_input else fold_ascii(joined)
         cells = F.when(F.size(cells) > 0, F.split(joined, _CELL_MARK)).otherwise(cells)
     return F.transform(cells, lambda n: clean_identifier(n, dialect, ascii_input=True))
 

@@ -26,7 +26,8 @@ def clean_headers(spark: SparkSession, headers: Sequence[Sequence[str]], dialect
     if not headers:
         return []
     rows = spark.createDataFrame([(i, list(h)) for i, h in enumerate(headers)], "i int, header array<string>")
-    cleaned = names.clean_header_cells("header", dialect)
+    ascii_only = all(n.isascii() for h in headers for n in h)
+    cleaned = names.clean_header_cells("header", dialect, ascii_only)
     if duplicates == "suffix":
         cleaned = names.suffix_duplicates(cleaned)
     return [r.header for r in sorted(rows.select("i", cleaned.alias("header")).collect(), key=lambda r: r.i)]
