@@ -142,6 +142,8 @@ class Store:
                      if_exists: str = "ignore") -> bool:
         """Register an empty table and log it; an existing one is left alone, or refused with ``fail``."""
         columns.check_insertable(list(schema))
+        if not is_table_name(table):
+            raise ValueError(f"invalid table name {table!r}")
         if self.table_exists(table):
             if if_exists == "fail":
                 raise ValueError(f"table {table} exists")

@@ -242,6 +242,8 @@ def test_store_catalogue(store, evolving):
     assert store.create_table("made", {"a": "INTEGER", "b": "TEXT"}) and not store.create_table("made", {"a": "TEXT"})
     with pytest.raises(ValueError):
         store.create_table("made", {"a": "TEXT"}, if_exists="fail")
+    with pytest.raises(ValueError):
+        store.create_table("no table", {"a": "TEXT"})
     assert store.read_table("made").columns[:2] == ["a", "b"] and store.read_table("made").count() == 0
     got = store.sql("SELECT t.id FROM test_folder t JOIN etl_imports i USING (source_file) WHERE t.id > :n AND i.row_count = 2", {"n": 2})
     assert rows(got, "id") == [(3,), (4,)]
