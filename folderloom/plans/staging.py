@@ -5,23 +5,23 @@ A written table cuts the lineage, survives lost executors, and has a known size
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only where none is named, as in tests."""
+    """The checkpoint folder the session names, else its warehouse: both are shared between driver and executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="folderloom-")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 class Stage:
-    """One run's intermediate tables."""
+    """One run's intermediate tables. What is not discarded before goes when the driver's JVM ends."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/folderloom/{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, f"{(root or shared_folder(spark)).rstrip('/')}/folderloom/{uuid.uuid4().hex}"
+        self._path().getFileSystem(self._conf()).deleteOnExit(self._path())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -29,5 +29,10 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def discard(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._path().getFileSystem(self._conf()).delete(self._path(), True)
+
+    def _path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+
+    def _conf(self):
+        return self.spark._jsc.hadoopConfiguration()

