@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folderloom.llm import decontamination
+from folderloom.llm import decontamination, mixing, token_counts
 from folderloom.plans.registry import load, query
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,3 +29,15 @@ FROM dw LEFT JOIN nh ON nh.doc_id = dw.doc_id LEFT JOIN ni ON ni.doc_id = dw.doc
 """)
 def op2_benchmark_decontamination(spark, sf_dir):
     return decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_mixing_sources(spark, sf_dir):
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
