@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from folderloom.llm import decontamination, mixing, token_counts
+from pyspark.sql import functions as F
+
+from folderloom.llm import decontamination, language_id, mixing, quality, token_counts
 from folderloom.plans.registry import load, query
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,3 +43,23 @@ def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n == 2
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", _remainder(4))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op4_quality_classifier(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", _remainder(4))
+    known = docs.where(~F.col("held_out"))
+    model = quality.fit(known, load(spark, sf_dir, "labels").where(~_remainder(4)))
+    scored = quality.score(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
