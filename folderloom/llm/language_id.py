@@ -44,14 +44,17 @@ def _folded() -> np.ndarray:
 
 def ngrams(text: str) -> np.ndarray:
     """Sorted distinct 1-, 2- and 3-grams of the folded text as 64-bit keys; by parts for very long texts."""
-    found = [np.empty(0, np.uint64)]
-    for at in range(0, max(1, len(text)), PART):
-        c = _folded()[np.frombuffer((" " + text[max(0, at - 3):at + PART] + " ").encode("utf-32-le"), np.uint32)]
+    found, carried = [], np.full(1, 32, np.uint64)
+    for at in range(0, len(text) + 1, PART):
+        end = " " if at + PART > len(text) else ""
+        part = _folded()[np.frombuffer((text[at:at + PART] + end).encode("utf-32-le"), np.uint32)]
+        c = np.concatenate([carried, part])
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
         two = (c[:-1] << np.uint64(21)) | c[1:]
         three = (two[:-1] << np.uint64(21)) | c[2:]
         found.append(np.unique(np.concatenate([c[c != 32], two, three])))
-    return found[1] if len(found) == 2 else np.unique(np.concatenate(found))
+        carried = c[-2:]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 class Model:

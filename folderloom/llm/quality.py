@@ -76,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, k + 4] = np.bincount(rows, KINDS[8][last], minlength=n) / many
         out[:, k + 5] = np.bincount(rows, KINDS[7][last], minlength=n) / many
         out[:, k + 6] = np.bincount(rows, KINDS[0][data[starts]], minlength=n) / many
-        out[:, k + 7] = 1 - _distinct(hashes, rows, n) / many
+        out[:, k + 7] = (words > 0) - _distinct(hashes, rows, n) / many
         runs = run_hashes(hashes, 4)
         if len(runs):
             whole = rows[:len(runs)] == rows[3:]
@@ -84,7 +84,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             out[:, k + 8] = np.clip(out[:, k + 8], 0, 1)
     if len(lines):
         n_lines = np.bincount(line_rows, minlength=n)
-        out[:, k + 9] = 1 - _distinct(word_hashes(data, lines, line_ends), line_rows, n) / np.maximum(n_lines, 1)
+        out[:, k + 9] = (n_lines > 0) - _distinct(word_hashes(data, lines, line_ends), line_rows, n) / np.maximum(n_lines, 1)
         out[:, k + 10] = np.log1p(n_lines) / 10
     out[size == 0] = 0
     return out

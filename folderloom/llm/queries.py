@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folderloom.llm import decontamination, language_id, mixing, quality, token_counts
+from folderloom.llm import decontamination, language_id, lm_scoring, mixing, quality, token_counts
 from folderloom.plans.registry import load, query
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,6 +56,14 @@ def op1_language_id(spark, sf_dir):
     return language_id.predict(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query()
+def op3_lm_scoring(spark, sf_dir):
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", _remainder(7))
+    return lm_scoring.scores(docs, ~F.col("held_out"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "held_out"])
+
+
 @query()
 def op4_quality_classifier(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").withColumn("held_out", _remainder(4))
