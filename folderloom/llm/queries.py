@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folderloom.llm import decontamination, language_id, lm_scoring, mixing, quality, token_counts
+from folderloom.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality, token_counts
 from folderloom.plans.registry import load, query
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,3 +71,8 @@ def op4_quality_classifier(spark, sf_dir):
     model = quality.fit(known, load(spark, sf_dir, "labels").where(~_remainder(4)))
     scored = quality.score(docs, model, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query()
+def op9_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), n=2)
