@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folderloom.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality, token_counts
+from folderloom.llm import (
+    decontamination,
+    language_id,
+    licenses,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    neighbours,
+    quality,
+    token_counts,
+)
 from folderloom.plans.registry import load, query
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,3 +87,36 @@ def op4_quality_classifier(spark, sf_dir):
 @query()
 def op9_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), n=2)
+
+
+@query()
+def op6_line_dedup(spark, sf_dir):
+    found = line_dedup.deduplicate(load(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def _canonical_sql(x: str) -> str:
+    out = f"translate({x}, '{UPPER}', '{SMALL}')"
+    for pattern, by in licenses.STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"trim({out}, ' ')"
+
+
+@query(f"""
+WITH known(id, raw) AS (VALUES {", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())}),
+digests AS (SELECT id, sha256({_canonical_sql("raw")}) AS d FROM known),
+whole AS (SELECT doc_id, text, sha256({_canonical_sql("coalesce(text, '')")}) AS d FROM documents),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents),
+hit AS (SELECT DISTINCT doc_id, id FROM (SELECT doc_id, sha256({_canonical_sql("x")}) AS d FROM line) l JOIN digests ON digests.d = l.d)
+SELECT whole.doc_id, whole.d AS digest, (SELECT min(id) FROM digests WHERE digests.d = whole.d) AS license,
+       coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM hit WHERE hit.doc_id = whole.doc_id), '') AS notices
+FROM whole
+""")
+def op7_license_scan(spark, sf_dir):
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
+
+
+@query()
+def op10_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(load(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from folderloom.llm.lm_scoring import START, Lattice, scores
+from folderloom.llm.lm_scoring import START, Lattice, Table, scores
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -49,6 +49,17 @@ def test_forward_sums_all_segmentations():
     assert math.isfinite(lattice.forward("ab" * 5000))
 
 
+def test_many_words_at_a_time():
+    for lattice in (small(), Lattice.from_file(PATH)):
+        many = ["a", "ab", "ba", "b", "abéb", "漢ba", "x" * 80, "the", "tionhe,", "ab" * 24] * 3
+        one, side = np.zeros(len(lattice.logs)), np.zeros(len(lattice.logs))
+        for w in many:
+            lattice.expect(w, one)
+        Table(lattice).expect(many, side)
+        assert np.allclose(one, side)
+        assert np.allclose(Table(lattice).forward(many), [lattice.forward(w) for w in many])
+
+
 def words(t):
     return re.findall(r"[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
