@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folderloom.llm.text import LOWER, NOT_SPACE, flat, slabs, word_hashes, word_spans
+from folderloom.llm.text import LOWER, NOT_SPACE, flat, slabs, string_hashes, word_hashes, word_spans
 from folderloom.plans.staging import Stage
 
 FREQUENT = 1_000_000
@@ -38,6 +38,8 @@ DISCOUNT = 0.75
 ROUNDS = 2
 #: Weight of the vocabulary's own scores beside the training words, in pieces.
 PRIOR = 50.0
+#: Words of up to so many characters are worked out side by side, those of one length together.
+SIDE_BY_SIDE = 48
 SLAB = 1 << 22
 START = "▁"
 
@@ -133,6 +135,93 @@ class Lattice:
             into[j] = []
 
 
+class Table:
+    """The same recursions for many words of one length at a time; pieces are found by the hash of their characters."""
+
+    def __init__(self, lattice: Lattice):
+        self.lattice, names = lattice, list(lattice.pieces)
+        self.logs = lattice.logs
+        hashes = np.array([string_hashes(self._codes([p]))(0, len(p))[0] for p in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array([lattice.pieces[p] for p in names])[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self._slot(hashes)] = True
+
+    @staticmethod
+    def _codes(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
+
+    def _arcs(self, codes: np.ndarray):
+        """(begin, end, rows, pieces, log weights, characters) of all arcs; pieces of -1 are characters without a piece."""
+        hashes, (m, n), longest = string_hashes(codes), codes.shape, self.lattice.longest
+        for i in range(n):
+            for j in range(i + 1, min(n, i + longest) + 1):
+                h = hashes(i, j)
+                rows = np.flatnonzero(self.seen[self._slot(h)])
+                at = np.minimum(np.searchsorted(self.hashes, h[rows]), len(self.hashes) - 1)
+                hit = self.hashes[at] == h[rows]
+                rows, ids = rows[hit], self.ids[at[hit]]
+                if len(rows):
+                    yield i, j, rows, ids, self.logs[ids], None
+                if j == i + 1 and len(rows) < m:
+                    bare = np.ones(m, bool)
+                    bare[rows] = False
+                    rows = np.flatnonzero(bare)
+                    kinds, which = np.unique(codes[rows, i], return_inverse=True)
+                    cost = np.array([sum(self.logs[self.lattice.bytes_at + b] for b in chr(c).encode()) for c in kinds])
+                    yield i, j, rows, np.full(len(rows), -1), cost[which], codes[rows, i]
+
+    def _alpha(self, codes: np.ndarray, keep: list | None) -> np.ndarray:
+        alpha = np.full((codes.shape[1] + 1, len(codes)), -np.inf)
+        alpha[0] = 0
+        for arc in self._arcs(codes):
+            i, j, rows, _, w, _ = arc
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + w)
+            if keep is not None:
+                keep.append(arc)
+        return alpha
+
+    def _groups(self, words: list[str]):
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w) if len(w) <= SIDE_BY_SIDE else -1, []).append(k)
+        return by_length.items()
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for length, at in self._groups(words):
+            if length < 0:
+                out[at] = [self.lattice.forward(words[k]) for k in at]
+            else:
+                out[at] = self._alpha(self._codes([START + words[k] for k in at]), None)[-1]
+        return out
+
+    def expect(self, words: list[str], counts: np.ndarray) -> None:
+        for length, at in self._groups(words):
+            if length < 0:
+                for k in at:
+                    self.lattice.expect(words[k], counts)
+                continue
+            arcs: list = []
+            alpha = self._alpha(self._codes([START + words[k] for k in at]), arcs)
+            back = np.zeros_like(alpha)
+            back[-1] = 1
+            arcs.sort(key=lambda arc: -arc[1])  # an arc's share is known when all that leave its end are done
+            for i, j, rows, ids, w, chars in arcs:
+                share = back[j, rows] * np.exp(alpha[i, rows] + w - alpha[j, rows])
+                back[i, rows] += share
+                if chars is None:
+                    counts += np.bincount(ids, share, minlength=len(counts))
+                else:
+                    for c in np.unique(chars):
+                        for b in chr(c).encode():
+                            counts[self.lattice.bytes_at + b] += share[chars == c].sum()
+
+
 def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     size = ends - starts
     offsets = np.concatenate([[0], np.cumsum(size)])
@@ -160,10 +249,9 @@ def _count(text: str, train: str):
 
 def _expect(lattice):
     def run(batches):
-        counts = np.zeros(len(lattice.value.logs))
+        table, counts = Table(lattice.value), np.zeros(len(lattice.value.logs))
         for batch in batches:
-            for word in batch.column("token").to_pylist():
-                lattice.value.expect(word, counts)
+            table.expect(batch.column("token").to_pylist(), counts)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
 
@@ -174,11 +262,11 @@ def _words(lattice, total: int, distinct: int, types: int, discount: float):
     """Each distinct word with its hash and its part of the scores."""
 
     def run(batches):
-        rest = math.log10((discount * types + 0.5) / (total + 1))
+        rest, table = math.log10((discount * types + 0.5) / (total + 1)), Table(lattice.value)
         for batch in batches:
             c = batch.column("c").to_numpy().astype(float)
             data, offsets = flat(batch.column("token"))
-            spell = np.array([lattice.value.forward(w) for w in batch.column("token").to_pylist()]) / math.log(10) + rest
+            spell = table.forward(batch.column("token").to_pylist()) / math.log(10) + rest
             with np.errstate(divide="ignore"):
                 seen = np.log10(np.maximum(c - discount, 0) / (total + 1))
             high = np.maximum(seen, spell)

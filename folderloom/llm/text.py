@@ -102,6 +102,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def string_hashes(codes: np.ndarray):
+    """For rows of code points: a function that hashes characters i to j of every row."""
+    n = codes.shape[1]
+    sums = np.zeros((n + 1, len(codes)), np.uint64)
+    np.cumsum((codes.T.astype(np.uint64) + np.uint64(1)) * _power_table(_MULTIPLIER, n)[:n, None], axis=0, out=sums[1:])
+    inverse = _power_table(_INVERSE, n + 1)
+    return lambda i, j: (sums[j] - sums[i]) * inverse[i]
+
+
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of ``length`` consecutive word hashes; the caller drops runs that cross rows."""
     n = max(0, len(words) - length + 1)
