@@ -99,9 +99,11 @@ def table_name(naming: str) -> Column:
 def ingest(store: Store, root: str | Sequence[str], fmt: str = "workbook", options: Options | None = None,
            run: str | None = None, **kw) -> Result:
     """Import all new files of one format below a root folder, or below several one after the other."""
+    if options and kw:
+        raise TypeError(f"options are given; {sorted(kw)} would be ignored")
     options = options or Options(**kw)
     if not isinstance(root, str):
-        return [ingest(store, r, fmt, options, run and f"{run}-{i}") for i, r in enumerate(root)][-1]
+        return _together([ingest(store, r, fmt, options, run and f"{run}-{i}") for i, r in enumerate(root)])
     known = None
     if options.trust_listing and fmt != "archive":
         listed = file_source.list_files(store.spark, root, EXTENSIONS[fmt])
@@ -114,6 +116,15 @@ def ingest(store: Store, root: str | Sequence[str], fmt: str = "workbook", optio
     return ingest_files(store, root, found, fmt, options, run, known)
 
 
+def _together(results: list[Result]) -> Result:
+    """One result of several runs; of a table that several of them changed, each schema version stands once."""
+    if not results:
+        raise ValueError("no root is given")
+    outcomes, changes, schema = (reduce(DataFrame.unionByName, frames) for frames in zip(
+        *((r.outcomes, r.changes, r.schema) for r in results), strict=True))
+    return Result(",".join(r.run for r in results), outcomes, changes, schema.distinct())
+
+
 _UNCHANGED = ("source_file", "length", "modified")
 
 

@@ -313,3 +313,12 @@ def test_unknown_options_are_refused(store, evolving):
     for bad in ({"atomic": "row"}, {"dedupe": "x"}, {"type_overrides": {"a": "MONEY"}}):
         with pytest.raises(ValueError):
             ingest(store, str(evolving), options=Options(**bad))
+
+
+def test_several_roots_give_one_result(store, evolving, tmp_path, make_workbook):
+    make_workbook(tmp_path / "more" / "other" / "a.xlsx", {"Sheet1": [["ID"], [1]]})
+    result = ingest(store, [str(evolving), str(tmp_path / "more")])
+    assert result.summary().head()["success"] == 3
+    assert {r.table_name for r in result.changes.collect()} == {"test_folder", "other"}
+    with pytest.raises(TypeError):
+        ingest(store, str(evolving), options=Options(), dedupe="content")
