@@ -5,11 +5,11 @@ from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from test_decontamination import brute as leaks
-from test_language_id import texts as languages
-from test_line_dedup import brute as cut
-from test_mixing import brute_targets
-from test_near_dedup import brute as near
+from llm.test_decontamination import brute as leaks
+from llm.test_language_id import texts as languages
+from llm.test_line_dedup import brute as cut
+from llm.test_mixing import brute_targets
+from llm.test_near_dedup import brute as near
 
 import corpus_pipeline
 
