@@ -148,11 +148,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .select("l.source", "size", "n", "source_size", "target").groupBy("source")
         .applyInPandas(_plan, f"source {kind}, size long, source_size long, target double, rounds long, extra long"))
     plan = stage.keep(plan, "plan")
-    cuts = before.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.size") == F.col("p.size")))
+    # Merge joins: both sides grow with the data, however small they look when compressed.
+    cuts = before.alias("b").join(plan.hint("merge").alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.size") == F.col("p.size")))
     cuts = cuts.select("b.source", "b.size", "slice", F.coalesce("before", F.lit(0)).alias("before"), "source_size", "target", "rounds", "extra")
     placed = sized.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("order", "doc_id")))
     same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d.slice") == F.col("c.slice"))
     chosen = (F.col("before") + F.col("place") <= F.col("extra")).cast("long")
-    return placed.alias("d").join(cuts.alias("c"), same).select(
+    return placed.alias("d").join(cuts.hint("merge").alias("c"), same).select(
         F.col("d.doc_id").alias(doc_id), F.col("d.size").alias("size"), "source_size", "target",
         (F.col("d.size") * (F.col("rounds") + chosen)).alias("taken"))
