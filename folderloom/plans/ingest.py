@@ -137,6 +137,8 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
                          ("inference", ("votes", "majority", "unanimous")), ("policy", sqltypes.POLICIES)):
         if getattr(options, name) not in values:
             raise ValueError(f"{name} is one of {values}")
+    if options.all_sheets and options.dedupe == "content":
+        raise ValueError("with all_sheets files are known by name and hash, not by content alone")
     unknown = set(options.type_overrides.values()) - set(sqltypes.SPARK_TYPES)
     if unknown:
         raise ValueError(f"unknown types {sorted(unknown)}")
@@ -151,11 +153,15 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
     good = stage.keep(good, "good")
     kept = {r[0] for r in good.select("table_name").distinct().collect()}
     scans = [s for s in scanned.scans if s.table in kept]
+    refused = problems.select(F.col("source_file").alias(SOURCE)).distinct()
+    if not refused.isEmpty():  # what could be read of a refused file stays out as well
+        refused = broadcast_if_small(refused)
+        scans = [Scan(s.table, s.frame.join(refused, SOURCE, "left_anti"), s.columns) for s in scans]
 
     types = stage.keep(_inferred(scans, scanned.headers, good, options, store), "types")
     existing = store.registry(runs)
     moves = evolution.change_log(types, options.policy, existing, relog=options.policy == "chain")
-    changes = stage.keep(_numbered(moves, types, began), "changes")
+    changes = stage.keep(_numbered(moves, types, began, stage), "changes")
     schema = stage.keep(_versioned(types, existing, store.next_version(runs), options), "schema")
 
     count = _counted if options.dry_run else _append
@@ -260,6 +266,13 @@ def _inferred(scans, headers, good, options, store) -> DataFrame:
     files = good.select("table_name", F.col("source_file").alias("file_key"))
     if headers is not None:
         types = inference.with_empty_columns(types, headers.withColumnRenamed("source_file", "file_key"), keys)
+    else:
+        # A JSON key that is null throughout is known by the scan's schema alone; the first file stands for it.
+        listed = spark.createDataFrame([r[:2] for r in order], "table_name string, column_name string").distinct()
+        silent = listed.join(types.select("table_name", "column_name").distinct(), ["table_name", "column_name"], "left_anti")
+        first = files.groupBy("table_name").agg(F.min("file_key").alias("file_key"))
+        types = types.select(*keys, "sql_type").unionByName(
+            silent.join(first, "table_name").select(*keys, F.lit("TEXT").alias("sql_type")))
     for name, sql_type in options.type_overrides.items():
         types = types.withColumn("sql_type", F.when(F.col("column_name") == name, sql_type).otherwise(F.col("sql_type")))
     ordinals = spark.createDataFrame(order, "table_name string, column_name string, ordinal int").groupBy(
@@ -267,24 +280,24 @@ def _inferred(scans, headers, good, options, store) -> DataFrame:
     return types.join(files, ["table_name", "file_key"], "left_semi").join(ordinals, ["table_name", "column_name"])
 
 
-def _numbered(moves: DataFrame, types: DataFrame, began: float) -> DataFrame:
-    """Changes with ids that rise in the order they took effect within a table.
+def _numbered(moves: DataFrame, types: DataFrame, began: float, stage: Stage) -> DataFrame:
+    """Changes with ids that are unique and rise in the order they took effect within a table.
 
-    Changes that move a type are few per table. TEXT columns logged again (chain policy) may be as many
-    as files; these are numbered within their file.
+    There may be as many changes as files (TEXT columns logged again by the chain policy), so they are sorted in ranges
+    and numbered in each; only the ranges' sizes are summed up in one place.
     """
     place = types.groupBy("table_name", "column_name").agg(F.min("ordinal").alias("_at"))
     kind = F.when(F.col("change_type") == "create_table", 0).when(F.col("change_type") == "add_column", 1).otherwise(2)
     placed = moves.join(place, ["table_name", "column_name"], "left").withColumn("_kind", kind)
-    again = F.coalesce((F.col("old_type") == "TEXT") & (F.col("new_type") == "TEXT"), F.lit(False))
-    order = ["source_file", "_kind", "_at", "column_name"]
-    base = int(began * 1000) << 20
-    moved = placed.filter(~again).withColumn(
-        "id", F.lit(base) + F.row_number().over(Window.partitionBy("table_name").orderBy(*order)))
-    logged = placed.filter(again).withColumn("id", F.lit(base + (1 << 19)) + F.row_number().over(
-        Window.partitionBy("table_name", "source_file").orderBy("_at", "column_name")))
-    return moved.unionByName(logged).select(
-        "id", "table_name", "change_type", "column_name", "old_type", "new_type", "source_file",
+    ordered = placed.orderBy("table_name", "source_file", "_kind", "_at", "column_name", "old_type", "new_type")
+    ordered = stage.keep(ordered.withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_m", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    numbered = ordered.withColumn("_part", part).join(starts, "_part")
+    return numbered.select(
+        (F.lit(int(began * 1000) << 20) + F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("id"),
+        "table_name", "change_type", "column_name", "old_type", "new_type", "source_file",
         F.timestamp_micros(F.lit(int(began * 1e6))).alias("changed_at"),
         F.to_json(F.struct("old_type", "new_type")).alias("details"),
     )

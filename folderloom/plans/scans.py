@@ -56,18 +56,23 @@ def scan_csv(spark: SparkSession, root: str, candidates: DataFrame, options, sta
         if options.drop_empty:
             frame = columns.drop_empty_rows(frame, frame.columns[1:])
         scans.append(Scan(group.table, frame, frame.columns[1:]))
-    texts = spark.createDataFrame([(g.table, g.header_text, g.clean) for g in groups],
-                                  "table_name string, header_text string, names array<string>")
-    headers = candidates.join(texts.distinct(), ["table_name", "header_text"]).select(
+    texts = spark.createDataFrame([(g.table, g.header_text, g.width, g.clean) for g in groups],
+                                  "table_name string, header_text string, width int, names array<string>")
+    headers = candidates.join(texts.distinct(), ["table_name", "header_text", "width"]).select(
         "table_name", "source_file", F.explode(F.array_distinct("names")).alias("column_name"))
-    empty = candidates.filter("header_text = ''")
+    empty = problem(candidates.filter("header_text = ''"), "skipped", "Empty data")
     assigned = candidates.filter("header_text <> ''").select("table_name", "source_file")
-    return ScanSet(scans, assigned, problem(empty, "skipped", "Empty data"), headers)
+    return ScanSet(scans, assigned, empty.unionByName(_unread(candidates)), headers)
+
+
+def _unread(candidates: DataFrame) -> DataFrame:
+    return problem(candidates.filter("signature = 'unread'"), "error", "cannot be read")
 
 
 def scan_json(spark: SparkSession, root: str, candidates: DataFrame, options, stage: Stage) -> ScanSet:
     paths: dict[str, list[str]] = {}
-    for r in candidates.select("table_name", "path").toLocalIterator():
+    readable = candidates.filter("signature <> 'unread'")
+    for r in readable.select("table_name", "path").toLocalIterator():
         paths.setdefault(r.table_name, []).append(r.path)
     scans, broken = [], []
     for table in sorted(paths):
@@ -81,7 +86,8 @@ def scan_json(spark: SparkSession, root: str, candidates: DataFrame, options, st
                 frame = frame.join(broadcast_if_small(bad), SOURCE, "left_anti")
         if found:
             scans.append(Scan(table, frame, found))
-    return ScanSet(scans, candidates.select("table_name", "source_file"), union(broken, spark, PROBLEM), None)
+    problems = union(broken, spark, PROBLEM).unionByName(_unread(candidates))
+    return ScanSet(scans, readable.select("table_name", "source_file"), problems, None)
 
 
 def scan_workbooks(spark: SparkSession, root: str, candidates: DataFrame, options, stage: Stage) -> ScanSet:
@@ -107,6 +113,7 @@ def archive_listing(members: DataFrame) -> DataFrame:
         F.coalesce(file_source.signature("content"), F.lit("unknown")).alias("signature"),
         F.lit(None).cast("string").alias("header_text"),
         F.lit(None).cast("boolean").alias("multiline"),
+        F.lit(None).cast("int").alias("width"),
         workbook.suggested_table("archive").alias("table_name"),
     )
 

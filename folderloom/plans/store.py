@@ -153,7 +153,8 @@ class Store:
         self.append_ledger("columns", run, self.spark.createDataFrame(rows, self._schema("columns")))
         now = datetime.datetime.now()
         self.append_ledger("changes", run, self.spark.createDataFrame(
-            [(0, table, "create_table", None, None, None, source_file, now, None)], self._schema("changes")))
+            [(int(now.timestamp() * 1000) << 20, table, "create_table", None, None, None, source_file, now, None)],
+            self._schema("changes")))
         self.commit(run)
         return True
 
@@ -216,7 +217,10 @@ class Store:
         """Rows of chosen imports of one table."""
         rows, target = self._all_rows(table, self.committed_runs())
         chosen = imports.filter(F.col("table_name") == table).select("source_file", "_run")
-        return rows.join(broadcast_if_small(chosen), ["source_file", "_run"], "left_semi").select(*target, *LINEAGE)
+        if rows is None:
+            fields = [*struct_type(target).fields, *[T.StructField(n, t) for n, t in LINEAGE.items()]]
+            return self.spark.createDataFrame([], T.StructType([*fields, T.StructField("_run", T.StringType())]))
+        return rows.join(broadcast_if_small(chosen), ["source_file", "_run"], "left_semi").select(*target, *LINEAGE, "_run")
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """SQL with named parameters over all tables and the ledgers ``etl_imports`` and ``etl_schema_changes``."""
@@ -231,13 +235,13 @@ class Store:
     def revert_plan(self, table: str | None = None, selector: str | None = None, **by: str) -> DataFrame:
         """What a revert would remove, per import, with counted rows; nothing is changed."""
         chosen = self._chosen(table, selector, by)
-        found = [self._rows_of(r[0], chosen).groupBy("source_file").agg(F.count(F.lit(1)).alias("found_rows"))
+        found = [self._rows_of(r[0], chosen).groupBy("source_file", "_run").agg(F.count(F.lit(1)).alias("found_rows"))
                  .withColumn("table_name", F.lit(r[0])) for r in chosen.select("table_name").distinct().collect()]
         counts = found[0] if found else self.spark.createDataFrame(
-            [], "source_file string, found_rows bigint, table_name string")
+            [], "source_file string, _run string, found_rows bigint, table_name string")
         for f in found[1:]:
             counts = counts.unionByName(f)
-        return chosen.join(counts, ["table_name", "source_file"], "left").select(
+        return chosen.join(counts, ["table_name", "source_file", "_run"], "left").select(
             "id", "table_name", "source_file", "file_sha256", F.col("row_count").alias("expected_rows"),
             F.coalesce("found_rows", F.lit(0)).alias("found_rows"))
 
@@ -304,7 +308,7 @@ class Store:
         mine = chosen.filter(F.col("table_name") == table)
         missing = mine.join(held, ["file_sha256", "source_file"], "left_anti")
         if not missing.isEmpty():
-            self._write_backup(table, self._rows_of(table, missing), f"{run}-{table}", "parquet", "import_revert", missing)
+            self._write_backup(table, self._rows_of(table, missing).drop("_run"), f"{run}-{table}", "parquet", "import_revert", missing)
             self.commit(f"{run}-{table}")
 
     def _write_backup(self, table: str, rows: DataFrame, run: str, fmt: str, reason: str,

@@ -35,26 +35,30 @@ def read_csv_group(spark: SparkSession, root: str, paths: list[str], width: int,
 
 @dataclass
 class CsvGroup:
-    """Files of one table that share a header and its clean form."""
+    """Files of one table that share a header, its clean form and the width of their widest record."""
 
     table: str
     header_text: str
     clean: list[str]
     multiline: bool
+    width: int
     paths: list[str]
 
 
 def csv_groups(spark: SparkSession, files: DataFrame, dialect: str = "current", duplicates: str = "merge") -> list[CsvGroup]:
     """The groups of the listed files.
 
-    Headers and paths come to the driver, as they do for the scan's own file index; data does not.
+    Headers and paths come to the driver, as they do for the scan's own file index; data does not. Cells beyond the
+    header are ``extra_col_<position>``.
     """
-    found: dict[tuple[str, str, bool], list[str]] = {}
-    for r in files.filter("header_text <> ''").select("table_name", "header_text", "multiline", "path").toLocalIterator():
-        found.setdefault((r.table_name, r.header_text, bool(r.multiline)), []).append(r.path)
-    cleaned = clean_headers(spark, [parse_header(text) for _, text, _ in found], dialect, duplicates)
-    return [CsvGroup(table, text, clean, broken, paths)
-            for ((table, text, broken), paths), clean in zip(found.items(), cleaned)]
+    found: dict[tuple[str, str, bool, int], list[str]] = {}
+    for r in files.filter("header_text <> ''").select("table_name", "header_text", "multiline", "width", "path").toLocalIterator():
+        found.setdefault((r.table_name, r.header_text, bool(r.multiline), r.width), []).append(r.path)
+    headers = [parse_header(text) for _, text, _, _ in found]
+    padded = [h + [f"extra_col_{i}" for i in range(len(h), key[3])] for h, key in zip(headers, found, strict=True)]
+    cleaned = clean_headers(spark, padded, dialect, duplicates)
+    return [CsvGroup(table, text, clean, broken, width, paths)
+            for ((table, text, broken, width), paths), clean in zip(found.items(), cleaned, strict=True)]
 
 
 def csv_frame(spark: SparkSession, root: str, group: CsvGroup) -> DataFrame:

@@ -18,13 +18,15 @@ CONFIG_FILES = ("config.json", "config.template.json")
 ZIP_SIGNATURE, LEGACY_SIGNATURE = "504B0304", "D0CF11E0"
 LARGE_FILE_BYTES = 100 * 1024 * 1024
 
-HEAD_BYTES = 64 * 1024
-# First record of a delimited file; line breaks inside quotes belong to it.
-FIRST_RECORD = "^\ufeff?((?:[^\"\r\n]++|\"[^\"]*+\")*+)"
+# First record of a delimited file behind blank lines; line breaks inside quotes belong to it. The mark of UTF-8 may
+# stand before it, decoded or, where bytes are taken for characters, not.
+FIRST_RECORD = "^(?:\ufeff|\u00ef\u00bb\u00bf)?(?:[ \t]*+[\r\n])*+((?:[^\"\r\n]++|\"[^\"]*+\")*+)"
+# One cell, quoted or not. Without its cells, a record is a row of commas.
+CELL = '"(?:[^"]++|"")*+"|[^,\r\n]++'
 # Beyond this size a file is hashed block by block in a task instead of as one row.
 WHOLE_FILE_BYTES = 512 * 1024 * 1024
 _LISTING = "path string, source_file string, folder string, name string, extension string, length bigint, modified timestamp"
-_HASHES = "file_sha256 string, signature string, header_text string, multiline boolean"
+_HASHES = "file_sha256 string, signature string, header_text string, multiline boolean, width int"
 
 
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
@@ -115,16 +117,36 @@ def has_quoted_breaks(content: Column | str) -> Column:
     return F.contains(F.replace(marks, F.lit('""'), F.lit("")), F.lit('"'))
 
 
+def first_record(content: Column | str) -> Column:
+    """The first record that is not blank, however long; only its bytes are decoded."""
+    content = names.as_column(content)
+    n_bytes = F.length(F.regexp_extract(F.decode(content, "ISO-8859-1"), FIRST_RECORD, 0))
+    return F.regexp_extract(F.make_valid_utf8(F.substring(content, F.lit(1), n_bytes).cast("string")), FIRST_RECORD, 1)
+
+
+def record_width(content: Column | str) -> Column:
+    """Cells of the widest record, empty cells at its end left out; at least those of the first.
+
+    Cells become one letter each, then only the records wider than the first are taken apart.
+    """
+    text = F.regexp_replace(F.decode(names.as_column(content), "ISO-8859-1"), "^\u00ef\u00bb\u00bf", "")
+    commas = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, FIRST_RECORD, 1), CELL, ""), "[^,]", "")
+    marks = F.regexp_replace(F.regexp_replace(text, CELL, "x"), ",++(?=[\r\n]|$)", "")
+    wider = F.concat(F.lit("(?m)^(?:x*+,){"), (F.length(commas) + 1).cast("string"), F.lit("}+[x,]*+"))
+    found = F.transform(F.regexp_extract_all(marks, wider, F.lit(0)), lambda r: F.length(F.replace(r, F.lit("x"), F.lit(""))))
+    return F.greatest(F.length(commas), F.coalesce(F.array_max(found), F.lit(0))) + 1
+
+
 def hashed(contents: DataFrame, root: str) -> DataFrame:
-    """Listing columns, hash, kind and first record of binary file rows."""
-    head = F.make_valid_utf8(F.substring("content", 1, HEAD_BYTES).cast("string"))
+    """Listing columns, hash, kind, first record and width of binary file rows."""
     is_text = F.lower("path").endswith(".csv")
     return contents.select(
         *_described(root),
         F.sha2("content", 256).alias("file_sha256"),
         signature("content").alias("signature"),
-        F.when(is_text, F.regexp_extract(head, FIRST_RECORD, 1)).alias("header_text"),
+        F.when(is_text, first_record("content")).alias("header_text"),
         F.when(is_text, has_quoted_breaks("content")).alias("multiline"),
+        F.when(is_text, record_width("content")).alias("width"),
     )
 
 
@@ -146,29 +168,66 @@ def scan_files(spark: SparkSession, root: str, extensions=WORKBOOK_EXTENSIONS, i
     return small.unionByName(large.mapInPandas(_hash_by_block, f"{_LISTING}, {_HASHES}"))
 
 
+def _csv_facts(blocks):
+    """(first record, quoted line ends, width) of a CSV, from blocks of its bytes; one record is held at a time."""
+    header, split, width, commas, parts, odd, rest = None, False, 0, 0, [], False, b""
+
+    def ended(line: bytes, last: bool = False) -> None:
+        nonlocal header, split, width, commas, odd
+        parts.append(line)
+        odd ^= line.count(b'"') % 2 == 1
+        split |= odd
+        if odd and not last:
+            return
+        record = b"\n".join(parts)
+        parts.clear()
+        if header is None:
+            record = record.removeprefix(b"\xef\xbb\xbf")
+        if header is None and record.strip():
+            header = re.match(FIRST_RECORD, record.decode("utf-8", "replace")).group(1)
+            commas = re.sub(CELL, "", header).count(",")
+        if record.count(b",") > max(commas, width - 1):
+            cells = re.sub(CELL, "x", record.decode("ISO-8859-1")).rstrip(",")
+            width = max(width, cells.count(",") + 1)
+
+    for block in blocks:
+        *lines, rest = (rest + block.replace(b"\r", b"\n")).split(b"\n")
+        for line in lines:
+            ended(line)
+    ended(rest, last=True)
+    return header or "", split, max(width, commas + 1)
+
+
 def _hash_by_block(batches):
     from pyarrow import fs
 
     kinds = {ZIP_SIGNATURE: "workbook", LEGACY_SIGNATURE: "legacy"}
     for batch in batches:
-        hashes, found, headers, broken = [], [], [], []
+        facts = []
         for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-            digest, head, odd, split = hashlib.sha256(), b"", 0, False
-            with system.open_input_stream(inner) as stream:
+            digest, first = hashlib.sha256(), []
+
+            def blocks(stream, digest=digest, first=first):
                 while block := stream.read(1 << 20):
-                    head = head or block[:HEAD_BYTES]
+                    first or first.append(block[:4])
                     digest.update(block)
-                    *ended, last = block.split(b"\n")
-                    for line in ended:
-                        split, odd = split or (odd + line.count(b'"')) % 2 == 1, 0
-                    odd += last.count(b'"')
-            hashes.append(digest.hexdigest())
-            found.append(kinds.get(head[:4].hex().upper(), "unknown"))
-            first = re.match(FIRST_RECORD, head.decode("utf-8", "replace")) if path.lower().endswith(".csv") else None
-            headers.append(first.group(1) if first else None)
-            broken.append(split or odd % 2 == 1 if path.lower().endswith(".csv") else None)
-        yield batch.assign(file_sha256=hashes, signature=found, header_text=headers, multiline=broken)
+                    yield block
+
+            try:
+                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                with system.open_input_stream(inner) as stream:
+                    read, header, split, width = blocks(stream), None, None, None
+                    if path.lower().endswith(".csv"):
+                        header, split, width = _csv_facts(read)
+                    for _ in read:
+                        pass
+                facts.append((digest.hexdigest(), kinds.get(b"".join(first).hex().upper(), "unknown"), header, split, width))
+            except (OSError, ValueError):  # the file is refused, the run goes on
+                facts.append((f"unread {path}", "unread", None, None, None))
+        columns = zip(*facts, strict=True) if facts else [[]] * 5
+        made = dict(zip(("file_sha256", "signature", "header_text", "multiline", "width"), map(list, columns), strict=True))
+        out = batch.assign(**made)
+        yield out.astype({"width": "Int32"})
 
 
 def validate(files: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ the ledger keeps files that were committed by a batch run from being imported tw
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folderloom.plans.ingest import EXTENSIONS, Options, ingest_files
-from folderloom.plans.store import Store, safe_run_name
+from folderloom.plans.store import Store
 from folderloom.sources import files as file_source
 
 
@@ -27,9 +29,13 @@ def ingest_stream(store: Store, root: str, checkpoint: str, fmt: str = "csv", op
         raise ValueError("archives are imported by batch runs")
     extensions = EXTENSIONS[fmt]
 
+    def query_id() -> str:
+        # Spark keeps it in the checkpoint from the first batch on: another checkpoint, or an emptied one, has another id.
+        return json.loads(store.spark.read.text(f"{checkpoint}/metadata", wholetext=True).head()[0])["id"]
+
     def import_batch(batch: DataFrame, batch_id: int) -> None:
         found = file_source.hashed(batch, root).filter(F.col("extension").isin(*extensions) & (F.col("folder") != ""))
-        ingest_files(store, root, found, fmt, options, run=safe_run_name(f"stream-{fmt}-{checkpoint}-{batch_id}"))
+        ingest_files(store, root, found, fmt, options, run=f"stream-{query_id()}-{batch_id}")
 
     source = (
         store.spark.readStream.format("binaryFile").schema(BINARY_FILE)

@@ -9,6 +9,7 @@ from conftest import workbook_bytes
 
 from folderloom.plans.ingest import Options, ingest
 from folderloom.plans.store import Store
+from folderloom.sources import files as file_source
 
 
 def rows(df, *order):
@@ -322,3 +323,77 @@ def test_several_roots_give_one_result(store, evolving, tmp_path, make_workbook)
     assert {r.table_name for r in result.changes.collect()} == {"test_folder", "other"}
     with pytest.raises(TypeError):
         ingest(store, str(evolving), options=Options(), dedupe="content")
+
+
+def test_ragged_csv_keeps_every_cell(store, tmp_path, put):
+    root = tmp_path / "data"
+    put(root / "t" / "a.csv", '\n\na,b\n3,4,5\n6\n"x,\ny",7,,"8"",8",\n')
+    put(root / "t" / "b.csv", "\n \na,b\n1,2,,\n")
+    names = [f"c{i}_" + "long" * 3000 for i in range(8)]  # a header of about 100 000 characters
+    put(root / "wide" / "c.csv", ",".join(names) + "\n" + ",".join(map(str, range(8))) + "\n")
+    result = ingest(store, str(root), "csv")
+    assert result.summary().head().success == 3
+    assert rows(store.read_table("t"), "a", "b", "extra_col_2", "extra_col_3") == [
+        ("1", 2, None, None), ("3", 4, 5, None), ("6", None, None, None), ("x,\ny", 7, None, '8",8')]
+    wide = store.read_table("wide")
+    assert len(wide.columns) == 10 and tuple(wide.head())[:8] == tuple(range(8))
+
+
+def test_large_and_small_files_have_the_same_facts(spark, tmp_path, put):
+    put(tmp_path / "r" / "a.csv", '\r\n \n"x\ny",z\r\n1,2,3,,\n"p,""q",r,s,"t"\n')
+    put(tmp_path / "r" / "b.csv", "x,y\n1\n")
+    put(tmp_path / "r" / "c.csv", "")
+    put(tmp_path / "r" / "d.csv", "\ufeff\"h,1\",k\n1,2")
+    facts = [sorted(tuple(r[c] for c in ("name", "file_sha256", "header_text", "multiline", "width")) for r in file_source.scan_files(
+        spark, str(tmp_path / "r"), (".csv",), in_root=True, whole_file_bytes=n).collect()) for n in (0, 1 << 20)]
+    assert facts[0] == facts[1]
+    assert [(f[0], f[2], f[4]) for f in facts[0] if f[0] != "c.csv"] == [
+        ("a.csv", '"x\ny",z', 4), ("b.csv", "x,y", 2), ("d.csv", '"h,1",k', 2)]
+
+
+def test_rows_of_a_refused_file_stay_out(store, tmp_path, make_workbook):
+    path = make_workbook(tmp_path / "data" / "t" / "torn.xlsx", {"Sheet1": [["ID"], *[[i] for i in range(2500)]]})
+    whole = path.read_bytes()
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    sheet = next(n for n in parts if n.endswith("sheet1.xml"))
+    with zipfile.ZipFile(path, "w") as z:
+        for n, data in parts.items():
+            z.writestr(n, data[:-400] if n == sheet else data)
+    make_workbook(tmp_path / "data" / "t" / "good.xlsx", {"Sheet1": [["ID"], [-1]]})
+    result = ingest(store, str(tmp_path / "data"))
+    assert rows(result.outcomes, "source_file", "status", "row_count") == [("t/good.xlsx", "success", 1), ("t/torn.xlsx", "error", 0)]
+    assert rows(store.read_table("t"), "id") == [(-1,)]
+    path.write_bytes(whole)
+    ingest(store, str(tmp_path / "data"))
+    assert store.read_table("t").count() == 2501
+
+
+def test_json_keys_that_are_always_null(store, tmp_path, put):
+    put(tmp_path / "data" / "t" / "a.json", '[{"a": 1, "b": null}, {"a": 2, "b": null}]')
+    ingest(store, str(tmp_path / "data"), "json")
+    assert store.table_columns("t") == {"a": "INTEGER", "b": "TEXT"}
+    assert rows(store.read_table("t"), "a", "b") == [(1, None), (2, None)]
+
+
+def test_revert_plan_counts_by_import(store, tmp_path, put):
+    put(tmp_path / "data" / "t" / "a.csv", "id\n1\n2\n")
+    ingest(store, str(tmp_path / "data"), "csv")
+    put(tmp_path / "data" / "t" / "a.csv", "id\n1\n2\n3\n")
+    ingest(store, str(tmp_path / "data"), "csv")
+    assert rows(store.revert_plan("t", source_file="t/a.csv"), "expected_rows", "found_rows") == [(2, 2), (3, 3)]
+    put(tmp_path / "data" / "empty" / "e.csv", "id\n")
+    ingest(store, str(tmp_path / "data"), "csv", keep_empty=True)
+    assert rows(store.revert_plan("empty", source_file="empty/e.csv"), "expected_rows", "found_rows") == [(0, 0)]
+
+
+def test_change_ids_are_unique_and_ordered(store, tmp_path, put):
+    for i, value in enumerate(("1", "1.5", "x", "y")):
+        put(tmp_path / "data" / "t" / f"f{i}.csv", f"a,c{i}\n{value},1\n")
+        put(tmp_path / "data" / "u" / f"f{i}.csv", f"a\n{value}\n")
+    ingest(store, str(tmp_path / "data"), "csv", policy="chain")
+    found = rows(store.changes(), "id", "table_name", "source_file")
+    assert len({f[0] for f in found}) == len(found) > 6
+    for t in ("t", "u"):
+        files = [f[2] for f in found if f[1] == t]
+        assert files == sorted(files)

@@ -58,3 +58,13 @@ def test_repeated_and_unfinished_runs(spark, tmp_path, put):
     assert store.read_table("t").count() == 1 and store.imports().count() == 1
     ingest(store, str(root), "csv", run="batch-8")
     assert table(store, "t") == [("1", "t/a.csv"), ("2", "t/b.csv")]
+
+
+def test_checkpoints_that_look_alike_lose_nothing(spark, tmp_path, put):
+    store = Store(spark, str(tmp_path / "s"))
+    for i, chk in enumerate(("c/x", "c-x")):
+        put(tmp_path / f"data{i}" / "t" / f"{i}.csv", f"id\n{i}\n")
+        query = ingest_stream(store, str(tmp_path / f"data{i}"), str(tmp_path / chk), "csv")
+        query.awaitTermination()
+        assert query.exception() is None
+    assert store.read_table("t").count() == 2
