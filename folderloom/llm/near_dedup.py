@@ -8,11 +8,14 @@ square root of what separate tables would cost. Two documents of similarity s sh
 1. Equal sets are one class, named by its smallest doc_id; only classes go on, so exact copies make no pairs.
 2. A key can join classes only if its a_i and its b_j each have two. Values that one class alone has are dropped before
    pairs are formed: nothing is lost, and most keys of a clean corpus are never made.
-3. Buckets with the same members in several tables count once. In every bucket the others are compared with one hub, the
-   class of least rank, in the next round with more hubs; pairs already in one component need no comparison. Rounds go on
-   until in every bucket all pairs of different components have been verified. So no group emits all its pairs unless none
-   of them link, and no link between candidates is missed: there is no cap.
-4. Pairs whose sizes already exclude a link are dropped; the rest are verified on full sets.
+3. Buckets with the same members in several tables count once. First every bucket of the tables (a_i, b_i) compares its
+   members with one hub, then every bucket that still has members of two components does so, ``HUBS`` times with another hub.
+   So no group emits all its pairs unless none of them link.
+4. Then all remaining pairs of different components meet in their buckets, the largest component of each bucket on one side
+   only. A pair leaves the join only if it can link by its sizes and by its odd sketches: bit k of a sketch tells whether an odd
+   number of members hash to k, so two sketches differ in at most as many bits as the sets differ in members. A pair with too
+   many differing bits cannot link: the sketch never loses a link, and there is no cap.
+5. What is left is verified on full sets.
 
 Edge cases: null text, or one without words, has an empty set and links with nothing; fewer words than ``n`` make one
 shingle; rows that share a doc_id count as one document with the links of all; a row without doc_id links with nothing and
@@ -31,6 +34,10 @@ from folderloom.llm.text import LOWER, NOT_SPACE, mix, run_hashes, slabs, word_h
 from folderloom.plans.staging import Stage
 
 ROWS, WIDTH = 12, 3
+#: Rounds of one hub in every open bucket. They only save work: the pairs that they leave are all compared after them.
+HUBS = 2
+#: 64-bit words of an odd sketch.
+WORDS = 16
 PERCENT = 80
 _SEED = 7
 
@@ -88,17 +95,35 @@ def _sketch(n: int, rows: int, width: int):
     return run
 
 
+def _odd(s: np.ndarray) -> np.ndarray:
+    """One bit for each of ``64 * WORDS`` hash values: is the number of members with that value odd?"""
+    odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full(n: int):
     def run(batches):
         for batch in batches:
             sets = list(_sets(batch.column("_text"), n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array([_print(s) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["_id", "print", "shingles"])
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([_odd(s) for s in sets], pa.list_(pa.int64()))], names=["_id", "print", "shingles", "odd"])
 
     return run
 
 
+def _close(percent: int):
+    """Whether ``class`` and ``other`` of one bucket can link, by what both rows hold: sizes n, _n and sketches odd, _odd."""
+    apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("_odd")[k])) for k in range(WORDS)), F.lit(0))
+    # Sets of sizes n and m that differ in d members link if (100 + percent) * d <= (100 - percent) * (n + m).
+    return _sized(percent) & (apart * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent))
+
+
+def _sized(percent: int):
+    return 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link; each side's set is joined to the pair, and hot hubs are split by adaptive joins."""
     some = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("_left")).hint("merge"), "a")
@@ -122,50 +147,59 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one_id_many_texts = not classes.groupBy("owner").count().where("count > 1").isEmpty()
     if one_id_many_texts:  # classes get names of their own, and ids are linked in the end
         classes = classes.withColumn("class", F.xxhash64("print"))
-    live = stage.keep(classes.select("class", F.posexplode("keys").alias("side", "value")).withColumn("side", F.col("side") >= rows), "rows")
+    live = stage.keep(classes.select("class", F.posexplode("keys").alias("at", "value")), "rows")
     shared = live.groupBy("value").agg(F.count("*").alias("_n")).where("_n > 1").select("value")
+    value = F.struct("at", "value")
     left = live.join(shared.hint("merge"), "value").groupBy("class").agg(
-        F.collect_list(F.when(~F.col("side"), F.col("value"))).alias("a"), F.collect_list(F.when(F.col("side"), F.col("value"))).alias("b"))
+        F.collect_list(F.when(F.col("at") < rows, value)).alias("a"), F.collect_list(F.when(F.col("at") >= rows, value)).alias("b"))
     members = left.select("class", F.explode("a").alias("_a"), "b").select("class", "_a", F.explode("b").alias("_b"))
-    members = stage.keep(members.select("class", F.xxhash64("_a", "_b").alias("key")), "members")
-    rank = F.xxhash64(F.lit("rank"), "class")
-    buckets = members.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.shiftright(rank, 16)).alias("_sum"),
-                                         F.min("class").alias("_least")).where("_n > 1")
-    buckets = buckets.groupBy("_n", "_sum", "_least").agg(F.min("key").alias("key")).select("key")
-    active = stage.keep(members.join(buckets.hint("merge"), "key").select("key", "class").distinct(), "active-0")
+    members = stage.keep(members.select("class", F.xxhash64("_a.value", "_b.value").alias("key"),
+                                        (F.col("_a.at") + rows == F.col("_b.at")).alias("_first")), "members")
+    buckets = members.groupBy("key").agg(
+        F.count("*").alias("_n"), F.sum(F.shiftright(F.xxhash64(F.lit("sum"), "class"), 16)).alias("_sum"),
+        F.min("class").alias("_least"), F.bool_or("_first").alias("first")).where("_n > 1")
+    buckets = buckets.groupBy("_n", "_sum", "_least").agg(F.min("key").alias("key"), F.bool_or("first").alias("first"))
+    active = stage.keep(members.select("key", "class").join(buckets.select("key", "first").hint("merge"), "key"), "active-0")
     # Full sets are made again from the texts, for the classes that have a candidate only.
     wanted = classes.select("class", "owner", "print", "n").join(active.select("class").distinct().hint("merge"), "class", "left_semi")
     wanted = stage.keep(wanted, "wanted")
     again = texts.join(wanted.select(F.col("owner").alias("_id")).distinct().hint("merge"), "_id", "left_semi")
-    again = again.mapInArrow(_full(n), f"_id {kind}, print binary, shingles array<long>").alias("s").join(
+    again = again.mapInArrow(_full(n), f"_id {kind}, print binary, shingles array<long>, odd array<long>").alias("s").join(
         wanted.hint("merge").alias("w"), (F.col("s._id") == F.col("w.owner")) & (F.col("s.print") == F.col("w.print")))
-    sets = stage.keep(again.select("class", "shingles").dropDuplicates(["class"]), "sets")
-    sizes = wanted.select("class", "n")
-    active = active.join(sizes.hint("merge"), "class").withColumn("comp", F.col("class"))
-    links, labels, turn, hubs = None, None, 0, 1
-    while True:
-        turn += 1
+    sets = stage.keep(again.select("class", F.col("w.n").alias("n"), "shingles", "odd").dropDuplicates(["class"]), "sets")
+    active = active.withColumn("comp", F.col("class"))
+    links, labels = None, None
+    for turn in range(HUBS + 2):
         # A bucket is open while it has members of two components.
-        open_ = active.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("_n"),
-                                          F.min(rank).alias("_first")).where("_low <> _high").select("key", "_n", "_first")
-        active = stage.keep(active.join(open_.hint("merge"), "key").select("key", "class", "n", "comp", "_n", "_first"), f"open-{turn}")
+        place = F.xxhash64(F.lit(turn), "class")
+        parts = active.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min(place).alias("_p"))
+        open_ = parts.groupBy("key").agg(F.count("*").alias("_parts"), F.max_by("comp", "_c").alias("main"), F.min("_p").alias("_hub"))
+        open_ = open_.where("_parts > 1").select("key", "main", "_hub")
+        active = active.join(open_.hint("merge"), "key")
+        if turn <= 1:  # later rows have them
+            active = active.drop("n", "odd").join(sets.select("class", "n", *["odd"] * (turn > 0)).hint("merge"), "class")
+        active = stage.keep(active, f"open-{turn}")
         if active.isEmpty():
             break
-        place = F.shiftrightunsigned(F.xxhash64(F.lit(turn), "class"), 1).cast("double") / float(1 << 63)
-        is_hub = (rank == F.col("_first")) | (place * F.col("_n") < hubs - 1)
-        hub = active.where(is_hub).select("key", F.col("class").alias("hub"), F.col("n").alias("_hn"), F.col("comp").alias("_hc"))
-        pairs = active.join(hub.hint("merge"), "key").where(
-            (F.col("comp") != F.col("_hc")) & (100 * F.least("n", "_hn") >= percent * F.greatest("n", "_hn")))
-        pairs = pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+        if turn > HUBS:
+            hub, own = active, active.where(F.col("comp") != F.col("main"))
+        else:
+            hub, own = active.where(place == F.col("_hub")), active
+        if turn == 0:
+            hub = hub.where("first")
+        hub = hub.select("key", F.col("class").alias("other"), F.col("n").alias("_n"), F.col("comp").alias("_comp"),
+                         *[F.col("odd").alias("_odd")] * (turn > 0))
+        pairs = own.join(hub.hint("merge"), "key").where((F.col("comp") != F.col("_comp")) & (_close(percent) if turn else _sized(percent)))
+        if turn > HUBS:  # two members outside the largest component meet once
+            pairs = pairs.where((F.col("_comp") == F.col("main")) | (F.col("class") < F.col("other")))
+        pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         found = stage.keep(_verified(pairs, sets, percent), f"found-{turn}")
-        rest = active.where(~is_hub).select("key", "class", "n", "comp")
+        active = active.drop("main", "_hub")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links, stage, f"comp-{turn}")
             joined = labels.select(F.col("node").alias("class"), "label")
-            rest = rest.join(joined.hint("merge"), "class", "left").select("key", "class", "n", F.coalesce("label", "comp").alias("comp"))
-        active = rest
-        hubs *= 2
+            active = active.join(joined.hint("merge"), "class", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
     if one_id_many_texts:
         ids = named.select("_id", "print").distinct().select("_id", F.xxhash64("print").alias("class"))
         graph = ids.select(F.xxhash64(F.lit("id"), "_id").alias("a"), F.col("class").alias("b"))

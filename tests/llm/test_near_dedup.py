@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folderloom.llm.components import components
-from folderloom.llm.near_dedup import near_duplicates
+from folderloom.llm.near_dedup import _odd, near_duplicates
 from folderloom.plans.staging import Stage
 
 
@@ -78,3 +79,25 @@ def test_components(spark):
     links = [(a, b) for a, b in links if a != b]
     got = components(spark.createDataFrame(links, "a long, b long"), Stage(spark), "t").collect()
     assert {r.node: r.label for r in got} == roots({x for p in links for x in p}, links)
+
+
+def test_a_group_that_mostly_does_not_link(docs):
+    rng = random.Random(8)
+    base, rows = ["b%d" % k for k in range(100)], []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(100), rng.choice([0, 1, 2, 4, 6, 7, 8, 9])):
+            copy[at] = "e%d" % rng.randrange(20)
+        rows.append((k, " ".join(copy)))
+    assert sorted(map(tuple, near_duplicates(docs(rows), n=2).collect()), key=str) == brute(rows, 2)
+
+
+def test_odd_sketches_never_differ_in_more_bits_than_the_sets_in_members():
+    rng = np.random.default_rng(3)
+    for size in (1, 40, 900, 6000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for changed in (0, 1, size // 9, size):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)]))
+            bits = sum(int(x).bit_count() for x in (_odd(a) ^ _odd(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+            assert changed or bits == 0
