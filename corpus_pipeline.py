@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines; documents of which nothing is left go."""
+    """Texts without repeated runs of lines; documents of which nothing is left go."""
     kept = line_dedup.deduplicate(docs).where(F.col("text").rlike(r"\S"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -60,7 +60,7 @@ STAGES = [
     ("mixing sources", mixed),
 ]
 
-#: Kernel scores, content-defined chunks and subset sums are not SQL; tests compare with a brute-force version.
+#: Kernel scores, windows of lines and subset sums are not SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

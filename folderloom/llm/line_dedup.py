@@ -1,18 +1,22 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines.
 
-A text is cut into lines, and its lines into chunks where a rolling hash over the hashes of the last ``WINDOW`` lines hits
-one in ``SPACING``, and before and after lines of ``LONG_WORDS`` words or more. The cuts depend on the lines around them
-alone, so they stand at the same lines of a passage wherever it is pasted. Chunks of several lines and at least ``MIN_WORDS``
-words, or of one such long line, are counted over the whole corpus. Of chunks that repeat, byte for byte, the one of the
-smallest doc_id (then text hash and place) stays and all others are removed with their line ends.
+A line is removed if it lies in a run of several lines of together ``MIN_WORDS`` words or more, or is itself a line of
+``LONG_WORDS`` words or more, that also stands, byte for byte, at an earlier place of the corpus: at a smaller doc_id (then
+text hash, then place in the text). Lines without a word are no lines of their own; inside a run their bytes count.
 
-Moved are first (document, place, hash) rows of eligible chunks, then the bytes of those whose hash repeats; grouping by
-these bytes is the byte comparison. Partial aggregation keeps a chunk that a third of all documents share from meeting in
+Such runs are found by windows: from each line on, the shortest run of at least two lines that reaches ``MIN_WORDS``, the same
+up to each line, and each long line. These windows cover every line of every longer run and lie within it, so each repeated run
+is the union of repeated windows, wherever it begins and ends and whatever stands around it. A window has at most
+``MIN_WORDS`` lines, or two, so a byte is in a bounded number of them.
+
+Moved are first (document, place, hash) rows of windows, then the bytes of those whose hash repeats; grouping by these
+bytes is the byte comparison. Partial aggregation keeps a window that a third of all documents share from meeting in
 one task. Documents meet their few decisions by (doc_id, hash of the text).
 
 Edge cases: null and empty texts stay as they are; rows alike in doc_id and text count as one document and are cut alike;
-a chunk repeated within a document is removed there too, but for its first place; a text may become empty; an empty table
-gives no rows; other columns pass through, whatever their names.
+a run repeated within a document is removed there too, but for its first place, and of a run that overlaps its own copy (one
+line many times over) the part before the overlap stays; of every line removed an earlier copy is kept; a text may become
+empty; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,93 +29,88 @@ from pyspark.sql import functions as F
 from folderloom.llm.text import NOT_SPACE, mix, pack, slabs, unpack, word_hashes, word_spans
 from folderloom.plans.staging import Stage
 
-WINDOW, SPACING = 2, 3
 LONG_WORDS, MIN_WORDS = 50, 10
 
 _LINE = np.arange(256) != 10
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray):
-    """(row, begin, end, lines, eligible, hash) of each chunk; ``end`` is after the last line's end, before its line feed."""
+def windows(data: np.ndarray, offsets: np.ndarray):
+    """Arrays (row, place in the row, first line, last line, hash) of all windows by place, and (start, end) of the lines."""
     starts, ends, rows = word_spans(data, offsets, _LINE)
-    if not len(starts):
-        return
-    hashes = word_hashes(data, starts, ends)
     words, _, _ = word_spans(data, offsets, NOT_SPACE)
     n_words = np.searchsorted(words, ends) - np.searchsorted(words, starts)
-    rolling = hashes.copy()
-    for back in range(1, WINDOW):
-        rolling[back:] = np.where(rows[back:] == rows[:-back], mix(rolling[back:] * np.uint64(31) + hashes[:-back]), rolling[back:])
-    cut = rolling % np.uint64(SPACING) == 0
-    long = n_words >= LONG_WORDS
-    cut |= long
-    cut[:-1] |= long[1:] | (rows[1:] != rows[:-1])
-    cut[-1] = True
-    last = np.flatnonzero(cut)
-    first = np.concatenate([[0], last[:-1] + 1])
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        total = int(n_words[a:b + 1].sum())
-        h = 0
-        for x in hashes[a:b + 1].tolist():
-            h = (h * 0x100000001B3 + x) & 0xFFFFFFFFFFFFFFFF
-        eligible = total >= MIN_WORDS and (b > a or total >= LONG_WORDS)
-        yield int(rows[a]), int(starts[a]), int(ends[b]), b - a + 1, eligible, h - (1 << 63)
+    with_word = n_words > 0
+    starts, ends, rows, n_words = starts[with_word], ends[with_word], rows[with_word], n_words[with_word]
+    n = len(starts)
+    hashes, line = word_hashes(data, starts, ends), np.arange(n)
+    total = np.concatenate([[0], np.cumsum(n_words)])
+    down = np.maximum(line + 1, np.searchsorted(total, total[:-1] + MIN_WORDS) - 1)
+    up = np.minimum(line - 1, np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1)
+    long = np.flatnonzero(n_words >= LONG_WORDS)
+    first, last = np.concatenate([line, up, long]), np.concatenate([down, line, long])
+    inside = (first >= 0) & (last < n)
+    first, last = first[inside], last[inside]
+    alike = rows[first] == rows[last]
+    key = np.unique(first[alike] * (n + 1) + last[alike])
+    first, last = key // (n + 1), key % (n + 1)
+    found, length = hashes[first], last - first
+    for k in range(1, int(length.max(initial=0)) + 1):
+        more = np.flatnonzero(length >= k)
+        found[more] = mix(found[more] * np.uint64(31) + hashes[first[more] + k])
+    row = rows[first]
+    return row, np.arange(len(row)) - np.searchsorted(row, row), first, last, found.view(np.int64), starts, ends
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray):
+    """(row, begin, end, lines, eligible, hash) of each window; ``end`` is after the last line's end, before its line feed."""
+    row, _, first, last, found, starts, ends = windows(data, offsets)
+    for r, a, b, h in zip(row.tolist(), first.tolist(), last.tolist(), found.tolist(), strict=True):
+        yield r, int(starts[a]), int(ends[b]), b - a + 1, True, h
 
 
 def _listed(batches):
-    """A row for each eligible chunk."""
+    """A row for each window."""
     for batch in batches:
-        row, place, hashes = [], [], []
         for i, _, data, offsets in slabs(batch.column("_text")):
-            at, count = -1, 0
-            for r, _, _, _, eligible, h in chunks(data, offsets):
-                count = count + 1 if r == at else 0
-                at = r
-                if eligible:
-                    row.append(i + r)
-                    place.append(count)
-                    hashes.append(h)
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id").take(take), batch.column("_print").take(take), pa.array(place, pa.int32()), pa.array(hashes, pa.int64())],
-            names=["_id", "_print", "place", "hash"])
+            row, place, _, _, found, _, _ = windows(data, offsets)
+            take = pa.array(row + i, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(take), batch.column("_print").take(take), pa.array(place, pa.int32()), pa.array(found)],
+                names=["_id", "_print", "place", "hash"])
 
 
 def _bytes(batches):
-    """The bytes of the chunks whose places are listed."""
+    """The bytes of the windows whose places are listed."""
     for batch in batches:
-        wanted = [set(x) for x in batch.column("places").to_pylist()]
-        row, place, hashes, found = [], [], [], []
-        for i, _, data, offsets in slabs(batch.column("_text")):
-            at, count = -1, 0
-            for r, begin, end, _, _, h in chunks(data, offsets):
-                count = count + 1 if r == at else 0
-                at = r
-                if count in wanted[i + r]:
-                    row.append(i + r)
-                    place.append(count)
-                    hashes.append(h)
-                    found.append(data[begin:end].tobytes())
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_id").take(take), batch.column("_print").take(take), pa.array(place, pa.int32()), pa.array(hashes, pa.int64()),
-             pa.array(found, pa.binary())], names=["_id", "_print", "place", "hash", "bytes"])
+        wanted = batch.column("places")
+        for i, j, data, offsets in slabs(batch.column("_text")):
+            row, _, first, last, found, starts, ends = windows(data, offsets)
+            places = wanted.slice(i, j - i)
+            of = np.repeat(np.arange(j - i), [len(x) for x in places])
+            at = np.searchsorted(row, of) + places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            take = pa.array(of + i, pa.int64())
+            parts = [data[a:b].tobytes() for a, b in zip(starts[first[at]].tolist(), ends[last[at]].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(take), batch.column("_print").take(take), pa.array(places.flatten(), pa.int32()),
+                 pa.array(found[at]), pa.array(parts, pa.binary())], names=["_id", "_print", "place", "hash", "bytes"])
 
 
 def _cut(batches):
-    """Texts without the chunks whose places are listed; a removed chunk takes the line feed after it along."""
+    """Texts without the windows whose places are listed; a removed line takes the line feed after it along."""
     for batch in batches:
-        doomed = [set(x) if x else () for x in batch.column("places").to_pylist()]
+        doomed = batch.column("places").to_pylist()
         texts = batch.column("_text").to_pylist()
         lines, removed = [0 if t is None else t.count("\n") + 1 for t in texts], [0] * len(texts)
         for r in [r for r, x in enumerate(doomed) if x]:
             raw = texts[r].encode()
-            data, out, at = np.frombuffer(raw, np.uint8), [], 0
-            for count, (_, begin, end, n, _, _) in enumerate(chunks(data, np.array([0, len(data)]))):
-                if count in doomed[r]:
-                    out.append(raw[at:begin])
-                    at = min(end + 1, len(raw))
-                    removed[r] += n
+            data, out, at, line = np.frombuffer(raw, np.uint8), [], 0, 0
+            _, _, first, last, _, starts, ends = windows(data, np.array([0, len(data)]))
+            for k in sorted(doomed[r]):  # by place, neither first nor last lines go back
+                a, b = int(first[k]), int(last[k])
+                out.append(raw[at:int(starts[a])])
+                at = min(int(ends[b]) + 1, len(raw))
+                removed[r] += max(0, b + 1 - max(a, line))
+                line = max(line, b + 1)
             texts[r] = b"".join([*out, raw[at:]]).decode()
         yield pa.RecordBatch.from_arrays(
             [batch.column("_row"), pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(removed, pa.int32())],
@@ -119,25 +118,27 @@ def _cut(batches):
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", report: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks cut out of the texts; ``report`` adds n_lines (before) and n_removed."""
+    """``docs`` with repeated runs of lines cut out of the texts; ``report`` adds n_lines (before) and n_removed."""
     stage = Stage(docs.sparkSession)
     packed = pack(docs, text).withColumn("_print", F.xxhash64("_text"))
     packed = packed.withColumn("_id", F.col(f"_row.`{doc_id}`"))
     kind = docs.schema[doc_id].dataType.simpleString()
     key = f"_id {kind}, _print long"
     listed = packed.select("_id", "_print", "_text").mapInArrow(_listed, f"{key}, place int, hash long")
-    listed = stage.keep(listed.dropDuplicates(), "listed")
-    repeated = listed.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
-    candidates = listed.join(repeated.hint("merge"), "hash").groupBy("_id", "_print").agg(F.collect_list("place").alias("places"))
+    listed = stage.keep(listed, "listed")
+    who = F.xxhash64("_id", "_print", "place")
+    repeated = listed.groupBy("hash").agg(F.min(who).alias("_a"), F.max(who).alias("_b")).where("_a <> _b").select("hash")
+    candidates = listed.join(repeated.hint("merge"), "hash").groupBy("_id", "_print").agg(F.collect_set("place").alias("places"))
     same = F.col("d._id").eqNullSafe(F.col("c._id")) & (F.col("d._print") == F.col("c._print"))
     touched = packed.select("_id", "_print", "_text").alias("d").join(candidates.hint("merge").alias("c"), same).select(
         "d._id", "d._print", "_text", "places")
-    parts = touched.mapInArrow(_bytes, f"{key}, place int, hash long, bytes binary").dropDuplicates(["_id", "_print", "place"])
+    parts = touched.mapInArrow(_bytes, f"{key}, place int, hash long, bytes binary")
     parts = stage.keep(parts, "parts")
     here = F.struct("_id", "_print", "place")
-    first = parts.groupBy("hash", "bytes").agg(F.count("*").alias("_n"), F.min(here).alias("first")).where("_n > 1")
+    first = parts.groupBy("hash", "bytes").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(
+        ~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     doomed = parts.join(first.hint("merge"), ["hash", "bytes"]).where(~here.eqNullSafe(F.col("first")))
-    doomed = stage.keep(doomed.groupBy("_id", "_print").agg(F.collect_list("place").alias("places")), "doomed")
+    doomed = stage.keep(doomed.groupBy("_id", "_print").agg(F.collect_set("place").alias("places")), "doomed")
     cut = packed.alias("d").join(doomed.hint("merge").alias("c"), same, "left").select("_row", "_text", "places")
     row = packed.schema["_row"].dataType.simpleString()
     cut = cut.mapInArrow(_cut, f"_row {row}, _text string, n_lines int, n_removed int")

@@ -58,3 +58,48 @@ def test_long_repeated_lines_go_and_unique_lines_stay(docs):
     lines = [x for _, t in rows for x in (t or "").split("\n") if len(x.split()) == 60]
     texts = [r.text or "" for r in deduplicate(docs(rows)).collect()]
     assert len(lines) > 3 and sum(t.count(lines[0]) for t in texts) == 1
+
+
+def every_run(rows):
+    """Texts by all runs of lines, without chunks(): a run that also stands at an earlier place goes."""
+    order, first, runs = lambda x: (x[0] is not None, x[0], x[1]), {}, {}
+    for k, (_, t) in enumerate(rows):
+        lines, at = [], 0
+        for x in t.split("\n"):
+            if x.split():
+                lines.append((at, at + len(x), len(x.split())))
+            at += len(x) + 1
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                total = sum(x[2] for x in lines[i:j + 1])
+                if total >= (10 if j > i else 50):
+                    runs.setdefault(t[lines[i][0]:lines[j][1]], []).append((rows[k][0], i, k, [x[:2] for x in lines[i:j + 1]]))
+    gone, bytes_gone = {k: set() for k in range(len(rows))}, {k: set() for k in range(len(rows))}
+    for copies in runs.values():
+        first = min(copies, key=order)
+        for x in copies:
+            if order(x) != order(first):
+                gone[x[2]].update(x[3])
+                bytes_gone[x[2]].update(range(x[3][0][0], x[3][-1][1] + 1))
+    out = []
+    for k, (d, t) in enumerate(rows):
+        out.append((d, "".join(c for at, c in enumerate(t) if at not in bytes_gone[k]), len(gone[k])))
+    return sorted(out, key=str)
+
+
+def test_runs_of_few_ordinary_lines_go_wherever_they_stand(docs):
+    rng = random.Random(3)
+    line = lambda n: " ".join("v%d" % rng.randrange(10_000) for _ in range(n))
+    passages = ["\n".join(line(rng.choice([1, 3, 4, 9, 15, 20])) for _ in range(n)) for n in (2, 3, 4, 4, 5, 6, 8) for _ in range(3)]
+    passages += ["\n".join(line(15) for _ in range(4)), line(12) + "\n\n \n" + line(4), line(10) + "\n" + line(1) + "\n" + line(1), line(12), line(55)]
+    rows = []
+    for k in range(120):
+        own = [line(rng.randrange(1, 6)) for _ in range(rng.randrange(1, 6))]
+        for _ in range(2):
+            own.insert(rng.randrange(len(own) + 1), rng.choice(passages))
+        rows.append((k, "\n".join(own)))
+    rows += [(200, "\n".join(["a b c d e f"] * 5)), (201, passages[-5])]
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in deduplicate(docs(rows).select("doc_id", "text"), report=True).collect()), key=str)
+    assert got == every_run(rows)
+    texts = [t for _, t, _ in got]
+    assert sum(passages[-5] in t for t in texts) == 1 and sum(passages[-2] in t for t in texts) > 1
