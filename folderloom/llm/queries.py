@@ -95,15 +95,29 @@ def op6_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+#: The canonical form as the SQL states it, apart from that of the operator; both agree where no line begins with copyright.
+_SQL_STEPS = [
+    (r"(^|\n)[^a-z\n]*(copyright|\(c\)|©)[^\n]*", r" "),
+    (r"licence", "license"),
+    (r"sub-license", "sublicense"),
+    (r"non-infringement", "noninfringement"),
+    (r"&", " and "),
+    (r"https:", "http:"),
+    (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "),
+]
+_SQL_KNOWN = ("MIT", "MIT-titled", "ISC", "0BSD", "notice-Apache-2.0", "notice-MIT", "notice-GPL-3.0", "notice-CC-BY-NC-4.0",
+              "notice-reserved", "notice-SPDX-MIT", "notice-SPDX-Apache-2.0")
+
+
 def _canonical_sql(x: str) -> str:
     out = f"translate({x}, '{UPPER}', '{SMALL}')"
-    for pattern, by in licenses.STEPS:
+    for pattern, by in _SQL_STEPS:
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"trim({out}, ' ')"
 
 
 @query(f"""
-WITH known(id, raw) AS (VALUES {", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())}),
+WITH known(id, raw) AS (VALUES {", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in licenses.KNOWN.items() if k in _SQL_KNOWN)}),
 digests AS (SELECT id, sha256({_canonical_sql("raw")}) AS d FROM known),
 whole AS (SELECT doc_id, text, sha256({_canonical_sql("coalesce(text, '')")}) AS d FROM documents),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents),
