@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folderloom.llm import (
+    centroids,
     decontamination,
+    filter_audit,
     language_id,
     licenses,
     line_dedup,
@@ -15,8 +17,10 @@ from folderloom.llm import (
     neighbours,
     quality,
     token_counts,
+    token_files,
 )
 from folderloom.plans.registry import load, query
+from folderloom.plans.staging import Stage
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,3 +138,79 @@ def op7_license_scan(spark, sf_dir):
 @query()
 def op10_nearest_neighbours(spark, sf_dir):
     return neighbours.search(load(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query()
+def op11_token_id_output(spark, sf_dir):
+    import public_tokenizers
+
+    folder = f"{Stage(spark).root}/tokens"
+    token_files.write(load(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query(r"""
+WITH d AS (SELECT coalesce(doc_id, 9223372036854775807) AS id, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic
+      FROM labels GROUP BY doc_id),
+w AS (SELECT id, doc_id, text, part, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(id) OVER (PARTITION BY text) AS least FROM d),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+             + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) AS INTEGER)
+             + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(least < id AS INTEGER) AS m
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+e(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM e p JOIN e q ON q.b <> p.b
+      JOIN e r ON r.b NOT IN (p.b, q.b) JOIN e s ON s.b NOT IN (p.b, q.b, r.b) JOIN e t ON t.b NOT IN (p.b, q.b, r.b, s.b)),
+g AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+      FROM (SELECT filter_order, bits, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+a AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN m & (bit + before) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN m & bit > 0 AND m & before > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, g GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM a
+""")
+def op12_filter_interaction_audit(spark, sf_dir):
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", load(spark, sf_dir, "labels"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Assignment and update, round by round; floor division of whole numbers without fractions."""
+    out = ""
+    for r in range(rounds + 1):
+        out += f"""
+a{r} AS (SELECT row, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT row, c, CAST(list_sum(list_transform(range(1, 65), lambda j: (q[j] - y[j]) * (q[j] - y[j]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY row),"""
+        if r < rounds:
+            out += f"""
+s{r} AS (SELECT best.c AS c, j, CAST(sum(q[j]) AS BIGINT) AS s, count(*) AS n
+      FROM a{r} JOIN v USING (row), (SELECT unnest(range(1, 65)) AS j) GROUP BY best.c, j),
+c{r + 1} AS (SELECT c{r}.c, coalesce(z, y) AS y FROM c{r} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS z FROM s{r} GROUP BY c) m ON m.c = c{r}.c),"""
+    return out
+
+
+@query(f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q AS y FROM v WHERE vec_id IS NOT NULL
+       ORDER BY sha256('1:' || vec_id), q LIMIT 16),{_lloyd_sql(3)}
+last AS (SELECT row, best.c AS c, best.d AS d FROM a3)
+SELECT vec_id, CAST(last.c AS INTEGER) AS cluster, d AS distance, (sum(d) OVER (PARTITION BY last.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM last JOIN v USING (row) JOIN c3 ON c3.c = last.c
+""")
+def op13_centroid_clustering(spark, sf_dir):
+    found, table = centroids.cluster(load(spark, sf_dir, "embeddings"))
+    joined = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    named = table.select("cluster", "cluster_inertia", "inertia", joined.alias("centroid_sha256"))  # at most 16 rows
+    return found.join(F.broadcast(named), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
