@@ -23,7 +23,8 @@ the first and last doc_id of each, by which a lookup picks the files it opens.
 
 The library's own result is kept exactly, at less cost: between two characters that are not white space, a single space is
 always a border of the byte-level pre-tokenizer, and no token crosses one. Runs between such spaces are encoded once each by the
-library and remembered, up to ``MEMO``. Texts with other spacing are cut by a pattern that finds the same borders.
+library and remembered, up to ``MEMO``; a slab of texts is cut, its distinct runs are looked up and their ids gathered in whole
+columns. Texts with other spacing are cut by a pattern that finds the same borders.
 
 Edge cases: null counts as the empty text, whose only id is the end id; rows without doc_id come first; rows that share a
 doc_id stand side by side, by a hash of their text; an empty table gives no files and no rows; other columns are not read.
@@ -35,22 +36,25 @@ import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folderloom.llm.text import flat
 from folderloom.plans.staging import Stage
 
 FILE, FRAME = 32 << 20, 256 << 10
-LEVEL = 3
+LEVEL = 1
 #: Runs of characters kept by one Python worker, of at most ``LONG`` characters each.
 MEMO, LONG = 500_000, 64
-GROUP, PIECE = 256, 1 << 20
+GROUP, PIECE, SLAB = 256, 1 << 20, 8 << 20
 
 # Fixed values of the zstandard and seekable formats.
 TABLE_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -123,45 +127,78 @@ class Encoder:
     def _apart(self, runs: list[str]) -> None:
         self.memo.update((run, x.tobytes()) for run, x in zip(runs, self._whole([" " + r for r in runs]), strict=True))
 
-    def _tails(self, tails: list[list[str]], new: set[str]) -> list[bytes]:
-        """The ids of lists of runs, each of which follows a space; ``new`` are those that are not in the memo."""
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*tails)
-        passing = [r for r in new if len(r) > LONG or " " in r or _edged(r)]  # never kept
+    def _tails(self, tails: list[list[str]]) -> list[bytes]:
+        """The ids of lists of runs, each of which follows a space; those with white space in or around them are not kept."""
+        self._trim()
+        new = set().union(*tails).difference(self.memo)
+        passing = {r for r in new if len(r) > LONG or " " in r or _edged(r)}
         self._learn(new.difference(passing))
-        self._apart(passing)
+        self._apart(list(passing))
         out = [b"".join(map(self.memo.__getitem__, t)) for t in tails]
         for r in passing:
             del self.memo[r]
         return out
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text with the end id, as bytes."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if len(group) == GROUP or size > PIECE:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.split(" ") if len(t) <= PIECE else [""] for t in texts]
-        heads = [c.pop(0) for c in cut]
-        new = set().union(*cut).difference(self.memo)
-        edged = {r for r in new if _edged(r)}
-        for k, (text, head) in enumerate(zip(texts, heads, strict=True)):
-            if len(text) <= PIECE and (_edged(head) or not edged.isdisjoint(cut[k])):
-                cut[k] = _BORDER.split(text)
-                heads[k] = cut[k].pop(0)
-                new.update(cut[k])
-        if edged:
-            new = set().union(*cut).difference(self.memo)
-        tails = self._tails(cut, new.difference(self.memo))
-        for text, ids, tail in zip(texts, self._whole(heads), tails, strict=True):
-            yield (ids.tobytes() + tail if len(text) <= PIECE else b"".join(self._long(text))) + self.end
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text with the end id, as bytes; slab by slab, a long text alone."""
+        _, offsets = flat(column)
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLAB, side="right")) - 1)
+            yield from self._slab(pc.fill_null(column.slice(i, j - i).cast(pa.large_string()), ""))
+            i = j
+
+    def _slab(self, texts: pa.Array) -> Iterator[bytes]:
+        """All texts are cut at single spaces at once, distinct runs looked up, and their ids gathered for every place they stand at."""
+        if len(texts) == 1 and len(texts[0].as_py()) > PIECE:
+            yield b"".join(self._long(texts[0].as_py())) + self.end
+            return
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(cut.flatten())
+        codes, runs = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        bounds = bounds - bounds[0]
+        edged = np.fromiter(map(_edged, runs), bool, len(runs))
+        odd = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(edged[codes], out=odd[1:])
+        odd = odd[bounds[1:]] > odd[bounds[:-1]]  # texts with a space that may be no border
+        first = codes[bounds[:-1]]
+        ids = self._known([r if not e else "" for r, e in zip(runs, edged.tolist(), strict=True)])
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        size = lengths[codes]
+        size[bounds[:-1]] = 0  # nothing stands before the first run of a text, which so has other ids
+        ends = np.concatenate([[0], np.cumsum(size)])
+        gathered = pool[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        places = (ends[bounds] * 4).tolist()
+        heads = self._whole([runs[k] for k in first])
+        slow = iter(self._borders([texts[int(k)].as_py() for k in np.flatnonzero(odd)]))
+        for k, head in enumerate(heads):
+            yield (next(slow) if odd[k] else head.tobytes() + gathered[places[k]:places[k + 1]]) + self.end
+
+    def _known(self, runs: list[str]) -> list[bytes]:
+        """The ids of distinct runs that follow a space each; the empty run has none."""
+        self._trim()
+        found = list(map(self.memo.get, runs))
+        new = {r for r, x in zip(runs, found, strict=True) if x is None and r}
+        passing = {r for r in new if len(r) > LONG}
+        self._learn(new.difference(passing))
+        self._apart(list(passing))
+        found = [x if x is not None else self.memo[r] if r else b"" for r, x in zip(runs, found, strict=True)]
+        for r in passing:
+            del self.memo[r]
+        return found
+
+    def _trim(self) -> None:
+        if len(self.memo) > MEMO:  # the first to come are the most frequent ones
+            self.memo = dict(islice(self.memo.items(), MEMO // 4))
+
+    def _borders(self, texts: list[str]) -> list[bytes]:
+        """Texts with other spacing, cut by the pattern."""
+        cut = [_BORDER.split(t) for t in texts]
+        heads = self._whole([c.pop(0) for c in cut])
+        return [h.tobytes() + t for h, t in zip(heads, self._tails(cut), strict=True)]
 
     def _long(self, text: str) -> Iterator[bytes]:
         """A long text piece by piece, each ended by a border."""
@@ -171,7 +208,7 @@ class Encoder:
             runs = _BORDER.split(text[at:border.start() if border else len(text)])
             if at == 0:
                 yield self._whole([runs.pop(0)])[0].tobytes()
-            yield self._tails([runs], set(runs).difference(self.memo))[0]
+            yield self._tails([runs])[0]
             at = border.end() if border else len(text)
 
 
@@ -261,15 +298,13 @@ def _files(path: str, end: int | None, limit: int, frame: int):
     def run(batches):
         encode, held, size = encoder(path, end).texts, [], 0
         for batch in batches:
-            numbers, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(numbers), GROUP):
-                some = [t or "" for t in texts[at:at + GROUP].to_pylist()]
-                for number, ids in zip(numbers[at:at + GROUP], encode(some), strict=True):
-                    held.append((number, ids))
-                    size += len(ids)
-                    if size >= limit:
-                        yield pa.RecordBatch.from_arrays([pa.array([file_bytes(held, frame)], pa.binary())], names=["value"])
-                        held, size = [], 0
+            numbers = batch.column("doc_id").to_pylist()
+            for number, ids in zip(numbers, encode(batch.column("text")), strict=True):
+                held.append((number, ids))
+                size += len(ids)
+                if size >= limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([file_bytes(held, frame)], pa.binary())], names=["value"])
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([file_bytes(held, frame)], pa.binary())], names=["value"])
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
@@ -33,7 +34,9 @@ def test_encoder_gives_what_the_library_gives(library, monkeypatch):
     texts = ["", " ", "a", " a", "a ", "a b", "a  b", "a \nb", "\n", "a\n b c\n"]
     texts += ["".join(rng.choice(["", " ", " ", " ", "\n"]) + rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(600)]
     texts += [" ".join(rng.choice(parts[:8]) for _ in range(rng.randrange(80))) for _ in range(400)]
-    assert list(Encoder(PATH, 0).texts(texts)) == [library(t) for t in texts]
+    assert list(Encoder(PATH, 0).texts(pa.array(texts))) == [library(t) for t in texts]
+    monkeypatch.setattr(token_files, "SLAB", 300)
+    assert list(Encoder(PATH, 0).texts(pa.array([None, *texts, None]).slice(1))) == [library(t) for t in [*texts, None]]
 
 
 def test_a_file_is_plain_zstandard_and_opens_only_what_is_asked():
