@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (``SAMPLE`` vectors, drawn by hash over t
 vectors by k-means into ``BRANCHES`` until ``LEAF`` are left. Every row is then put into its leaf. A query walks the tree
 with a priority queue: it opens the nearest unopened branch next, so leaves come out in best-bin-first order. How many
 leaves are visited is calibrated: for a bounded set of queries the true neighbours among all rows are found by brute force,
-and visits widen until the share of true neighbours in visited leaves reaches ``RECALL``.
+and visits widen until the share of true neighbours in visited leaves reaches ``RECALL``. A query whose leaves hold fewer than
+``k`` other rows goes on in the same order until they do, so it never gets fewer rows than there are.
 
 Leaves may be hot, as equal vectors share one: a leaf is dealt into parts of about ``PART`` rows by a hash of the row, and a
 query visits all parts of its leaves. A part meets its queries in one matrix product for each block of queries; only the
@@ -12,8 +13,8 @@ best ``k`` of a part leave it. Broadcast are the tree (at most 2 * SAMPLE centre
 
 Nearness is the cosine in double precision on the original vectors. Vectors that are null, zero, of another length than most,
 or hold null or non-finite components take no part, nor do rows without id. Rows with the query's own id are not its
-candidates. Ties go to the smaller id; repeated candidate rows fill several ranks; a repeated query is answered once; empty
-tables give no rows; other columns are not read.
+candidates. Ties go to the smaller id; repeated candidate rows fill several ranks; a repeated query is answered once, by the
+smallest of its vectors; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,10 +99,16 @@ class Tree:
 
 
 def _assign(tree, dim: int):
+    """The leaf of each row, and a running number by which the rows of a leaf are dealt out, equal ones too."""
+
     def run(batches):
+        done = 0
         for batch in batches:
             leaf = tree.value.leaf_of(_unit(_matrix(batch.column("v"), dim))) if batch.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"])
+            turn = np.arange(done, done + batch.num_rows)
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("v"), pa.array(leaf, pa.int32()), pa.array(turn)], names=["id", "v", "leaf", "turn"])
 
     return run
 
@@ -135,11 +142,22 @@ def _truth(queries, dim: int, k: int):
     return run
 
 
-def _route(tree, dim: int, leaves: int):
+def _route(tree, dim: int, leaves: int, k: int):
+    """The leaves each query visits: the calibrated number, and more until they hold ``k`` rows besides those of its own id."""
+
+    def visited(q: np.ndarray, own: int) -> list[int]:
+        walk, held = [], 0
+        for leaf in tree.value.visits(q):
+            if len(walk) >= leaves and held >= k + own:
+                break
+            walk.append(leaf)
+            held += tree.value.rows.get(leaf, 0)
+        return walk
+
     def run(batches):
         for batch in batches:
             x = _unit(_matrix(batch.column("v"), dim)) if batch.num_rows else np.empty((0, dim))
-            found = [[leaf for leaf, _ in zip(tree.value.visits(q), range(leaves), strict=False)] for q in x]
+            found = [visited(q, own) for q, own in zip(x, batch.column("own").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))],
                                              names=["id", "v", "leaves"])
 
@@ -184,14 +202,14 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
     spark = vectors.sparkSession
     stage, context = Stage(spark), spark.sparkContext
     rows, dim = usable(vectors, vec_id, vector)
-    queries = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
+    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     total, asked = rows.count(), queries.count()
     if not total or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows.where(_spread("id") < sample / total).select("v").toPandas()["v"]
+    drawn = rows.where(_spread("id", "v") < sample / total).select("id", "v").distinct().toPandas()["v"]
     tree = Tree(_unit(np.array(drawn.tolist()).reshape(-1, dim)) if len(drawn) else np.ones((1, dim)), branches, leaf)
     shared = context.broadcast(tree)
-    placed = stage.keep(rows.mapInArrow(_assign(shared, dim), "id long, v array<double>, leaf int"), "placed")
+    placed = stage.keep(rows.mapInArrow(_assign(shared, dim), "id long, v array<double>, leaf int, turn long"), "placed")
 
     tried = queries.where(_spread("id") < calibration / asked).toPandas()
     if not len(tried):
@@ -206,12 +224,14 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
     while leaves < tree.leaves and np.mean(turns < leaves) < recall:
         leaves += 1
 
-    sizes = placed.groupBy("leaf").count().withColumn("parts", F.ceil(F.col("count") / part).cast("int"))
-    sizes = F.broadcast(sizes.select("leaf", "parts"))  # at most one row for each leaf of the tree
-    routed = queries.mapInArrow(_route(shared, dim, leaves), "id long, v array<double>, leaves array<int>")
+    counted = placed.groupBy("leaf").count()
+    tree.rows = {r["leaf"]: r["count"] for r in counted.collect()}  # at most one row for each leaf of the tree
+    sizes = counted.withColumn("parts", F.ceil(F.col("count") / part).cast("int"))
+    sizes = F.broadcast(sizes.select("leaf", "parts"))
+    routed = queries.mapInArrow(_route(context.broadcast(tree), dim, leaves, k), "id long, v array<double>, leaves array<int>")
     routed = routed.select("id", "v", F.explode("leaves").alias("leaf")).join(sizes, "leaf")
     routed = routed.select("id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = placed.join(sizes, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    dealt = placed.join(sizes, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id", "turn"), F.col("parts")).cast("int").alias("part"))
     found = routed.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInArrow(
         _search(dim, k), "query_id long, id long, score double")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

@@ -49,3 +49,15 @@ def test_few_rows(spark):
     assert search(empty, lambda c: c % 50 == 0).collect() == []
     two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0])], SCHEMA)
     assert [(r.query_id, r.rank, r.vec_id) for r in search(two, lambda c: c % 50 == 0).collect()] == [(0, 1, 1)]
+
+
+def test_queries_in_small_leaves_still_get_k_rows(spark):
+    """Thirty groups of equal vectors and eight small groups: a leaf may hold fewer than five others."""
+    rng = np.random.default_rng(11)
+    far = [rng.normal(size=8) for _ in range(38)]
+    rows = [(k, far[k % 30].tolist()) for k in range(3000)]
+    rows += [(10_000 + 25 * k, far[30 + k // 3].tolist()) for k in range(24)] + [(10_000, far[30].tolist())] * 9
+    found: dict = {}
+    for r in search(spark.createDataFrame(rows, SCHEMA), lambda c: c % 50 == 0, sample=3000, leaf=20).collect():
+        found.setdefault(r.query_id, []).append(r.rank)
+    assert set(found) == {i for i, _ in rows if i % 50 == 0} and all(sorted(x) == [1, 2, 3, 4, 5] for x in found.values())
