@@ -9,7 +9,11 @@ N-grams are exact: three code points fit one 64-bit key. Fitting uses a bounded
 of at most ``LONGEST`` characters, spread evenly over the languages, distinct texts only); scoring reads whole texts and
 runs in one narrow pass. The model that is broadcast is bounded by ``LANDMARKS`` texts.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; without any labelled text all are ``und``; ties go
+Whether a text is close to the learned languages at all is told by its own 3-grams: the share that some landmark holds, against
+a floor calibrated on labelled texts that are no landmarks, whole and in windows of one to eight words (``CALIBRATION`` of them).
+
+Edge cases: a text that is null or has no letter is ``und`` with score 0 and not close; a language all of whose labelled texts
+are longer than ``LONGEST`` is not learned; without any labelled text all are ``und``; ties go
 to the language first in code point order; repeated rows each get their own result; empty tables give no rows; other columns
 are not read.
 """
@@ -26,8 +30,12 @@ from pyspark.sql import functions as F
 SAMPLE = 3000
 LONGEST = 8000
 LANDMARKS = 128
+CALIBRATION = 400
 RIDGE = 1e-3
 PART = 1 << 20
+#: Texts nearer than ``CLOSE`` times the ``LOWEST`` quantile of held-out ones are close; ``BLIND`` stands in where none is held out.
+CLOSE, LOWEST, BLIND = 0.6, 0.005, 0.25
+_THREE = np.uint64(1 << 42)  # keys of three characters begin here
 
 
 @cache
@@ -82,6 +90,29 @@ class Model:
         left = kernel.T @ (kernel * weight) + ridge * kernel[chosen] + 1e-9 * np.eye(len(chosen))
         self.weights = np.linalg.solve(left, kernel.T @ (truth * weight))
 
+        self.floor = self._calibrated([t for i, t in enumerate(texts) if i not in set(chosen)][:CALIBRATION])
+
+    def _calibrated(self, texts: list[str]) -> float:
+        """The least nearness of a close text, by texts that are no landmarks, whole and in windows of one to eight words."""
+        rng, tried = np.random.default_rng(4), []
+        for text in texts:
+            words = text.split()
+            for size in (1, 2, 4, 8):
+                at = int(rng.integers(max(1, len(words) - size + 1)))
+                tried.append(" ".join(words[at:at + size]))
+            tried.append(text)
+        tried = [t for t in tried if any(map(str.isalpha, t))]
+        return CLOSE * float(np.quantile(self.near([ngrams(t) for t in tried]), LOWEST)) if tried else BLIND
+
+    def near(self, grams: list[np.ndarray]) -> np.ndarray:
+        """The share of each text's 3-grams that some landmark holds: near 0 for other scripts, low for other languages."""
+        out = np.zeros(len(grams))
+        for i, g in enumerate(grams):
+            g = g[g >= _THREE]
+            k = np.minimum(np.searchsorted(self.vocabulary, g), len(self.vocabulary) - 1)
+            out[i] = np.mean(self.vocabulary[k] == g) if len(g) else 0.0
+        return out
+
     def _kernel(self, grams: list[np.ndarray]) -> np.ndarray:
         block, out = max(8, (1 << 22) // len(self.vocabulary)), []
         for at in range(0, len(grams), block):
@@ -95,7 +126,10 @@ class Model:
         return np.concatenate(out)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        scores = self._kernel([ngrams(t) for t in texts]) @ self.weights
+        return self.scored([ngrams(t) for t in texts])
+
+    def scored(self, grams: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
+        scores = self._kernel(grams) @ self.weights
         best = np.argmax(scores, axis=1)
         return [self.languages[b] for b in best], np.clip((scores[np.arange(len(best)), best] + 1) / 2, 0, 1)
 
@@ -126,24 +160,25 @@ def _predict(model, keep: list[str], text: str):
         for batch in batches:
             texts = batch.column(text).to_pylist()
             with_letter = [i for i, t in enumerate(texts) if t and model.value.languages and any(map(str.isalpha, t))]
-            languages, scores = ["und"] * len(texts), np.zeros(len(texts))
+            languages, scores, close = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             for at in range(0, len(with_letter), 256):
                 rows = with_letter[at:at + 256]
-                found, values = model.value.predict([texts[i] for i in rows])
-                scores[rows] = values
+                grams = [ngrams(texts[i]) for i in rows]
+                found, values = model.value.scored(grams)
+                scores[rows], close[rows] = values, model.value.near(grams) >= model.value.floor
                 for i, x in zip(rows, found, strict=True):
                     languages[i] = x
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(scores)],
-                names=[*keep, "lang_pred", "score"])
+                [*(batch.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(scores), pa.array(close)],
+                names=[*keep, "lang_pred", "score", "close"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score."""
+    """The columns of ``keep`` with lang_pred, score and close: is the text like any that was learned from?"""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     head = ", ".join(f"`{c}` {types[c]}" for c in keep)
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(
-        _predict(shared, keep, text), f"{head}, lang_pred string, score double")
+        _predict(shared, keep, text), f"{head}, lang_pred string, score double, close boolean")

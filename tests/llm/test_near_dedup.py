@@ -101,3 +101,16 @@ def test_odd_sketches_never_differ_in_more_bits_than_the_sets_in_members():
             bits = sum(int(x).bit_count() for x in (_odd(a) ^ _odd(b)).view(np.uint64))
             assert bits <= len(np.setxor1d(a, b))
             assert changed or bits == 0
+
+
+def test_a_large_group_of_near_copies(docs):
+    rng = random.Random(12)
+    base, rows = ["b%d" % k for k in range(150)], []
+    for k in range(700):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 5])):
+            copy[at] = "e%d" % rng.randrange(5000)
+        rows.append((k, " ".join(copy)))
+    rows += corpus(3, [1] * 60)
+    rows = list({d: (d, t) for d, t in rows}.values())
+    assert sorted(map(tuple, near_duplicates(docs(rows), n=5).collect()), key=str) == brute(rows, 5)

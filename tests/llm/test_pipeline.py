@@ -57,3 +57,14 @@ def test_stages_keep_columns_and_pass_empty_tables(spark, tmp_path):
         out = step(spark, docs, str(tmp_path))
         assert out.dtypes == docs.dtypes and out.collect() == []
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+FAR = ["Привет, как твои дела сегодня вечером", "안녕하세요 오늘 날씨가 아주 좋네요", "Καλημέρα σας τι κάνετε σήμερα", "xqzj wvkx zzyq"]
+
+
+def test_language_stage_rejects_other_scripts_and_languages_and_keeps_one_clean_word(spark, docs, tmp_path):
+    rows = [(k, t, lang) for k, t, lang in languages(900, 5)]
+    word = next(w for w in rows[3][1].split() if len(w) > 3)
+    extra = [(5000 + k, t, None) for k, t in enumerate(FAR)] + [(6000, word, None), (6001, "", None), (6002, None, None)]
+    got = corpus_pipeline.language(spark, docs([(d, t, lang, "s") for d, t, lang in rows + extra]), str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [*range(900), 6000]
