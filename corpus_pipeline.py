@@ -15,14 +15,11 @@ from folderloom.llm.text import pack, unpack
 from folderloom.plans.registry import QUERIES, load
 from folderloom.plans.staging import Stage
 
-#: Scores of clean texts stay above it, one-word texts included.
-LEAST_SCORE = 0.25
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that are labelled; those without a letter or far from all of them go."""
     packed = language_id.predict(pack(docs, "text"), language_id.fit(docs), ["_row", "_text"], "_text")
-    return unpack(packed.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs, "text")
+    return unpack(packed.where((F.col("lang_pred") != "und") & F.col("close")), docs, "text")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
