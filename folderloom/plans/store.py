@@ -24,6 +24,7 @@ from folderloom.operators.inference import struct_type
 from folderloom.operators.joins import broadcast_if_small
 from folderloom.sources.delimited import CSV_OPTIONS, read_declared, write_csv
 
+# The columns of the ledgers ``imports`` and ``changes`` are what callers query; the others are this store's own.
 LEDGERS = {
     "commits": "committed_at timestamp",
     "imports": "id bigint, table_name string, source_file string, file_sha256 string, row_count bigint, "
@@ -38,6 +39,7 @@ LEDGERS = {
     "backups": "table_name string, backup_path string, row_count bigint, reason string, created_at timestamp, "
                "source_file string, file_sha256 string",
     "expired": "table_name string, backup_path string",
+    "purged": "table_name string, path string, state string, at timestamp",
 }
 LINEAGE = {"source_file": T.StringType(), "load_timestamp": T.TimestampType()}
 
@@ -185,11 +187,11 @@ class Store:
         return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"))
 
     def _all_rows(self, table: str, runs: Sequence[str]) -> tuple[DataFrame | None, dict[str, str]]:
-        """Rows of all versions in the current schema with their run, reverted ones included. There is
-        one scan per schema version, not per file."""
+        """Rows of all versions with a live import, in the current schema with their run, reverted ones of these included.
+        There is one scan per schema version, not per file."""
         schemas = self.table_versions(table, runs)
         target = schemas[max(schemas)] if schemas else {}
-        mine = self.read_ledger("imports", runs).filter((F.col("table_name") == table) & (F.col("row_count") > 0))
+        mine = self.imports(runs).filter((F.col("table_name") == table) & (F.col("row_count") > 0))
         frames = []
         for version in sorted(r[0] for r in mine.select("schema_version").distinct().collect()):
             lineage = [T.StructField(n, t) for n, t in LINEAGE.items()]
@@ -338,7 +340,7 @@ class Store:
 
     def expire_backups(self, retention_days: int | None = None, max_files: int | None = None,
                        now: datetime.datetime | None = None) -> int:
-        """Drop old backups from the manifest; returns how many."""
+        """Drop old backups from the manifest, and with the next ``purge`` from disk; returns how many."""
         manifest = self.backups().select("table_name", "backup_path", "created_at").distinct()
         moment = now or datetime.datetime.now()
         old = revert.expired_backups(manifest, moment, retention_days, max_files)
@@ -347,6 +349,78 @@ class Store:
         self.commit(run)
         return self._raw_ledger("expired").filter(F.col("_run") == run).count()
 
+    # --- physical removal -----------------------------------------------------------------------
+
+    def purge(self, grace_seconds: float = 86_400, rewrite: bool = True, now: datetime.datetime | None = None) -> DataFrame:
+        """Remove from disk what no ledger holds any more; returns the paths that are gone (kind, table_name, path).
+
+        Two phases, so that readers who fetched the list of runs before stay right. First, runs that are reverted in part
+        are rewritten without the reverted rows (``rewrite``), as a run of its own that takes over the live imports by one
+        commit; then the folders of runs without a live import are marked, those of dropped tables among them. Folders marked
+        at least ``grace_seconds`` ago are deleted, and so are the copies of expired backups. A purge that fails half-way is
+        simply run again: each step leaves a state that readers see the same rows in.
+        """
+        moment = now or datetime.datetime.now()
+        if rewrite:
+            self._rewrite_partial()
+        self._mark_dead(moment)
+        return self._remove(moment - datetime.timedelta(seconds=grace_seconds))
+
+    def _import_states(self) -> DataFrame:
+        """All committed imports with rows, and whether they are live."""
+        runs = self.committed_runs()
+        key = ["table_name", "source_file", "_run"]
+        every = self.read_ledger("imports", runs).filter("row_count > 0")
+        return every.join(self.imports(runs).select(*key).distinct().withColumn("live", F.lit(True)), key, "left").withColumn(
+            "live", F.coalesce("live", F.lit(False)))
+
+    def _rewrite_partial(self) -> None:
+        """Live rows of partly reverted runs go to one new run per table, in the current schema."""
+        folder = ["table_name", "schema_version", "_run"]
+        states = self._import_states()
+        partial = states.groupBy(*folder).agg(F.bool_or("live").alias("_some"), F.bool_and("live").alias("_all")).filter("_some AND NOT _all")
+        moved = states.filter("live").join(partial.select(*folder), folder, "left_semi")
+        for table in sorted(r[0] for r in moved.select("table_name").distinct().collect()):
+            run, version = f"purge-{uuid.uuid4().hex}", max(self.table_versions(table))
+            mine = moved.filter(F.col("table_name") == table)
+            self.write_rows(table, version, run, self._rows_of(table, mine).drop("_run"))
+            self.append_ledger("imports", run, mine.withColumn("schema_version", F.lit(version)))
+            self.append_ledger("reverts", run, mine.select(
+                "table_name", "source_file", "file_sha256", F.col("_run").alias("import_run"), F.current_timestamp().alias("reverted_at")))
+            self.commit(run)
+
+    def _mark_dead(self, moment: datetime.datetime) -> None:
+        """Log the folders of runs without a live import, and those of expired backups."""
+        states, runs = self._import_states(), self.committed_runs()
+        dead = states.groupBy("table_name", "schema_version", "_run").agg(F.bool_or("live").alias("_live")).filter("NOT _live")
+        path = F.concat_ws("/", F.lit(self._path("data")), "table_name", F.concat(F.lit("_schema_version="), F.col("schema_version").cast("string")),
+                           F.concat(F.lit("_run="), F.col("_run")))
+        folders = dead.select("table_name", path.alias("path"), F.lit("marked").alias("state"))
+        copies = self.read_ledger("expired", runs).select("table_name", F.col("backup_path").alias("path"), F.lit("expired").alias("state"))
+        known = self.read_ledger("purged", runs).select("path").distinct()
+        new = folders.unionByName(copies).distinct().join(known, "path", "left_anti")
+        run = f"mark-{uuid.uuid4().hex}"
+        self.append_ledger("purged", run, new.withColumn("at", F.lit(moment)))
+        self.commit(run)
+
+    def _remove(self, before: datetime.datetime) -> DataFrame:
+        """Delete marked folders of ``before`` or earlier, expired copies at once; one call of the file system each."""
+        log = self.read_ledger("purged")
+        gone = log.filter("state = 'removed'").select("path")
+        due = log.filter((F.col("state") == "expired") | ((F.col("state") == "marked") & (F.col("at") <= F.lit(before)))).join(
+            gone, "path", "left_anti").select("state", "table_name", "path").distinct().collect()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for r in due:
+            at = hadoop(r.path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        removed = self.spark.createDataFrame(
+            [("backup" if r.state == "expired" else "run", r.table_name, r.path) for r in due], "kind string, table_name string, path string")
+        if due:
+            run = f"removed-{uuid.uuid4().hex}"
+            self.append_ledger("purged", run, removed.select("table_name", "path", F.lit("removed").alias("state"), F.current_timestamp().alias("at")))
+            self.commit(run)
+        return removed
+
     # --- reset ----------------------------------------------------------------------------------
 
     def drop_tables(self, tables: Sequence[str] | None = None, confirm: bool = False) -> list[str]:
