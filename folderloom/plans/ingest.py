@@ -66,6 +66,8 @@ class Options:
     atomic: str = "file"
     json_lines: bool = False
     dry_run: bool = False
+    #: Larger workbooks are refused; Spark's reader of whole files ends at this size.
+    whole_row_bytes: int = (1 << 31) - 1 - (1 << 20)
 
 
 @dataclass
@@ -172,7 +174,10 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
         repeated = repeated.unionByName(known.select(*key))
     outcomes = _outcomes(candidates, good, counts, problems, repeated, changes, began)
     if options.dry_run:
-        return Result(run, outcomes, changes, schema)
+        held = Stage(store.spark)  # results outlive the working copies, which go at once
+        kept = [held.keep(df, name) for df, name in ((outcomes, "outcomes"), (changes, "changes"), (schema, "schema"))]
+        stage.discard()
+        return Result(run, *kept)
     _commit(store, run, good, counts, schema, changes, outcomes, options)
     stage.discard()
     return _recorded(store, run)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from folderloom.plans.registry import load, query
 from folderloom.plans.staging import Stage
 from folderloom.plans.store import Store
 from folderloom.sources import files as file_source
+from folderloom.sources import workbook
 from folderloom.sources.delimited import CSV_OPTIONS
 from folderloom.streaming.incremental import ingest_stream
 
@@ -74,3 +76,107 @@ def revert_after_ingest(spark, sf):
     folder = F.regexp_extract("source_file", "source=([^/]+)/", 1)
     return store.read_table("docs").groupBy(folder.alias("folder")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"))
+
+
+BOOK_ROWS = 2000
+
+
+def _book(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """One workbook: rows of two to four cells under a header of three; every fourth file lacks the sheet, one is torn."""
+    folder, number = key
+    rows = [["Order Key", "Total Price", "Priority"]]
+    for r in frame.sort_values("o_orderkey").itertuples():
+        cells = [int(r.o_orderkey), float(r.o_totalprice), r.o_orderpriority, int(r.o_custkey)]
+        rows.append(cells[:2] if r.o_orderkey % 7 == 0 else cells if r.o_orderkey % 5 == 0 else cells[:3])
+    sheets = {"Notes": [["Text"], ["see the other sheet"]], "Other" if number % 4 == 3 else "Orders": rows}
+    content = workbook.workbook_bytes(sheets, workbook.SEPARATOR)
+    if (folder, number) == ("status_o", 1):
+        content = content[:len(content) // 2]
+    return pd.DataFrame([(folder, f"book{number}.xlsx", content)], columns=["folder", "name", "content"])
+
+
+def _workbook_tree(spark: SparkSession, sf: str, root: str) -> None:
+    """Orders as workbooks of about BOOK_ROWS rows, a folder per status; their number grows with the table."""
+    orders = load(spark, sf, "orders").withColumn("folder", F.concat(F.lit("status_"), F.lower("o_orderstatus")))
+    n = orders.groupBy("folder").agg(F.ceil(F.count(F.lit(1)) / BOOK_ROWS).cast("long").alias("_books"))
+    dealt = orders.join(F.broadcast(n), "folder").withColumn("number", F.col("o_orderkey") % F.col("_books"))  # a row per status
+    books = dealt.select("folder", "number", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").groupBy(
+        "folder", "number").applyInPandas(_book, "folder string, name string, content binary")
+    workbook.write_workbooks(books, root)
+
+
+_BOOKS = f"""SELECT *, 'status_' || lower(o_orderstatus) AS folder,
+    o_orderkey % CAST(ceil(count(*) OVER (PARTITION BY o_orderstatus) / {BOOK_ROWS}) AS BIGINT) AS number FROM orders"""
+_GOOD_BOOK = "number % 4 <> 3 AND NOT (folder = 'status_o' AND number = 1)"
+
+
+@query(f"""SELECT folder AS table_name, CAST(o_orderkey AS INTEGER) AS order_key, o_totalprice AS total_price,
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
+    CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 THEN CAST(o_custkey AS INTEGER) END AS extra_col_3
+    FROM ({_BOOKS}) WHERE {_GOOD_BOOK}""")
+def workbook_scan(spark, sf):
+    """One configured sheet of every workbook: ragged rows, files without the sheet, a torn file."""
+    stage = Stage(spark)
+    _workbook_tree(spark, sf, f"{stage.root}/tree")
+    store = Store(spark, f"{stage.root}/store")
+    ingest(store, f"{stage.root}/tree", "workbook", default_sheet="Orders")
+    return _union(store, ["order_key", "total_price", "priority", "extra_col_3"])
+
+
+@query(f"""SELECT folder || '/book' || number || '.xlsx' AS source_file,
+    CASE WHEN folder = 'status_o' AND number = 1 THEN 'error' WHEN number % 4 = 3 THEN 'skipped' ELSE 'success' END AS status,
+    CASE WHEN {_GOOD_BOOK} THEN count(*) ELSE 0 END AS row_count FROM ({_BOOKS}) GROUP BY folder, number""")
+def workbook_outcomes(spark, sf):
+    """What became of every workbook, missing sheets and the torn one included; a dry run, which writes no row."""
+    stage = Stage(spark)
+    _workbook_tree(spark, sf, f"{stage.root}/tree")
+    done = ingest(Store(spark, f"{stage.root}/store"), f"{stage.root}/tree", "workbook", default_sheet="Orders", dry_run=True)
+    return done.outcomes.select("source_file", "status", "row_count")
+
+
+@query(f"""SELECT folder AS table_name, count(*) AS rows, sum(CAST(o_orderkey AS BIGINT))::BIGINT AS keys
+    FROM ({_BOOKS}) WHERE NOT (folder = 'status_o' AND number = 1) GROUP BY folder""")
+def workbook_all_sheets(spark, sf):
+    """Every sheet of every workbook; the tables of the two order sheets are put together again."""
+    stage = Stage(spark)
+    _workbook_tree(spark, sf, f"{stage.root}/tree")
+    store = Store(spark, f"{stage.root}/store")
+    ingest(store, f"{stage.root}/tree", "workbook", all_sheets=True)
+    kept = [r[0] for r in store.tables().collect() if r[0].endswith(("_orders", "_other"))]
+    rows = reduce(DataFrame.unionByName, [store.read_table(t).select(F.lit(t).alias("sheet_table"), "order_key") for t in kept])
+    return rows.groupBy(F.regexp_replace("sheet_table", "_(orders|other)$", "").alias("table_name")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("order_key").cast("long")).alias("keys"))
+
+
+@query(f"""SELECT folder || '/book' || number || '.xlsx' AS source_file, number % 4 <> 3 AND NOT (folder = 'status_o' AND number = 1) AS sheet_exists,
+    CASE WHEN {_GOOD_BOOK} THEN count(*) ELSE 0 END AS row_count,
+    CASE WHEN {_GOOD_BOOK} THEN 'order_key,total_price,priority' || CASE WHEN bool_or(o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0)
+    THEN ',extra_col_3' ELSE '' END ELSE '' END AS columns FROM ({_BOOKS}) GROUP BY folder, number""")
+def workbook_info(spark, sf):
+    """Rows and columns of one sheet for every workbook, the ones without it included."""
+    stage = Stage(spark)
+    _workbook_tree(spark, sf, f"{stage.root}/tree")
+    listed = file_source.list_files(spark, f"{stage.root}/tree")
+    contents = file_source.binary_files(spark, f"{stage.root}/tree").select(
+        file_source.relative_path("path", f"{stage.root}/tree").alias("source_file"), "content")
+    blocks = stage.keep(workbook.decode_workbooks(contents), "blocks")
+    return workbook.file_info(listed, blocks, "Orders").select(
+        "source_file", "sheet_exists", "row_count", F.array_join("columns", ",").alias("columns"))
+
+
+@query("""SELECT source AS folder, count(*) AS rows, sum(n_chars)::BIGINT AS chars, count(*) AS stored FROM documents
+    WHERE source <> 'src7' GROUP BY source""")
+def purge_after_revert(spark, sf):
+    """Documents imported by source folder; one folder is reverted and purged, then the stored rows are counted as well."""
+    stage = Stage(spark)
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars", "source")
+    docs.write.partitionBy("source").options(**CSV_OPTIONS).csv(f"{stage.root}/tree")
+    store = Store(spark, f"{stage.root}/store")
+    listed = file_source.scan_files(spark, f"{stage.root}/tree", (".csv",))
+    ingest_files(store, f"{stage.root}/tree", listed.withColumn("folder", F.lit("docs")), "csv", Options())
+    store.revert_imports(store.imports().filter("source_file LIKE '%source=src7/%'"))
+    store.purge(grace_seconds=0)
+    folder = F.regexp_extract("source_file", "source=([^/]+)/", 1).alias("folder")
+    stored = spark.read.option("recursiveFileLookup", True).parquet(f"{store.root}/data/docs").groupBy(folder).agg(F.count(F.lit(1)).alias("stored"))
+    live = store.read_table("docs").groupBy(folder).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"))
+    return live.join(stored, "folder", "full")

@@ -91,12 +91,21 @@ def scan_json(spark: SparkSession, root: str, candidates: DataFrame, options, st
 
 
 def scan_workbooks(spark: SparkSession, root: str, candidates: DataFrame, options, stage: Stage) -> ScanSet:
-    paths = [r[0] for r in candidates.filter("signature = 'workbook'").select("path").toLocalIterator()]
+    held = candidates.filter(F.col("length") <= options.whole_row_bytes)
+    paths = [r[0] for r in held.filter("signature = 'workbook'").select("path").toLocalIterator()]
     contents = spark.createDataFrame([], "source_file string, content binary")
     if paths:
         contents = file_source.binary_files(spark, [file_source.glob_escaped(p) for p in paths]).select(
             file_source.relative_path("path", root).alias("source_file"), "content")
-    return scan_contents(spark, contents, candidates, options, stage)
+    found = scan_contents(spark, contents, held, options, stage)
+    found.problems = found.problems.unionByName(_too_large(candidates, options.whole_row_bytes))
+    return found
+
+
+def _too_large(candidates: DataFrame, limit: int) -> DataFrame:
+    """A workbook is decoded from one row; a larger one is refused by name, the run goes on."""
+    reason = F.concat(F.lit("too large for one row: "), F.col("length").cast("string"), F.lit(" bytes"))
+    return problem(candidates.filter(F.col("length") > limit), "error", reason)
 
 
 def archive_listing(members: DataFrame) -> DataFrame:
@@ -119,8 +128,11 @@ def archive_listing(members: DataFrame) -> DataFrame:
 
 
 def scan_contents(spark: SparkSession, contents: DataFrame, candidates: DataFrame, options, stage: Stage) -> ScanSet:
-    """Workbook contents to text rows. Decoded blocks are staged: a workbook is parsed once for
-    inference and append."""
+    """Workbook contents to text rows.
+
+    Decoded blocks are staged, so a workbook is parsed once for inference and append. The blocks of the sheets in use are then
+    staged by table: however many tables there are, each reads its own part and the blocks are read a fixed number of times.
+    """
     refused = problem(file_source.validate(candidates).filter("NOT ok"), "error", F.col("error"))
     decoded = workbook.decode_workbooks(contents)
     blocks = stage.keep(workbook.named_blocks(decoded, options.dialect, options.duplicates), "blocks")
@@ -133,7 +145,8 @@ def scan_contents(spark: SparkSession, contents: DataFrame, candidates: DataFram
     else:
         chosen, missing = _one_sheet(listed, catalogue, options)
     chosen = stage.keep(chosen.select("source_file", "sheet", "table_name"), "sheets")
-    used = readable.join(broadcast_if_small(chosen), ["source_file", "sheet"])
+    used = stage.keep(readable.join(broadcast_if_small(chosen), ["source_file", "sheet"]).select(
+        "table_name", "source_file", "sheet", "first_row", "header", "rows", "names"), "used", by=["table_name"])
     has_header = F.exists("header", lambda h: h.isNotNull())
     has_rows = F.exists("rows", lambda r: F.exists(r, lambda v: v.isNotNull()))
     held = used.groupBy("table_name", "source_file").agg(F.bool_or(has_header & has_rows).alias("_any"))

@@ -6,6 +6,7 @@ A written table cuts the lineage, survives lost executors, and has a known size
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +24,16 @@ class Stage:
         self.spark, self.root = spark, f"{(root or shared_folder(spark)).rstrip('/')}/folderloom/{uuid.uuid4().hex}"
         self._path().getFileSystem(self._conf()).deleteOnExit(self._path())
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        """Write and read back; ``by`` are columns that get a folder per value, so that a filter on them reads that folder only.
+
+        For those, rows are dealt out by value, and adaptive execution splits large values and joins small ones.
+        """
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if by:
+            df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def discard(self) -> None:

@@ -11,6 +11,7 @@ import re
 import zipfile
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from folderloom.functions import names
 from folderloom.sources.files import WORKBOOK_EXTENSIONS
 
 BLOCK_ROWS = 500
+SEPARATOR = b"\n"
 BLOCKS = ("source_file string, sheet string, first_row bigint, header array<string>, rows array<array<string>>, "
           "error string")
 # Built-in number formats that show dates or times.
@@ -261,3 +263,59 @@ def file_info(files: DataFrame, blocks: DataFrame, sheet: str) -> DataFrame:
         "source_file", "length", F.col("sheet").isNotNull().alias("sheet_exists"),
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
         F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
+
+
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+                           '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+                           '<Default Extension="xml" ContentType="application/xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type='
+                   '"http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+}
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _cell(value) -> str:
+    if value is None:
+        return "<c/>"
+    if isinstance(value, (int, float)):
+        return f"<c><v>{value!r}</v></c>"
+    return f'<c t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
+
+
+def workbook_bytes(sheets: dict[str, list[list]], comment: bytes = b"") -> bytes:
+    """A plain ``.xlsx`` of rows of cells per sheet, the first row being the header; rows may differ in length."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in _PARTS.items():
+            book.writestr(name, text)
+        listed = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="s{i}"/>' for i, n in enumerate(sheets, 1))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="s{i}" Type="{_LINKS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                                                    f"{links}</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{r}">{"".join(map(_cell, cells))}</row>' for r, cells in enumerate(rows, 1))
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
+        book.comment = comment
+    return out.getvalue()
+
+
+def write_workbooks(books: DataFrame, root: str) -> None:
+    """Write rows (folder, name, content) as ``root``/folder/name through Spark's text writer.
+
+    A record of that writer ends with a line separator; content has it as the comment that closes a ZIP file, made by
+    ``workbook_bytes(..., comment=SEPARATOR)`` and cut off here. Spark commits the files, then each is given its name.
+    """
+    spark = books.sparkSession
+    cut = F.expr(f"substring(content, 1, length(content) - {len(SEPARATOR)})")
+    books.select("folder", "name", cut.cast("string").alias("value")).write.partitionBy("folder", "name").option(
+        "lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", 1).text(f"{root}/_written")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in spark.read.format("binaryFile").load(f"{root}/_written").select("path", "folder", "name").toLocalIterator():
+        system.mkdirs(path(f"{root}/{r.folder}"))
+        if not system.rename(path(r.path), path(f"{root}/{r.folder}/{r.name}")):
+            raise OSError(f"{r.folder}/{r.name} cannot be written")
+    system.delete(path(f"{root}/_written"), True)
