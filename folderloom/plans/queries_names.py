@@ -92,11 +92,9 @@ def suffix_repeated_names(spark, sf):
     return header.select("page_id", F.posexplode("header").alias("position", "name"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, 'batch_' || l_returnflag || '.csv' AS source_file
-    FROM lineitem WHERE l_linestatus = 'F'""")
+@query("""SELECT l_orderkey, l_linenumber, 'batch_' || l_returnflag || '.csv' AS source_file FROM lineitem""")
 def lineage_columns(spark, sf):
-    rows = load(spark, sf, "lineitem").filter("l_linestatus = 'F'")
-    stamped = columns.with_lineage(rows, F.concat(F.lit("batch_"), "l_returnflag", F.lit(".csv")), "load_date")
+    stamped = columns.with_lineage(load(spark, sf, "lineitem"), F.concat(F.lit("batch_"), "l_returnflag", F.lit(".csv")), "load_date")
     return stamped.select("l_orderkey", "l_linenumber", "source_file")
 
 

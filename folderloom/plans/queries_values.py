@@ -213,11 +213,9 @@ def drop_empty_rows(spark, sf):
     return columns.drop_empty_rows(sparse, ["a", "b", "c"])
 
 
-@query("""SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS "detail.k", event_type || '/x' AS "detail.tag.path"
-    FROM events""")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "detail.payload.k", event_type AS "detail.kind" FROM events""")
 def json_flatten(spark, sf):
-    nested = F.concat(F.lit('{"k": '), F.regexp_extract("props", r"(\d+)", 1), F.lit(', "tag": {"path": "'), "event_type",
-                      F.lit('/x"}}'))
-    parsed = load(spark, sf, "events").select(
-        "event_id", "event_type", F.from_json(nested, "k bigint, tag struct<path: string>").alias("detail"))
+    """The props of every event, parsed and laid flat."""
+    payload = F.from_json("props", "k bigint").alias("payload")
+    parsed = load(spark, sf, "events").select("event_id", F.struct(payload, F.col("event_type").alias("kind")).alias("detail"))
     return columns.flatten_structs(parsed)
