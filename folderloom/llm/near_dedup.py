@@ -10,7 +10,7 @@ square root of what separate tables would cost. Two documents of similarity s sh
    pairs are formed: nothing is lost, and most keys of a clean corpus are never made.
 3. Buckets with the same members in several tables count once. First every bucket of the tables (a_i, b_i) compares its
    members with one hub, then every bucket that still has members of two components does so, ``HUBS`` times with another hub.
-   So no group emits all its pairs unless none of them link.
+   So no group emits all its pairs unless none of them link. Between rounds a class is one row with its open keys.
 4. Then all remaining pairs of different components meet in their buckets, the largest component of each bucket on one side
    only. A pair leaves the join only if it can link by its sizes and by its odd sketches: bit k of a sketch tells whether an odd
    number of members hash to k, so two sketches differ in at most as many bits as the sets differ in members. A pair with too
@@ -35,7 +35,7 @@ from folderloom.plans.staging import Stage
 
 ROWS, WIDTH = 12, 3
 #: Rounds of one hub in every open bucket. They only save work: the pairs that they leave are all compared after them.
-HUBS = 2
+HUBS = 3
 #: 64-bit words of an odd sketch.
 WORDS = 16
 PERCENT = 80
@@ -147,19 +147,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one_id_many_texts = not classes.groupBy("owner").count().where("count > 1").isEmpty()
     if one_id_many_texts:  # classes get names of their own, and ids are linked in the end
         classes = classes.withColumn("class", F.xxhash64("print"))
-    live = stage.keep(classes.select("class", F.posexplode("keys").alias("at", "value")), "rows")
+    live = stage.keep(classes.select("class", "n", F.posexplode("keys").alias("at", "value")), "rows")
     shared = live.groupBy("value").agg(F.count("*").alias("_n")).where("_n > 1").select("value")
     value = F.struct("at", "value")
-    left = live.join(shared.hint("merge"), "value").groupBy("class").agg(
+    left = live.join(shared.hint("merge"), "value").groupBy("class", "n").agg(
         F.collect_list(F.when(F.col("at") < rows, value)).alias("a"), F.collect_list(F.when(F.col("at") >= rows, value)).alias("b"))
-    members = left.select("class", F.explode("a").alias("_a"), "b").select("class", "_a", F.explode("b").alias("_b"))
-    members = stage.keep(members.select("class", F.xxhash64("_a.value", "_b.value").alias("key"),
+    members = left.select("class", "n", F.explode("a").alias("_a"), "b").select("class", "n", "_a", F.explode("b").alias("_b"))
+    members = stage.keep(members.select("class", "n", F.xxhash64("_a.value", "_b.value").alias("key"),
                                         (F.col("_a.at") + rows == F.col("_b.at")).alias("_first")), "members")
     buckets = members.groupBy("key").agg(
         F.count("*").alias("_n"), F.sum(F.shiftright(F.xxhash64(F.lit("sum"), "class"), 16)).alias("_sum"),
         F.min("class").alias("_least"), F.bool_or("_first").alias("first")).where("_n > 1")
     buckets = buckets.groupBy("_n", "_sum", "_least").agg(F.min("key").alias("key"), F.bool_or("first").alias("first"))
-    active = stage.keep(members.select("key", "class").join(buckets.select("key", "first").hint("merge"), "key"), "active-0")
+    active = stage.keep(members.select("key", "class", "n").join(buckets.select("key", "first", "_n").hint("merge"), "key"), "active-0")
     # Full sets are made again from the texts, for the classes that have a candidate only.
     wanted = classes.select("class", "owner", "print", "n").join(active.select("class").distinct().hint("merge"), "class", "left_semi")
     wanted = stage.keep(wanted, "wanted")
@@ -167,26 +167,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     again = again.mapInArrow(_full(n), f"_id {kind}, print binary, shingles array<long>, odd array<long>").alias("s").join(
         wanted.hint("merge").alias("w"), (F.col("s._id") == F.col("w.owner")) & (F.col("s.print") == F.col("w.print")))
     sets = stage.keep(again.select("class", F.col("w.n").alias("n"), "shingles", "odd").dropDuplicates(["class"]), "sets")
-    active = active.withColumn("comp", F.col("class"))
+    # From here on a class is one row with its keys, so that labels and sketches are fetched once per class, not once per bucket.
+    held = F.collect_list(F.struct("key", "first")).alias("keys")
+    nodes = active.groupBy("class", "n").agg(held, F.sum("_n").alias("weight")).join(sets.select("class", "odd").hint("merge"), "class")
+    nodes = stage.keep(nodes.withColumn("comp", F.col("class")), "nodes-0")
     links, labels = None, None
     for turn in range(HUBS + 2):
+        placed = nodes.select("class", "n", "comp", "weight", *["odd"] * (turn > 0), F.explode("keys").alias("_k"))
+        placed = placed.withColumns({"key": F.col("_k.key"), "first": F.col("_k.first")}).drop("_k")
+        if turn == 0:  # the diagonal tables alone: most of a group joins there, and the other tables meet what is left of it
+            placed = placed.where("first")
         # A bucket is open while it has members of two components.
-        place = F.xxhash64(F.lit(turn), "class")
-        parts = active.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min(place).alias("_p"))
+        # The hub is the member that shares most buckets with others, as the middle of a group does; later ones are drawn by that.
+        drawn = F.xxhash64(F.lit(turn), "class")
+        race = -F.log((F.shiftrightunsigned(drawn, 11) + 1) / float(1 << 53)) / F.pow("weight", F.lit(2.0))
+        place = F.struct((race if turn else -F.col("weight").cast("double")).alias("race"), drawn.alias("drawn"))
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("_c"), F.min(place).alias("_p"))
         open_ = parts.groupBy("key").agg(F.count("*").alias("_parts"), F.max_by("comp", "_c").alias("main"), F.min("_p").alias("_hub"))
         open_ = open_.where("_parts > 1").select("key", "main", "_hub")
-        active = active.join(open_.hint("merge"), "key")
-        if turn <= 1:  # later rows have them
-            active = active.drop("n", "odd").join(sets.select("class", "n", *["odd"] * (turn > 0)).hint("merge"), "class")
-        active = stage.keep(active, f"open-{turn}")
-        if active.isEmpty():
+        active = stage.keep(placed.join(open_.hint("merge"), "key"), f"open-{turn}")
+        if turn and active.isEmpty():
             break
         if turn > HUBS:
             hub, own = active, active.where(F.col("comp") != F.col("main"))
         else:
             hub, own = active.where(place == F.col("_hub")), active
-        if turn == 0:
-            hub = hub.where("first")
         hub = hub.select("key", F.col("class").alias("other"), F.col("n").alias("_n"), F.col("comp").alias("_comp"),
                          *[F.col("odd").alias("_odd")] * (turn > 0))
         pairs = own.join(hub.hint("merge"), "key").where((F.col("comp") != F.col("_comp")) & (_close(percent) if turn else _sized(percent)))
@@ -194,12 +199,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pairs = pairs.where((F.col("_comp") == F.col("main")) | (F.col("class") < F.col("other")))
         pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         found = stage.keep(_verified(pairs, sets, percent), f"found-{turn}")
-        active = active.drop("main", "_hub")
+        if turn:  # only keys of open buckets go on, and the classes that have one
+            nodes = nodes.drop("keys").join(active.groupBy("class").agg(held).hint("merge"), "class")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links, stage, f"comp-{turn}")
             joined = labels.select(F.col("node").alias("class"), "label")
-            active = active.join(joined.hint("merge"), "class", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+            nodes = nodes.join(joined.hint("merge"), "class", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+        nodes = stage.keep(nodes, f"nodes-{turn + 1}")
     if one_id_many_texts:
         ids = named.select("_id", "print").distinct().select("_id", F.xxhash64("print").alias("class"))
         graph = ids.select(F.xxhash64(F.lit("id"), "_id").alias("a"), F.col("class").alias("b"))
