@@ -66,7 +66,8 @@ def scan_csv(spark: SparkSession, root: str, candidates: DataFrame, options, sta
 
 
 def _unread(candidates: DataFrame) -> DataFrame:
-    return problem(candidates.filter("signature = 'unread'"), "error", "cannot be read")
+    reason = f"cannot be read: a line of over {file_source.LINE_BYTES} bytes, or changed while it was read"
+    return problem(candidates.filter("signature = 'unread'"), "error", reason)
 
 
 def scan_json(spark: SparkSession, root: str, candidates: DataFrame, options, stage: Stage) -> ScanSet:
@@ -91,14 +92,16 @@ def scan_json(spark: SparkSession, root: str, candidates: DataFrame, options, st
 
 
 def scan_workbooks(spark: SparkSession, root: str, candidates: DataFrame, options, stage: Stage) -> ScanSet:
-    held = candidates.filter(F.col("length") <= options.whole_row_bytes)
+    readable = candidates.filter("signature <> 'unread'")
+    held = readable.filter(F.col("length") <= options.whole_row_bytes)
     paths = [r[0] for r in held.filter("signature = 'workbook'").select("path").toLocalIterator()]
     contents = spark.createDataFrame([], "source_file string, content binary")
     if paths:
         contents = file_source.binary_files(spark, [file_source.glob_escaped(p) for p in paths]).select(
             file_source.relative_path("path", root).alias("source_file"), "content")
     found = scan_contents(spark, contents, held, options, stage)
-    found.problems = found.problems.unionByName(_too_large(candidates, options.whole_row_bytes))
+    found.problems = reduce(DataFrame.unionByName, [
+        found.problems, _too_large(readable, options.whole_row_bytes), _unread(candidates)])
     return found
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from contextlib import contextmanager
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folderloom.functions import names
+from folderloom.plans.staging import Stage
 
 # Recognised extensions, configuration files that are never data, file signatures.
 WORKBOOK_EXTENSIONS = (".xlsx", ".xls", ".xlsm", ".xlsb")
@@ -23,8 +28,9 @@ LARGE_FILE_BYTES = 100 * 1024 * 1024
 FIRST_RECORD = "^(?:\ufeff|\u00ef\u00bb\u00bf)?(?:[ \t]*+[\r\n])*+((?:[^\"\r\n]++|\"[^\"]*+\")*+)"
 # One cell, quoted or not. Without its cells, a record is a row of commas.
 CELL = '"(?:[^"]++|"")*+"|[^,\r\n]++'
-# Beyond this size a file is hashed block by block in a task instead of as one row.
-WHOLE_FILE_BYTES = 512 * 1024 * 1024
+# A file with a longer line is refused: Spark's readers hold a line as one row.
+LINE_BYTES = 1 << 30
+_MARK = b"\xef\xbb\xbf"
 _LISTING = "path string, source_file string, folder string, name string, extension string, length bigint, modified timestamp"
 _HASHES = "file_sha256 string, signature string, header_text string, multiline boolean, width int"
 
@@ -75,6 +81,11 @@ def _chosen(listed: DataFrame, extensions, in_root: bool) -> DataFrame:
     return kept if in_root else kept.filter(F.col("folder") != "")
 
 
+def described(found: DataFrame, root: str, extensions, in_root: bool = False) -> DataFrame:
+    """The listing of binary file rows; their contents are not read."""
+    return _chosen(found.select(*_described(root)), extensions, in_root)
+
+
 def list_files(spark: SparkSession, root: str, extensions=WORKBOOK_EXTENSIONS, in_root: bool = False) -> DataFrame:
     """All files below ``root`` with one of the extensions, in any letter case.
 
@@ -85,7 +96,7 @@ def list_files(spark: SparkSession, root: str, extensions=WORKBOOK_EXTENSIONS, i
         raw = binary_files(spark, root)
     except AnalysisException:
         return spark.createDataFrame([], _LISTING)
-    return _chosen(raw.select(*_described(root)), extensions, in_root)
+    return described(raw, root, extensions, in_root)
 
 
 def folders(files: DataFrame, with_parents: bool = False) -> DataFrame:
@@ -108,52 +119,13 @@ def signature(content: Column | str) -> Column:
     return F.when(first == ZIP_SIGNATURE, "workbook").when(first == LEGACY_SIGNATURE, "legacy").otherwise("unknown")
 
 
-def has_quoted_breaks(content: Column | str) -> Column:
-    """Whether a quoted cell runs over a line end: some line then holds an odd number of quotes.
-
-    Everything but quotes and line ends is cut, then pairs of quotes; a quote that is left is odd.
-    """
-    marks = F.regexp_replace(F.decode(names.as_column(content), "ISO-8859-1"), '[^"\n]+', "")
-    return F.contains(F.replace(marks, F.lit('""'), F.lit("")), F.lit('"'))
-
-
-def first_record(content: Column | str) -> Column:
-    """The first record that is not blank, however long; only its bytes are decoded."""
-    content = names.as_column(content)
-    n_bytes = F.length(F.regexp_extract(F.decode(content, "ISO-8859-1"), FIRST_RECORD, 0))
-    return F.regexp_extract(F.make_valid_utf8(F.substring(content, F.lit(1), n_bytes).cast("string")), FIRST_RECORD, 1)
-
-
-def record_width(content: Column | str) -> Column:
-    """Cells of the widest record, empty cells at its end left out; at least those of the first.
-
-    Cells become one letter each, then only the records wider than the first are taken apart.
-    """
-    text = F.regexp_replace(F.decode(names.as_column(content), "ISO-8859-1"), "^\u00ef\u00bb\u00bf", "")
-    commas = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, FIRST_RECORD, 1), CELL, ""), "[^,]", "")
-    marks = F.regexp_replace(F.regexp_replace(text, CELL, "x"), ",++(?=[\r\n]|$)", "")
-    wider = F.concat(F.lit("(?m)^(?:x*+,){"), (F.length(commas) + 1).cast("string"), F.lit("}+[x,]*+"))
-    found = F.transform(F.regexp_extract_all(marks, wider, F.lit(0)), lambda r: F.length(F.replace(r, F.lit("x"), F.lit(""))))
-    return F.greatest(F.length(commas), F.coalesce(F.array_max(found), F.lit(0))) + 1
-
-
-def hashed(contents: DataFrame, root: str) -> DataFrame:
-    """Listing columns, hash, kind, first record and width of binary file rows."""
-    is_text = F.lower("path").endswith(".csv")
-    return contents.select(
-        *_described(root),
-        F.sha2("content", 256).alias("file_sha256"),
-        signature("content").alias("signature"),
-        F.when(is_text, first_record("content")).alias("header_text"),
-        F.when(is_text, has_quoted_breaks("content")).alias("multiline"),
-        F.when(is_text, record_width("content")).alias("width"),
-    )
-
-
 def scan_files(spark: SparkSession, root: str, extensions=WORKBOOK_EXTENSIONS, in_root: bool = False,
-               whole_file_bytes: int = WHOLE_FILE_BYTES, listed: DataFrame | None = None) -> DataFrame:
-    """The listing with hash, kind and first record of every file, in one pass over the contents.
+               listed: DataFrame | None = None) -> DataFrame:
+    """The listing with hash, kind, first record, quoted line ends and width of every file, in one pass over the contents.
 
+    Files of every size go the same way: Spark's line reader hands each of them to one task, in order, and a task holds a few
+    lines at a time. Any path that Spark opens will do. A file is ``unread`` where the lines that came do not make up its size:
+    it changed under the scan, or one of its lines is longer than ``LINE_BYTES``.
     ``listed`` narrows the scan to some files of the listing, so that the contents of others are not read.
     """
     paths: str | list[str] = root
@@ -161,11 +133,54 @@ def scan_files(spark: SparkSession, root: str, extensions=WORKBOOK_EXTENSIONS, i
         paths = [glob_escaped(r[0]) for r in listed.select("path").toLocalIterator()]
     else:
         listed = list_files(spark, root, extensions, in_root)
-    if not paths or listed.isEmpty():
+    sizes = listed.agg(F.max("length"), F.sum("length")).head()
+    if not paths or sizes[0] is None:
         return spark.createDataFrame([], f"{_LISTING}, {_HASHES}")
-    small = _chosen(hashed(binary_files(spark, paths).filter(F.col("length") <= whole_file_bytes), root), extensions, in_root)
-    large = listed.filter(F.col("length") > whole_file_bytes)
-    return small.unionByName(large.mapInPandas(_hash_by_block, f"{_LISTING}, {_HASHES}"))
+    lines = spark.read.options(recursiveFileLookup=True, lineSep="\n", pathGlobFilter=_any_case(extensions)).option(
+        "mapreduce.input.linerecordreader.line.maxlength", LINE_BYTES).text(paths)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+                         F.concat("value", F.lit("\n")).cast("binary").alias("line"))
+    with _unsplit(spark, *sizes):
+        facts = Stage(spark).keep(lines.mapInArrow(_facts, f"path string, {_HASHES}"), "facts")
+    facts = facts.withColumn("source_file", relative_path(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root)).drop("path")
+    empty = F.col("length") == 0  # it has no line, so no row came
+    digest = F.when(empty, hashlib.sha256().hexdigest()).otherwise(F.concat(F.lit("unread "), "path"))
+    return listed.join(facts, "source_file", "left").select(
+        *listed.columns, F.coalesce("file_sha256", digest).alias("file_sha256"),
+        F.coalesce("signature", F.when(empty, "unknown").otherwise("unread")).alias("signature"),
+        F.coalesce("header_text", F.when(empty & (F.col("extension") == ".csv"), "")).alias("header_text"), "multiline", "width")
+
+
+def _any_case(extensions) -> str:
+    """Glob of the extensions in any letter case."""
+    return "*{%s}" % ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+
+
+@contextmanager
+def _unsplit(spark: SparkSession, largest: int, total: int):
+    """Scans planned inside read each file as one split: none is smaller than the largest file, and as many are made as that allows."""
+    least = max(1, min(spark.sparkContext.defaultParallelism, total // max(largest, 1)))
+    wanted = {"spark.sql.files.maxPartitionBytes": str(max(largest, 1 << 27)), "spark.sql.files.minPartitionNum": str(least)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _wide_lines(block: bytes, commas: int) -> list[bytes]:
+    """The lines with more commas than that; the block ends with a line."""
+    data = np.frombuffer(block, np.uint8)
+    ends = np.flatnonzero(data == ord("\n"))
+    held = np.diff(np.searchsorted(np.flatnonzero(data == ord(",")), ends), prepend=0)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [block[starts[i]:ends[i]] for i in np.flatnonzero(held > commas)]
 
 
 def _csv_facts(blocks):
@@ -191,43 +206,63 @@ def _csv_facts(blocks):
             width = max(width, cells.count(",") + 1)
 
     for block in blocks:
-        *lines, rest = (rest + block.replace(b"\r", b"\n")).split(b"\n")
+        block = rest + block.replace(b"\r", b"\n")
+        if header is not None and not odd and b'"' not in block:  # each line is a record: only wider ones are looked at
+            cut = block.rfind(b"\n") + 1
+            lines, rest = _wide_lines(block[:cut], max(commas, width - 1)) if cut else [], block[cut:]
+        else:
+            *lines, rest = block.split(b"\n")
         for line in lines:
             ended(line)
     ended(rest, last=True)
     return header or "", split, max(width, commas + 1)
 
 
-def _hash_by_block(batches):
-    from pyarrow import fs
+def _stretches(batches):
+    """(path, length, bytes) of lines in a row of one file, each with a line end, the last one too."""
+    for batch in batches:
+        line = batch.column("line").cast(pa.large_binary())
+        offsets = np.frombuffer(line.buffers()[1], np.int64)[line.offset:line.offset + len(line) + 1]
+        paths = batch.column("path").dictionary_encode()
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(paths.indices.to_numpy())) + 1]) if len(line) else []
+        for i, j in zip(starts, [*starts[1:], len(line)], strict=True):
+            yield paths[i].as_py(), batch.column("length")[i].as_py(), line.buffers()[2][offsets[i]:offsets[j]].to_pybytes()
+
 
+def _facts(batches):
+    """One row per file. The reader leaves out a UTF-8 mark at the start and does not tell whether the last line has an end;
+    both follow from the file's size."""
     kinds = {ZIP_SIGNATURE: "workbook", LEGACY_SIGNATURE: "legacy"}
-    for batch in batches:
-        facts = []
-        for path in batch["path"]:
-            digest, first = hashlib.sha256(), []
-
-            def blocks(stream, digest=digest, first=first):
-                while block := stream.read(1 << 20):
-                    first or first.append(block[:4])
-                    digest.update(block)
-                    yield block
-
-            try:
-                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                with system.open_input_stream(inner) as stream:
-                    read, header, split, width = blocks(stream), None, None, None
-                    if path.lower().endswith(".csv"):
-                        header, split, width = _csv_facts(read)
-                    for _ in read:
-                        pass
-                facts.append((digest.hexdigest(), kinds.get(b"".join(first).hex().upper(), "unknown"), header, split, width))
-            except (OSError, ValueError):  # the file is refused, the run goes on
-                facts.append((f"unread {path}", "unread", None, None, None))
-        columns = zip(*facts, strict=True) if facts else [[]] * 5
-        made = dict(zip(("file_sha256", "signature", "header_text", "multiline", "width"), map(list, columns), strict=True))
-        out = batch.assign(**made)
-        yield out.astype({"width": "Int32"})
+    for (path, length), parts in groupby(_stretches(batches), key=lambda s: s[:2]):
+        plain, marked, first, seen = hashlib.sha256(), hashlib.sha256(_MARK), b"", 0
+
+        def blocks(parts=parts, length=length, plain=plain, marked=marked):
+            nonlocal first, seen
+            block = next(parts)[2]
+            while block is not None:
+                following = next(parts, (None, None, None))[2]
+                seen += len(block)
+                if following is None and seen - length in (1, 1 - len(_MARK)):  # the last line has no end
+                    block, seen = block[:-1], seen - 1
+                first = first if len(first) >= 4 else (first + block)[:4]
+                plain.update(block)
+                marked.update(block)
+                yield block
+                block = following
+
+        read, header, split, width = blocks(), None, None, None
+        if path.lower().endswith(".csv"):
+            header, split, width = _csv_facts(read)
+        for _ in read:
+            pass
+        if seen not in (length, length - len(_MARK)):
+            continue
+        kind = kinds.get(first.hex().upper(), "unknown") if seen == length else "unknown"
+        digest = (plain if seen == length else marked).hexdigest()
+        yield pa.RecordBatch.from_pylist(
+            [dict(path=path, file_sha256=digest, signature=kind, header_text=header, multiline=split, width=width)],
+            schema=pa.schema([(n, pa.bool_() if n == "multiline" else pa.int32() if n == "width" else pa.string())
+                              for n in ("path", "file_sha256", "signature", "header_text", "multiline", "width")]))
 
 
 def validate(files: DataFrame) -> DataFrame:

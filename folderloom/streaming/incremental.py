@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from folderloom.plans.ingest import EXTENSIONS, Options, ingest_files
 from folderloom.plans.store import Store
@@ -34,7 +33,8 @@ def ingest_stream(store: Store, root: str, checkpoint: str, fmt: str = "csv", op
         return json.loads(store.spark.read.text(f"{checkpoint}/metadata", wholetext=True).head()[0])["id"]
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        found = file_source.hashed(batch, root).filter(F.col("extension").isin(*extensions) & (F.col("folder") != ""))
+        listed = file_source.described(batch, root, extensions)
+        found = file_source.scan_files(store.spark, root, extensions, listed=listed)
         ingest_files(store, root, found, fmt, options, run=f"stream-{query_id()}-{batch_id}")
 
     source = (

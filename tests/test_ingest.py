@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zipfile
 
 import pytest
@@ -339,16 +340,60 @@ def test_ragged_csv_keeps_every_cell(store, tmp_path, put):
     assert len(wide.columns) == 10 and tuple(wide.head())[:8] == tuple(range(8))
 
 
-def test_large_and_small_files_have_the_same_facts(spark, tmp_path, put):
-    put(tmp_path / "r" / "a.csv", '\r\n \n"x\ny",z\r\n1,2,3,,\n"p,""q",r,s,"t"\n')
-    put(tmp_path / "r" / "b.csv", "x,y\n1\n")
-    put(tmp_path / "r" / "c.csv", "")
-    put(tmp_path / "r" / "d.csv", "\ufeff\"h,1\",k\n1,2")
-    facts = [sorted(tuple(r[c] for c in ("name", "file_sha256", "header_text", "multiline", "width")) for r in file_source.scan_files(
-        spark, str(tmp_path / "r"), (".csv",), in_root=True, whole_file_bytes=n).collect()) for n in (0, 1 << 20)]
-    assert facts[0] == facts[1]
-    assert [(f[0], f[2], f[4]) for f in facts[0] if f[0] != "c.csv"] == [
-        ("a.csv", '"x\ny",z', 4), ("b.csv", "x,y", 2), ("d.csv", '"h,1",k', 2)]
+TEXTS = {
+    "a.csv": '\r\n \n"x\ny",z\r\n1,2,3,,\n"p,""q",r,s,"t"\n', "b.csv": "x,y\n1\n", "d.csv": '\ufeff"h,1",k\n1,2', "e.csv": "\ufeffx\n1\n",
+    "f.csv": "x", "g.csv": "x\n\n\n1,,2\n\n", "h.csv": "x\n" + "1,2\n" * 30_000 + "1,2,3,4,,\n" + '"5\n5",6\n' * 9_000 + "7"}
+
+
+def facts_of(spark, root):
+    found = file_source.scan_files(spark, str(root), (".csv",), in_root=True).collect()
+    return {r.name: (r.file_sha256, r.header_text, r.multiline, r.width) for r in found}
+
+
+@pytest.mark.parametrize("rows_at_once", ["10000", "1"])
+def test_facts_of_files_do_not_depend_on_blocks_and_splits(spark, tmp_path, put, rows_at_once):
+    for name, text in TEXTS.items():
+        if rows_at_once != "1" or len(text) < 1000:
+            put(tmp_path / "r" / name, text)
+    confs = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows_at_once, "spark.sql.files.maxPartitionBytes": "1000",
+             "spark.sql.files.openCostInBytes": "10"}
+    for key, value in confs.items():
+        spark.conf.set(key, value)
+    try:
+        facts = facts_of(spark, tmp_path / "r")
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1000"  # as it was before
+    finally:
+        for key in confs:
+            spark.conf.unset(key)
+    wanted = {"a.csv": ('"x\ny",z', True, 4), "b.csv": ("x,y", False, 2), "d.csv": ('"h,1",k', False, 2), "e.csv": ("x", False, 1),
+              "f.csv": ("x", False, 1), "g.csv": ("x", False, 3), "h.csv": ("x", True, 4)}
+    assert facts == {n: (hashlib.sha256(TEXTS[n].encode()).hexdigest(), *wanted[n]) for n in facts}
+    assert len(facts) == (7 if rows_at_once != "1" else 6)
+
+
+def test_a_path_that_only_spark_opens(spark, tmp_path, put, make_workbook):
+    """The same files by a mount table of Hadoop, for every format."""
+    put(tmp_path / "data" / "t" / "a b.csv", "id\n1\n2\n")
+    put(tmp_path / "data" / "u" / "c.json", '[{"id": 3}]')
+    make_workbook(tmp_path / "data" / "v" / "d.xlsx", {"Sheet1": [["ID"], [4]]})
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}/data")
+    store = Store(spark, str(tmp_path / "mounted"))
+    for fmt in ("csv", "json", "workbook"):
+        outcome = ingest(store, "viewfs://far/in", fmt).outcomes.collect()
+        assert [(r.status, r.reason) for r in outcome] == [("success", None)]
+    assert [r.id for t in "tuv" for r in sorted(store.read_table(t).collect())] == [1, 2, 3, 4]
+    digest = hashlib.sha256((tmp_path / "data" / "t" / "a b.csv").read_bytes()).hexdigest()
+    assert store.imports().filter("table_name = 't'").head().file_sha256 == digest
+
+
+def test_a_file_with_too_long_a_line_is_refused_by_name(store, tmp_path, put, monkeypatch):
+    monkeypatch.setattr(file_source, "LINE_BYTES", 50)
+    put(tmp_path / "data" / "t" / "a.csv", "id\n1\n")
+    put(tmp_path / "data" / "t" / "b.csv", "id\n" + "2" * 100 + "\n3\n")
+    result = ingest(store, str(tmp_path / "data"), "csv")
+    assert rows(result.outcomes, "source_file", "status", "reason") == [
+        ("t/a.csv", "success", None), ("t/b.csv", "error", f"cannot be read: a line of over 50 bytes, or changed while it was read")]
+    assert rows(store.read_table("t"), "id") == [(1,)]
 
 
 def test_rows_of_a_refused_file_stay_out(store, tmp_path, make_workbook):
