@@ -144,12 +144,11 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
     unknown = set(options.type_overrides.values()) - set(sqltypes.SPARK_TYPES)
     if unknown:
         raise ValueError(f"unknown types {sorted(unknown)}")
-    runs = store.committed_runs()
-    if run in runs:
+    if store.committed(run):
         return _recorded(store, run)
-    stage = Stage(store.spark)
+    at, stage = store.head(), Stage(store.spark)  # everything below is worked out from this version
     listed, contents = _listed(store, root, found, fmt, options, stage)
-    candidates = stage.keep(_fresh(listed, store.imports(runs), options), "candidates")
+    candidates = stage.keep(_fresh(listed, store.imports(at), options), "candidates")
     scanned = _scanned(store, root, candidates, contents, fmt, options, stage)
     good, problems = _admitted(candidates, scanned, options, stage)
     good = stage.keep(good, "good")
@@ -161,10 +160,10 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
         scans = [Scan(s.table, s.frame.join(refused, SOURCE, "left_anti"), s.columns) for s in scans]
 
     types = stage.keep(_inferred(scans, scanned.headers, good, options, store), "types")
-    existing = store.registry(runs)
+    existing = store.registry(at)
     moves = evolution.change_log(types, options.policy, existing, relog=options.policy == "chain")
     changes = stage.keep(_numbered(moves, types, began, stage), "changes")
-    schema = stage.keep(_versioned(types, existing, store.next_version(runs), options), "schema")
+    schema = stage.keep(_versioned(types, existing, store.next_version(at), options), "schema")
 
     count = _counted if options.dry_run else _append
     counts = count(store, run, scans, schema)
@@ -178,14 +177,14 @@ def ingest_files(store: Store, root: str, found: DataFrame, fmt: str, options: O
         kept = [held.keep(df, name) for df, name in ((outcomes, "outcomes"), (changes, "changes"), (schema, "schema"))]
         stage.discard()
         return Result(run, *kept)
-    _commit(store, run, good, counts, schema, changes, outcomes, options)
+    _commit(store, run, at, good, counts, schema, changes, outcomes, options)
     stage.discard()
     return _recorded(store, run)
 
 
 def _recorded(store: Store, run: str) -> Result:
     """What the ledgers hold of a run. A run that is repeated after its commit is left as it is."""
-    return Result(run, *[store.read_ledger(n, [run]) for n in ("outcomes", "changes", "columns")])
+    return Result(run, *[store.run_ledger(n, run) for n in ("outcomes", "changes", "columns")])
 
 
 def _listed(store, root, found, fmt, options, stage) -> tuple[DataFrame, DataFrame | None]:
@@ -382,8 +381,8 @@ def _outcomes(candidates, good, counts, problems, repeated, changes, began) -> D
         {"seconds": F.lit(share), "at": F.current_timestamp()})
 
 
-def _commit(store, run, good, counts, schema, changes, outcomes, options) -> None:
-    """Ledgers first, the commit row last: until then no reader sees anything of the run."""
+def _commit(store, run, at, good, counts, schema, changes, outcomes, options) -> None:
+    """Ledgers first, the commit last: until then no reader sees anything of the run, and if it is refused, none ever does."""
     versions = schema.select("table_name", "version").distinct()
     logged = good.join(counts, ["table_name", "source_file"], "left").withColumn(
         "row_count", F.coalesce("row_count", F.lit(0))).join(versions, "table_name", "left")
@@ -401,4 +400,4 @@ def _commit(store, run, good, counts, schema, changes, outcomes, options) -> Non
     append = inheritable_thread_target(store.spark)(lambda name: store.append_ledger(name, run, entries[name]))
     with ThreadPoolExecutor(len(entries)) as pool:
         list(pool.map(append, entries))
-    store.commit(run)
+    store.commit(run, at, [r[0] for r in versions.select("table_name").collect()])

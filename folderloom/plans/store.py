@@ -1,7 +1,7 @@
 """Tables and ledgers as Parquet folders.
 
 Rows of a run go to ``data/<table>/_schema_version=N/_run=R``; each ledger to ``ledger/<name>/_run=R``.
-A run is committed by its row in ``ledger/commits``, written last; readers see committed runs only,
+A run is committed by its entry in ``ledger/log``, made last by one writer only; readers see committed runs only,
 and a repeated run overwrites what it left. Type changes and new columns are registry entries, data is
 cast when read, so no file is rewritten.
 """
@@ -9,10 +9,12 @@ cast when read, so no file is rewritten.
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,6 @@ from folderloom.sources.delimited import CSV_OPTIONS, read_declared, write_csv
 
 # The columns of the ledgers ``imports`` and ``changes`` are what callers query; the others are this store's own.
 LEDGERS = {
-    "commits": "committed_at timestamp",
     "imports": "id bigint, table_name string, source_file string, file_sha256 string, row_count bigint, "
                "imported_at timestamp, folder_path string, schema_version int, length bigint, modified timestamp",
     "changes": "id bigint, table_name string, change_type string, column_name string, old_type string, "
@@ -41,9 +42,14 @@ LEDGERS = {
     "expired": "table_name string, backup_path string",
     "purged": "table_name string, path string, state string, at timestamp",
 }
+LOG = "version bigint, _run string, committed_at timestamp, tables array<string>"
 LINEAGE = {"source_file": T.StringType(), "load_timestamp": T.TimestampType()}
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another run has changed the same tables since this one looked at them."""
+
+
 class Store:
     """Tables below one root folder that all executors can reach."""
 
@@ -65,33 +71,93 @@ class Store:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def committed_runs(self) -> list[str]:
-        """Names of the committed runs: one short entry per run, whatever its size."""
-        return [r[0] for r in self._raw_ledger("commits").select("_run").distinct().collect()]
+    def commits(self, at: int | None = None) -> DataFrame:
+        """The log: one row per committed run (version, _run, committed_at, tables), up to a version if given."""
+        try:
+            log = self.spark.read.schema(LOG).json(self._path("ledger", "log"))
+        except AnalysisException:
+            log = self.spark.createDataFrame([], LOG)
+        return log if at is None else log.filter(F.col("version") <= at)
+
+    def head(self) -> int:
+        """Version of the last commit. Entries never change, so reads ``at`` a version always find the same runs."""
+        return self.commits().agg(F.max("version")).head()[0] or 0
 
-    def read_ledger(self, name: str, runs: Sequence[str] | None = None) -> DataFrame:
-        return self._raw_ledger(name).filter(F.col("_run").isin(*(self.committed_runs() if runs is None else runs)))
+    def committed(self, run: str) -> bool:
+        return not self.commits().filter(F.col("_run") == run).isEmpty()
+
+    def _of_commits(self, rows: DataFrame, at: int | None) -> DataFrame:
+        """Rows of committed runs; the names of runs stay out of the plan and the driver, however many there are."""
+        return rows.join(self.commits(at).select("_run"), "_run", "left_semi").select(*rows.columns)
+
+    def read_ledger(self, name: str, at: int | None = None) -> DataFrame:
+        return self._of_commits(self._raw_ledger(name), at)
+
+    def run_ledger(self, name: str, run: str) -> DataFrame:
+        """What one run wrote, committed or not."""
+        return self._raw_ledger(name).filter(F.col("_run") == run)
 
     def append_ledger(self, name: str, run: str, rows: DataFrame) -> None:
         wanted = self._schema(name)
         rows.select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields]).write.mode("overwrite").parquet(
             self._path("ledger", name, f"_run={run}"))
 
-    def commit(self, run: str) -> None:
-        self.append_ledger("commits", run, self.spark.range(1).select(F.current_timestamp().alias("committed_at")))
+    def commit(self, run: str, since: int | None = None, tables: Sequence[str] = ()) -> int:
+        """Make a run visible by the next entry of the log; returns its version.
+
+        An entry appears whole or not at all, and only one of several writers can make it, as in the log of a streaming
+        query: by a rename that refuses an existing target. A run that was worked out from what stood ``since`` a version
+        is refused with ``ConcurrentCommit`` if a later commit touches one of its tables; it stays invisible and may be run
+        again. Runs on other tables, and those that only add to what is there, take the next version.
+        """
+        version, checked = self.head(), since
+        while True:
+            if since is not None and version > checked:
+                later = self.commits().filter((F.col("version") > checked) & F.arrays_overlap("tables", F.lit(list(tables)).cast("array<string>")))
+                if first := later.head():
+                    raise ConcurrentCommit(f"run {run} is not committed: run {first['_run']} has changed {', '.join(set(tables) & set(first.tables))} meanwhile")
+                checked = version
+            moment = datetime.datetime.now(datetime.UTC).isoformat(timespec="microseconds")
+            entry = {"version": version + 1, "_run": run, "committed_at": moment, "tables": sorted(tables)}
+            if self._create_entry(version + 1, json.dumps(entry)):
+                return version + 1
+            version = max(version, self.head())
+
+    def _create_entry(self, version: int, text: str) -> bool:
+        """Whether this entry of the log was made here; False if it was there."""
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        folder = hadoop.Path(self._path("ledger", "log"))
+        system = folder.getFileSystem(conf)
+        entry = system.makeQualified(hadoop.Path(folder, f"{version:012d}.json"))
+        draft = system.makeQualified(hadoop.Path(folder, f".{uuid.uuid4().hex}"))
+        system.mkdirs(folder)
+        out = system.create(draft)
+        out.write(bytearray(text.encode()))
+        out.close()
+        rename = getattr(hadoop, "Options$Rename")
+        how = self.spark._sc._gateway.new_array(rename, 1)
+        how[0] = rename.valueOf("NONE")
+        try:
+            hadoop.FileContext.getFileContext(system.getUri(), conf).rename(draft, entry, how)
+            return True
+        except Py4JJavaError as failed:
+            if failed.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            system.delete(draft, False)
+            return False
 
-    def imports(self, runs: Sequence[str] | None = None) -> DataFrame:
+    def imports(self, at: int | None = None) -> DataFrame:
         """Live imports: committed and not reverted."""
-        runs = self.committed_runs() if runs is None else runs
-        live = self.read_ledger("imports", runs)
-        gone = self.read_ledger("reverts", runs).select("table_name", "source_file", F.col("import_run").alias("_run"))
+        at = self.head() if at is None else at
+        live = self.read_ledger("imports", at)
+        gone = self.read_ledger("reverts", at).select("table_name", "source_file", F.col("import_run").alias("_run"))
         return live.join(gone.distinct(), ["table_name", "source_file", "_run"], "left_anti")
 
     def changes(self) -> DataFrame:
-        runs = self.committed_runs()
+        at = self.head()
         key = ["id", "table_name", "source_file", "column_name"]
-        undone = self.read_ledger("undone_changes", runs).select(*key).distinct()
-        return self.read_ledger("changes", runs).join(undone, key, "left_anti")
+        undone = self.read_ledger("undone_changes", at).select(*key).distinct()
+        return self.read_ledger("changes", at).join(undone, key, "left_anti")
 
     def outcomes(self) -> DataFrame:
         return self.read_ledger("outcomes")
@@ -103,18 +169,18 @@ class Store:
 
     # --- catalogue ------------------------------------------------------------------------------
 
-    def registry(self, runs: Sequence[str] | None = None) -> DataFrame:
+    def registry(self, at: int | None = None) -> DataFrame:
         """Columns of the current version of every table."""
-        entries = self.read_ledger("columns", runs)
+        entries = self.read_ledger("columns", at)
         current = entries.groupBy("table_name").agg(F.max("version").alias("version"))
         return entries.join(current, ["table_name", "version"], "left_semi").filter("column_name IS NOT NULL")
 
     def tables(self) -> DataFrame:
         return ledger.distinct_tables(self.registry())
 
-    def table_versions(self, table: str, runs: Sequence[str] | None = None) -> dict[int, dict[str, str]]:
+    def table_versions(self, table: str, at: int | None = None) -> dict[int, dict[str, str]]:
         """Column to type of one table by schema version, columns in order."""
-        rows = self.read_ledger("columns", runs).filter(F.col("table_name") == table).collect()
+        rows = self.read_ledger("columns", at).filter(F.col("table_name") == table).collect()
         out: dict[int, dict[str, str]] = {}
         for r in sorted(rows, key=lambda r: (r.version, r.ordinal)):
             out.setdefault(r.version, {}).update({r.column_name: r.sql_type} if r.column_name else {})
@@ -135,8 +201,8 @@ class Store:
     def status(self, limit: int | None = 10) -> DataFrame:
         return ledger.status_rollup(self.imports(), limit)
 
-    def next_version(self, runs: Sequence[str] | None = None) -> DataFrame:
-        return self.read_ledger("columns", runs).groupBy("table_name").agg((F.max("version") + 1).alias("version"))
+    def next_version(self, at: int | None = None) -> DataFrame:
+        return self.read_ledger("columns", at).groupBy("table_name").agg((F.max("version") + 1).alias("version"))
 
     # --- tables ---------------------------------------------------------------------------------
 
@@ -146,6 +212,7 @@ class Store:
         columns.check_insertable(list(schema))
         if not is_table_name(table):
             raise ValueError(f"invalid table name {table!r}")
+        at = self.head()
         if self.table_exists(table):
             if if_exists == "fail":
                 raise ValueError(f"table {table} exists")
@@ -157,12 +224,13 @@ class Store:
         self.append_ledger("changes", run, self.spark.createDataFrame(
             [(int(now.timestamp() * 1000) << 20, table, "create_table", None, None, None, source_file, now, None)],
             self._schema("changes")))
-        self.commit(run)
+        self.commit(run, at, [table])
         return True
 
     def load_csv(self, table: str, path: str, schema: dict[str, str]) -> int:
         """Bulk load of CSV files under a declared schema, creating the table if need be; returns the row count."""
         self.create_table(table, schema)
+        at = self.head()
         version, run = max(self.table_versions(table)), f"load-{uuid.uuid4().hex}"
         rows = read_declared(self.spark, path, struct_type(schema))
         declared = columns.align(rows, self.table_columns(table))
@@ -174,7 +242,7 @@ class Store:
             F.sha2(F.lit(run), 256).alias("file_sha256"), "row_count", F.current_timestamp().alias("imported_at"),
             F.lit(path).alias("folder_path"), F.lit(version).alias("schema_version"),
             F.lit(None).alias("length"), F.lit(None).alias("modified")))
-        self.commit(run)
+        self.commit(run, at, [table])
         return sum(r.row_count for r in counts.collect())
 
     def write_rows(self, table: str, version: int, run: str, rows: DataFrame) -> None:
@@ -186,30 +254,30 @@ class Store:
         rows = self.spark.read.parquet(self._path("data", table, f"_schema_version={version}", f"_run={run}"))
         return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"))
 
-    def _all_rows(self, table: str, runs: Sequence[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    def _all_rows(self, table: str, at: int) -> tuple[DataFrame | None, dict[str, str]]:
         """Rows of all versions with a live import, in the current schema with their run, reverted ones of these included.
         There is one scan per schema version, not per file."""
-        schemas = self.table_versions(table, runs)
+        schemas = self.table_versions(table, at)
         target = schemas[max(schemas)] if schemas else {}
-        mine = self.imports(runs).filter((F.col("table_name") == table) & (F.col("row_count") > 0))
+        mine = self.imports(at).filter((F.col("table_name") == table) & (F.col("row_count") > 0))
         frames = []
         for version in sorted(r[0] for r in mine.select("schema_version").distinct().collect()):
             lineage = [T.StructField(n, t) for n, t in LINEAGE.items()]
             schema = T.StructType([*struct_type(schemas[version]).fields, *lineage, T.StructField("_run", T.StringType())])
             rows = self.spark.read.schema(schema).parquet(self._path("data", table, f"_schema_version={version}"))
-            frames.append(rows.filter(F.col("_run").isin(*runs)))
+            frames.append(self._of_commits(rows, at))
         return (columns.append_frames(frames, target, [*LINEAGE, "_run"]) if frames else None), target
 
     def read_table(self, table: str) -> DataFrame:
         """Live rows in the current schema."""
-        runs = self.committed_runs()
-        rows, target = self._all_rows(table, runs)
+        at = self.head()
+        rows, target = self._all_rows(table, at)
         if not target:
             raise ValueError(f"no table {table}")
         if rows is None:
             fields = [*struct_type(target).fields, *[T.StructField(n, t) for n, t in LINEAGE.items()]]
             return self.spark.createDataFrame([], T.StructType(fields))
-        gone = self.read_ledger("reverts", runs).filter(F.col("table_name") == table).select(
+        gone = self.read_ledger("reverts", at).filter(F.col("table_name") == table).select(
             "source_file", F.col("import_run").alias("_run")).distinct()
         if not gone.isEmpty():
             rows = rows.join(broadcast_if_small(gone), ["source_file", "_run"], "left_anti")
@@ -217,7 +285,7 @@ class Store:
 
     def _rows_of(self, table: str, imports: DataFrame) -> DataFrame:
         """Rows of chosen imports of one table."""
-        rows, target = self._all_rows(table, self.committed_runs())
+        rows, target = self._all_rows(table, self.head())
         chosen = imports.filter(F.col("table_name") == table).select("source_file", "_run")
         if rows is None:
             fields = [*struct_type(target).fields, *[T.StructField(n, t) for n, t in LINEAGE.items()]]
@@ -257,21 +325,23 @@ class Store:
 
         A hash undoes that version of the file only. Returns the report of what was removed.
         """
-        return self.revert_imports(self._chosen(table, selector, by), backup)
+        since = self.head()
+        return self.revert_imports(self._chosen(table, selector, by), backup, since)
 
-    def revert_imports(self, chosen: DataFrame, backup: bool = False) -> DataFrame:
-        """Undo any selection of ``imports()`` at once."""
-        run = f"revert-{uuid.uuid4().hex}"
+    def revert_imports(self, chosen: DataFrame, backup: bool = False, since: int | None = None) -> DataFrame:
+        """Undo any selection of ``imports()`` at once; of that ``since`` a version, or of now."""
+        run, since = f"revert-{uuid.uuid4().hex}", self.head() if since is None else since
+        touched = [r[0] for r in chosen.select("table_name").distinct().collect()]
         if backup:
-            for r in chosen.select("table_name").distinct().collect():
-                self._backup_imports(r[0], chosen, run)
+            for table in touched:
+                self._backup_imports(table, chosen, run)
         self.append_ledger("reverts", run, chosen.select(
             "table_name", "source_file", "file_sha256", F.col("_run").alias("import_run"),
             F.current_timestamp().alias("reverted_at")))
         report = self._raw_ledger("reverts").filter(F.col("_run") == run).drop("_run")
         counts = self.read_ledger("imports").select(
             "table_name", "source_file", F.col("_run").alias("import_run"), F.col("row_count").alias("deleted_rows"))
-        self.commit(run)
+        self.commit(run, since, touched)
         return report.join(counts, ["table_name", "source_file", "import_run"]).select(
             "table_name", "source_file", "file_sha256", "deleted_rows", F.lit(True).alias("executed"),
             F.lit(None).cast("string").alias("manual_step"))
@@ -281,6 +351,7 @@ class Store:
 
     def revert_schema(self, table: str, source_file: str) -> int:
         """Apply the plan as a new schema version; the changes leave the ledger. Returns the number undone."""
+        at = self.head()
         plan = self.schema_revert_plan(table, source_file).filter("action IN ('drop_column', 'restore_type')")
         todo = plan.count()
         if not todo:
@@ -291,7 +362,7 @@ class Store:
         self.append_ledger("columns", run, after.withColumn("version", F.col("version") + 1))
         self.append_ledger("undone_changes", run, plan.select(
             F.col("step").alias("id"), "table_name", "source_file", "column_name"))
-        self.commit(run)
+        self.commit(run, at, [table])
         return todo
 
     # --- backups --------------------------------------------------------------------------------
@@ -334,9 +405,9 @@ class Store:
         return path, n
 
     def backups(self) -> DataFrame:
-        runs = self.committed_runs()
-        gone = self.read_ledger("expired", runs).select("table_name", "backup_path").distinct()
-        return self.read_ledger("backups", runs).join(gone, ["table_name", "backup_path"], "left_anti")
+        at = self.head()
+        gone = self.read_ledger("expired", at).select("table_name", "backup_path").distinct()
+        return self.read_ledger("backups", at).join(gone, ["table_name", "backup_path"], "left_anti")
 
     def expire_backups(self, retention_days: int | None = None, max_files: int | None = None,
                        now: datetime.datetime | None = None) -> int:
@@ -368,14 +439,15 @@ class Store:
 
     def _import_states(self) -> DataFrame:
         """All committed imports with rows, and whether they are live."""
-        runs = self.committed_runs()
+        at = self.head()
         key = ["table_name", "source_file", "_run"]
-        every = self.read_ledger("imports", runs).filter("row_count > 0")
-        return every.join(self.imports(runs).select(*key).distinct().withColumn("live", F.lit(True)), key, "left").withColumn(
+        every = self.read_ledger("imports", at).filter("row_count > 0")
+        return every.join(self.imports(at).select(*key).distinct().withColumn("live", F.lit(True)), key, "left").withColumn(
             "live", F.coalesce("live", F.lit(False)))
 
     def _rewrite_partial(self) -> None:
         """Live rows of partly reverted runs go to one new run per table, in the current schema."""
+        at = self.head()
         folder = ["table_name", "schema_version", "_run"]
         states = self._import_states()
         partial = states.groupBy(*folder).agg(F.bool_or("live").alias("_some"), F.bool_and("live").alias("_all")).filter("_some AND NOT _all")
@@ -387,17 +459,17 @@ class Store:
             self.append_ledger("imports", run, mine.withColumn("schema_version", F.lit(version)))
             self.append_ledger("reverts", run, mine.select(
                 "table_name", "source_file", "file_sha256", F.col("_run").alias("import_run"), F.current_timestamp().alias("reverted_at")))
-            self.commit(run)
+            self.commit(run, at, [table])
 
     def _mark_dead(self, moment: datetime.datetime) -> None:
         """Log the folders of runs without a live import, and those of expired backups."""
-        states, runs = self._import_states(), self.committed_runs()
+        states, at = self._import_states(), self.head()
         dead = states.groupBy("table_name", "schema_version", "_run").agg(F.bool_or("live").alias("_live")).filter("NOT _live")
         path = F.concat_ws("/", F.lit(self._path("data")), "table_name", F.concat(F.lit("_schema_version="), F.col("schema_version").cast("string")),
                            F.concat(F.lit("_run="), F.col("_run")))
         folders = dead.select("table_name", path.alias("path"), F.lit("marked").alias("state"))
-        copies = self.read_ledger("expired", runs).select("table_name", F.col("backup_path").alias("path"), F.lit("expired").alias("state"))
-        known = self.read_ledger("purged", runs).select("path").distinct()
+        copies = self.read_ledger("expired", at).select("table_name", F.col("backup_path").alias("path"), F.lit("expired").alias("state"))
+        known = self.read_ledger("purged", at).select("path").distinct()
         new = folders.unionByName(copies).distinct().join(known, "path", "left_anti")
         run = f"mark-{uuid.uuid4().hex}"
         self.append_ledger("purged", run, new.withColumn("at", F.lit(moment)))
@@ -428,6 +500,7 @@ class Store:
         unregistered, so that the next run starts them anew. Needs ``confirm=True``."""
         if not confirm:
             raise ValueError("dropping tables needs confirm=True")
+        at = self.head()
         chosen = [r[0] for r in self.tables().collect()]
         if tables is not None:
             chosen = [t for t in chosen if t in set(tables)]
@@ -442,7 +515,7 @@ class Store:
             "table_name", "version", F.lit(None).cast("string").alias("column_name"),
             F.lit(None).cast("string").alias("sql_type"), F.lit(0).alias("ordinal"))
         self.append_ledger("columns", run, gone)
-        self.commit(run)
+        self.commit(run, at, chosen)
         return chosen
 
 

@@ -9,7 +9,7 @@ import pytest
 from conftest import workbook_bytes
 
 from folderloom.plans.ingest import Options, ingest
-from folderloom.plans.store import Store
+from folderloom.plans.store import ConcurrentCommit, Store
 from folderloom.sources import files as file_source
 
 
@@ -442,3 +442,26 @@ def test_change_ids_are_unique_and_ordered(store, tmp_path, put):
     for t in ("t", "u"):
         files = [f[2] for f in found if f[1] == t]
         assert files == sorted(files)
+
+
+def test_two_runs_at_once_do_not_mix(store, tmp_path, put, monkeypatch):
+    """A second run imports into the same table while the first one writes: the first is refused, and right when run again."""
+    put(tmp_path / "one" / "t" / "a.csv", "id\n1\n")
+    put(tmp_path / "two" / "t" / "b.csv", "id\nx\n")
+    put(tmp_path / "other" / "u" / "c.csv", "id\n7\n")
+    write = Store.write_rows
+
+    def interrupted(self, table, version, run, frame):
+        monkeypatch.setattr(Store, "write_rows", write)
+        ingest(self, str(tmp_path / "other"), "csv", run="other")  # another table is in nobody's way
+        ingest(self, str(tmp_path / "two"), "csv", run="two")
+        return write(self, table, version, run, frame)
+
+    monkeypatch.setattr(Store, "write_rows", interrupted)
+    with pytest.raises(ConcurrentCommit, match="run one is not committed: run two has changed t"):
+        ingest(store, str(tmp_path / "one"), "csv", run="one")
+    assert rows(store.read_table("t"), "id") == [("x",)] and rows(store.imports(), "source_file") == [("t/b.csv",), ("u/c.csv",)]
+    ingest(store, str(tmp_path / "one"), "csv", run="one")
+    assert rows(store.read_table("t"), "id") == [("1",), ("x",)]
+    assert rows(store.commits(), "version", "_run") == [(1, "other"), (2, "two"), (3, "one")]
+    assert sorted(store.table_versions("t")) == [1]

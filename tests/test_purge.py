@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from folderloom.plans.ingest import ingest
-from folderloom.plans.store import Store
+from folderloom.plans.store import ConcurrentCommit, Store
 
 
 def fill(store, table, run, files):
@@ -44,7 +45,7 @@ def folders(store, table):
 def test_reverted_rows_leave_the_disk_after_the_grace_time(store):
     before, logged = folders(store, "a"), store.imports().count()
     store.revert("a", source_file="a/f1.csv")
-    old = store.committed_runs()
+    old = store.head()
     assert store.purge().collect() == []  # rewritten and marked; a reader of the old list still finds its folder
     kept = folders(store, "a")
     assert len(kept) == 2 and before[0] in kept
@@ -58,6 +59,28 @@ def test_reverted_rows_leave_the_disk_after_the_grace_time(store):
     assert store.purge(now=later).collect() == []
 
 
+def test_a_revert_beside_a_purge_is_refused(store):
+    since = store.head()
+    chosen = store.imports().filter("source_file = 'a/f0.csv'")
+    store.revert("a", source_file="a/f1.csv")
+    store.purge()  # moves the rows that the second revert has chosen
+    with pytest.raises(ConcurrentCommit):
+        store.revert_imports(chosen, since=since)
+    assert ids(store, "a") == [0, 2, 10, 12]
+    store.revert("a", source_file="a/f0.csv")
+    assert ids(store, "a") == [2, 12]
+
+
+def test_writers_of_the_log_take_turns(store):
+    """Many commits at once: each gets a version of its own, and plans do not grow with their number."""
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(lambda k: store.commit(f"stream-{k}"), range(24)))
+    assert sorted(versions) == list(range(store.head() - 23, store.head() + 1))
+    assert store.commits().select("version").distinct().count() == store.head()
+    plan = store.imports()._jdf.queryExecution().optimizedPlan().toString()
+    assert "stream-7" not in plan and ids(store, "b") == [1]
+
+
 def test_purged_tables_go_on(store, tmp_path, put):
     store.revert("a", source_file="a/f0.csv")
     store.purge(grace_seconds=0)
