@@ -164,6 +164,59 @@ def workbook_info(spark, sf):
         "source_file", "sheet_exists", "row_count", F.array_join("columns", ",").alias("columns"))
 
 
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 11 = 0 AS rejected, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price,
+    CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""")
+def bulk_load(spark, sf):
+    """Orders as CSV, each eleventh with a price that is none, loaded twice under a declared schema: rows and rejects together."""
+    stage = Stage(spark)
+    price = F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), price.alias("price"), F.to_date("o_orderdate").alias("day")).write.options(
+        **CSV_OPTIONS).csv(f"{stage.root}/tree")
+    store = Store(spark, f"{stage.root}/store")
+    for _ in range(2):
+        store.load_csv("orders", f"{stage.root}/tree", {"id": "BIGINT", "price": "DOUBLE PRECISION", "day": "DATE"})
+    rows = store.read_table("orders").select("id", F.lit(False).alias("rejected"), "price", "day")
+    return rows.unionByName(store.rejects().select(F.substring_index("record", ",", 1).cast("bigint").alias("id"), F.lit(True).alias("rejected")),
+                            allowMissingColumns=True)
+
+
+def _loaded(spark: SparkSession, rows: DataFrame, table: str, schema: dict[str, str]) -> Store:
+    """A store whose table holds the rows, by a bulk load."""
+    stage = Stage(spark)
+    rows.select(*schema).write.options(**CSV_OPTIONS).csv(f"{stage.root}/tree")
+    store = Store(spark, f"{stage.root}/store")
+    store.load_csv(table, f"{stage.root}/tree", schema)
+    return store
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1998-01-01'")
+def filtered_scan(spark, sf):
+    """Some rows of a table of the store; the conditions reach its Parquet scan."""
+    store = _loaded(spark, load(spark, sf, "lineitem"), "lineitem", {
+        "l_orderkey": "BIGINT", "l_linenumber": "BIGINT", "l_quantity": "DOUBLE PRECISION", "l_returnflag": "TEXT", "l_shipdate": "TIMESTAMP"})
+    chosen = store.read_table("lineitem").filter("l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1998-01-01'")
+    types = load(spark, sf, "lineitem").schema
+    return chosen.select(*[F.col(c).cast(types[c].dataType) for c in ("l_orderkey", "l_linenumber", "l_quantity")])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5")
+def sample_rows(spark, sf):
+    """The first rows of a table of the store."""
+    store = _loaded(spark, load(spark, sf, "orders"), "orders", {"o_orderkey": "BIGINT", "o_orderstatus": "TEXT"})
+    return store.read_table("orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").limit(5)
+
+
+@query("""SELECT o_orderstatus, count(*) AS orders, max(o_orderkey)::BIGINT AS last FROM orders WHERE o_totalprice >= 1000 AND o_orderpriority = '1-URGENT'
+    GROUP BY o_orderstatus""")
+def parameterised_sql(spark, sf):
+    """SQL with named parameters over a table of the store."""
+    store = _loaded(spark, load(spark, sf, "orders"), "orders", {
+        "o_orderkey": "BIGINT", "o_orderstatus": "TEXT", "o_totalprice": "DOUBLE PRECISION", "o_orderpriority": "TEXT"})
+    return store.sql("SELECT o_orderstatus, count(*) AS orders, max(o_orderkey) AS last FROM orders "
+                     "WHERE o_totalprice >= :least AND o_orderpriority = :priority GROUP BY o_orderstatus",
+                     {"least": 1000, "priority": "1-URGENT"})
+
+
 @query("""SELECT source AS folder, count(*) AS rows, sum(n_chars)::BIGINT AS chars, count(*) AS stored FROM documents
     WHERE source <> 'src7' GROUP BY source""")
 def purge_after_revert(spark, sf):

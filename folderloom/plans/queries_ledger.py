@@ -156,9 +156,12 @@ def changes_by_source(spark, sf):
     return ledger.changes_by_source(changes(spark, sf), "t_o", "f7.xlsx")
 
 
-@query(f"SELECT * FROM {_IMPORTS} WHERE table_name = 'src1' AND source_file = 'en/file_7.xlsx'")
+@query(f"""SELECT * FROM {_IMPORTS} WHERE (table_name, source_file) = (SELECT (table_name, source_file) FROM {_IMPORTS} ORDER BY id LIMIT 1)""")
 def ledger_predicates(spark, sf):
-    return ledger.matching(imports(spark, sf), table_name="src1", source_file="en/file_7.xlsx", file_sha256=None)
+    """All imports of the file that was imported first, whatever its content."""
+    log = imports(spark, sf)
+    first = log.agg(F.min_by(F.struct("table_name", "source_file"), "id")).head()[0]
+    return ledger.matching(log, table_name=first.table_name, source_file=first.source_file, file_sha256=None)
 
 
 # --- outcomes -----------------------------------------------------------------------------------
@@ -303,25 +306,3 @@ def backup_retention(spark, sf):
                                          F.col("imported_at").alias("created_at"))
     now = manifest.agg(F.max("created_at")).head()[0]
     return revert.expired_backups(manifest, now, retention_days=1, max_files=5).select("table_name", "backup_path")
-
-
-# --- reads --------------------------------------------------------------------------------------
-
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1998-01-01'")
-def filtered_scan(spark, sf):
-    return load(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_shipdate >= TIMESTAMP_NTZ '1998-01-01'").select(
-        "l_orderkey", "l_linenumber", "l_quantity")
-
-
-@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5")
-def sample_rows(spark, sf):
-    return load(spark, sf, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey").limit(5)
-
-
-@query("""SELECT table_name, count(*) AS files, sum(row_count)::BIGINT AS total_rows FROM """ + _IMPORTS + """
-    WHERE row_count >= 100 AND folder_path = 'en' GROUP BY table_name""")
-def parameterised_sql(spark, sf):
-    return spark.sql(
-        "SELECT table_name, count(*) AS files, sum(row_count) AS total_rows FROM {imports} "
-        "WHERE row_count >= :least AND folder_path = :folder GROUP BY table_name",
-        args={"least": 100, "folder": "en"}, imports=imports(spark, sf))

@@ -42,17 +42,16 @@ def numeric_clean(spark, sf):
     )
 
 
-# Words that answer yes or no, and some that do not.
-_WORDS = (" Yes", "N", "TRUE", "f", "1", "0\t", "maybe", "", "No ", "t", "y", "False")
-
-
-@query(f"""SELECT o_orderkey, CASE WHEN w IN ('true', 'yes', 'y', '1', 't') THEN true
-    WHEN w IN ('false', 'no', 'n', '0', 'f') THEN false END AS flag
-    FROM (SELECT o_orderkey, lower({q.strip('raw')}) AS w FROM (SELECT o_orderkey,
-      [' Yes', 'N', 'TRUE', 'f', '1', '0' || chr(9), 'maybe', '', 'No ', 't', 'y', 'False'][CAST(o_orderkey % 12 AS INT) + 1] AS raw FROM orders))""")
+@query(f"""SELECT l_orderkey, l_linenumber, cell, CASE WHEN w IN ('true', 'yes', 'y', '1', 't') THEN true
+    WHEN w IN ('false', 'no', 'n', '0', 'f') THEN false END AS flag FROM (SELECT l_orderkey, l_linenumber, cell, lower({q.strip('raw')}) AS w FROM (
+      SELECT l_orderkey, l_linenumber, unnest([0, 1, 2, 3]) AS cell, unnest([l_returnflag, ' ' || lower(l_linestatus) || chr(9),
+      CAST(l_linenumber AS VARCHAR), CAST(l_discount > l_tax AS VARCHAR)]) AS raw FROM lineitem))""")
 def boolean_clean(spark, sf):
-    raw = F.get(F.array(*[F.lit(w) for w in _WORDS]), F.col("o_orderkey") % 12)
-    return load(spark, sf, "orders").select("o_orderkey", values.as_boolean(raw).alias("flag"))
+    """Flags, numbers and comparisons of every line item as text; some of them answer yes or no."""
+    cells = F.array("l_returnflag", F.concat(F.lit(" "), F.lower("l_linestatus"), F.lit("\t")), F.col("l_linenumber").cast("string"),
+                    (F.col("l_discount") > F.col("l_tax")).cast("string"))
+    every = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(cells).alias("cell", "raw"))
+    return every.select("l_orderkey", "l_linenumber", "cell", values.as_boolean("raw").alias("flag"))
 
 
 def _written_dates(spark, sf):

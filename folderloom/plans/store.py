@@ -24,7 +24,9 @@ from folderloom.functions import names
 from folderloom.operators import columns, ledger, revert
 from folderloom.operators.inference import struct_type
 from folderloom.operators.joins import broadcast_if_small
-from folderloom.sources.delimited import CSV_OPTIONS, read_declared, write_csv
+from folderloom.plans.staging import Stage
+from folderloom.sources import files as file_source
+from folderloom.sources.delimited import CSV_OPTIONS, RECORD, below, read_declared, write_csv
 
 # The columns of the ledgers ``imports`` and ``changes`` are what callers query; the others are this store's own.
 LEDGERS = {
@@ -39,6 +41,7 @@ LEDGERS = {
     "undone_changes": "id bigint, table_name string, source_file string, column_name string",
     "backups": "table_name string, backup_path string, row_count bigint, reason string, created_at timestamp, "
                "source_file string, file_sha256 string",
+    "rejects": "table_name string, source_file string, file_sha256 string, record string, fitting_cells int, at timestamp",
     "expired": "table_name string, backup_path string",
     "purged": "table_name string, path string, state string, at timestamp",
 }
@@ -228,22 +231,46 @@ class Store:
         return True
 
     def load_csv(self, table: str, path: str, schema: dict[str, str]) -> int:
-        """Bulk load of CSV files under a declared schema, creating the table if need be; returns the row count."""
+        """Bulk load of CSV files under a declared schema, creating the table if need be; returns the rows added.
+
+        Files are known by name and content, so a second load adds only what is new. Records with a cell that does not fit its
+        type, or with too few or too many cells, are no rows of the table: they go to ``rejects()`` as they stand in the file.
+        An empty cell is null, in every type. A file without any good row is imported with no rows.
+        """
         self.create_table(table, schema)
-        at = self.head()
-        version, run = max(self.table_versions(table)), f"load-{uuid.uuid4().hex}"
-        rows = read_declared(self.spark, path, struct_type(schema))
-        declared = columns.align(rows, self.table_columns(table))
-        self.write_rows(table, version, run, declared.withColumns(
-            {"source_file": F.lit(path), "load_timestamp": F.current_timestamp()}))
+        at, run = self.head(), f"load-{uuid.uuid4().hex}"
+        stage = Stage(self.spark)
+        found = file_source.scan_files(self.spark, path, (".csv",), in_root=True)
+        found = found.withColumns({"table_name": F.lit(table), "source_file": below(path, "source_file")})
+        found = stage.keep(found, "found")
+        if found.isEmpty():
+            raise ValueError(f"no file ending in .csv at {path}")
+        if unread := found.filter("signature = 'unread'").orderBy("source_file").head():
+            raise RuntimeError(f"{unread.source_file} cannot be read")
+        fresh = stage.keep(ledger.not_imported(found, self.imports(at)), "fresh")
+        if fresh.isEmpty():
+            return 0
+        version = max(self.table_versions(table, at))
+        rows = read_declared(self.spark, path, fresh, struct_type(schema))
+        good, broken = rows.filter(F.col(RECORD).isNull()), rows.filter(F.col(RECORD).isNotNull())
+        declared = columns.align(good.withColumn("load_timestamp", F.current_timestamp()), self.table_columns(table), [*LINEAGE])
+        self.write_rows(table, version, run, declared)
         counts = self.written_counts(table, version, run)
-        self.append_ledger("imports", run, counts.select(
-            F.xxhash64(F.lit(table), "source_file", F.lit(run)).alias("id"), F.lit(table).alias("table_name"), "source_file",
-            F.sha2(F.lit(run), 256).alias("file_sha256"), "row_count", F.current_timestamp().alias("imported_at"),
-            F.lit(path).alias("folder_path"), F.lit(version).alias("schema_version"),
-            F.lit(None).alias("length"), F.lit(None).alias("modified")))
+        about = fresh.select("source_file", "file_sha256", "length", "modified")
+        fitting = sum((columns.quoted(c).isNotNull().cast("int") for c in schema), F.lit(0)).alias("fitting_cells")
+        self.append_ledger("rejects", run, broken.select("source_file", F.col(RECORD).alias("record"), fitting).join(about, "source_file").select(
+            F.lit(table).alias("table_name"), "source_file", "file_sha256", "record", "fitting_cells", F.current_timestamp().alias("at")))
+        self.append_ledger("imports", run, about.join(counts, "source_file", "left").select(
+            F.xxhash64(F.lit(table), "source_file", "file_sha256").alias("id"), F.lit(table).alias("table_name"), "source_file",
+            "file_sha256", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.current_timestamp().alias("imported_at"),
+            F.lit(path).alias("folder_path"), F.lit(version).alias("schema_version"), "length", "modified"))
         self.commit(run, at, [table])
-        return sum(r.row_count for r in counts.collect())
+        stage.discard()
+        return self.run_ledger("imports", run).agg(F.sum("row_count")).head()[0]
+
+    def rejects(self) -> DataFrame:
+        """Records that bulk loads kept out of the tables, with their files; those of reverted files are left out."""
+        return self.read_ledger("rejects").join(self.imports().select(*ledger.IMPORT_KEY).distinct(), list(ledger.IMPORT_KEY), "left_semi")
 
     def write_rows(self, table: str, version: int, run: str, rows: DataFrame) -> None:
         columns.check_insertable(rows.columns)

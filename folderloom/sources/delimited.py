@@ -5,11 +5,13 @@ from __future__ import annotations
 import csv
 import io
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folderloom.functions.names import as_column
 from folderloom.operators.columns import clean_headers, flatten_structs, merge_columns
 from folderloom.sources.files import glob_escaped, metadata_path, relative_path
 
@@ -107,6 +109,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
-def read_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Bulk read of CSV under a declared schema."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+RECORD = "_record"
+
+
+def below(root: str, relative: Column | str) -> Column:
+    """Full name of a file: its root, which may be the file itself, and its place below it."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), F.nullif(as_column(relative), F.lit("")))
+
+
+def read_declared(spark: SparkSession, root: str, files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Bulk read of scanned CSV files under a declared schema: its columns, ``source_file``, and the whole ``RECORD`` where a
+    cell does not fit its type or the number of cells is another. Files with line ends inside quotes are read unsplit."""
+    held: dict[bool, list[str]] = {}
+    for r in files.select("path", "multiline").toLocalIterator():
+        held.setdefault(bool(r.multiline), []).append(glob_escaped(r.path))
+    wanted = T.StructType([*schema.fields, T.StructField(RECORD, T.StringType())])
+    # Without column pruning every scan parses all cells, so rows and rejects agree on which records are broken.
+    reader = spark.read.schema(wanted).options(**CSV_OPTIONS, columnNameOfCorruptRecord=RECORD, columnPruning=False)
+    frames = [reader.option("multiLine", multiline).csv(paths) for multiline, paths in held.items()]
+    return reduce(DataFrame.unionByName, [
+        f.select(*schema.names, below(root, relative_path(metadata_path(), root)).alias("source_file"), RECORD) for f in frames])

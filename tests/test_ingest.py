@@ -287,6 +287,27 @@ def test_bulk_load_and_report(store, tmp_path, put):
     assert store.spark.read.json(str(tmp_path / "report")).head().found_rows == 2
 
 
+def test_bulk_load_keeps_rejects_and_files_apart(store, tmp_path, put):
+    """Misfits are counted and kept, a second load adds what is new only, and a revert takes a file's rejects along."""
+    put(tmp_path / "in" / "a.csv", "id,day\n1,2024-01-05\nx,2024-01-06\n3,2024-01-07,more\n4\n5,\n")
+    put(tmp_path / "in" / "b.csv", 'id,day\n"6",2024-01-08\n"7\n7",2024-01-09\n')
+    put(tmp_path / "in" / "sub" / "c.csv", "id,day\nnone,none\n")
+    schema, root = {"id": "BIGINT", "day": "DATE"}, str(tmp_path / "in")
+    assert store.load_csv("bulk", root, schema) == 3
+    assert [(r.id, str(r.day)) for r in store.read_table("bulk").orderBy("id").collect()] == [(1, "2024-01-05"), (5, "None"), (6, "2024-01-08")]
+    assert rows(store.rejects(), "source_file", "record") == [
+        (f"{root}/a.csv", "3,2024-01-07,more"), (f"{root}/a.csv", "4"), (f"{root}/a.csv", "x,2024-01-06"),
+        (f"{root}/b.csv", '"7\n7",2024-01-09'), (f"{root}/sub/c.csv", "none,none")]
+    assert rows(store.imports(), "source_file", "row_count") == [(f"{root}/a.csv", 2), (f"{root}/b.csv", 1), (f"{root}/sub/c.csv", 0)]
+    assert store.load_csv("bulk", root, schema) == 0
+    put(tmp_path / "in" / "d.csv", "id,day\n8,2024-01-10\n")
+    assert store.load_csv("bulk", root, schema) == 1 and store.read_table("bulk").count() == 4
+    store.revert("bulk", source_file=f"{root}/a.csv")
+    assert store.rejects().count() == 2 and rows(store.read_table("bulk"), "id") == [(6,), (8,)]
+    with pytest.raises(ValueError, match="no file"):
+        store.load_csv("bulk", str(tmp_path / "nowhere"), schema)
+
+
 def test_quoted_line_ends_and_quotes(store, tmp_path, put):
     root = tmp_path / "d"
     put(root / "t" / "a.csv", 'id,note\n1,"two\nlines, ""quoted"""\n2,plain\n')
