@@ -470,19 +470,38 @@ def test_two_runs_at_once_do_not_mix(store, tmp_path, put, monkeypatch):
     put(tmp_path / "one" / "t" / "a.csv", "id\n1\n")
     put(tmp_path / "two" / "t" / "b.csv", "id\nx\n")
     put(tmp_path / "other" / "u" / "c.csv", "id\n7\n")
+    put(tmp_path / "zero" / "t" / "z.csv", "id\n0\n")
+    ingest(store, str(tmp_path / "zero"), "csv", run="zero")
     write = Store.write_rows
 
     def interrupted(self, table, version, run, frame):
         monkeypatch.setattr(Store, "write_rows", write)
-        ingest(self, str(tmp_path / "other"), "csv", run="other")  # another table is in nobody's way
-        ingest(self, str(tmp_path / "two"), "csv", run="two")
+        ingest(self, str(tmp_path / "two"), "csv", run="two")  # the column becomes text, so version 2 begins
+        ingest(self, str(tmp_path / "other"), "csv", run="other")
         return write(self, table, version, run, frame)
 
     monkeypatch.setattr(Store, "write_rows", interrupted)
     with pytest.raises(ConcurrentCommit, match="run one is not committed: run two has changed t"):
         ingest(store, str(tmp_path / "one"), "csv", run="one")
-    assert rows(store.read_table("t"), "id") == [("x",)] and rows(store.imports(), "source_file") == [("t/b.csv",), ("u/c.csv",)]
+    assert rows(store.read_table("t"), "id") == [("0",), ("x",)]
+    assert rows(store.imports(), "source_file") == [("t/b.csv",), ("t/z.csv",), ("u/c.csv",)]
+    ingest(store, str(tmp_path / "one"), "csv", run="one")  # what it left under version 1 stays unseen
+    assert rows(store.read_table("t"), "id") == [("0",), ("1",), ("x",)]
+    assert rows(store.commits(), "version", "_run") == [(1, "zero"), (2, "two"), (3, "other"), (4, "one")]
+    assert sorted(store.table_versions("t")) == [1, 2]
+
+
+def test_a_run_on_another_table_is_in_nobodys_way(store, tmp_path, put, monkeypatch):
+    put(tmp_path / "one" / "t" / "a.csv", "id\n1\n")
+    put(tmp_path / "other" / "u" / "c.csv", "id\n7\n")
+    write = Store.write_rows
+
+    def interrupted(self, *args):
+        monkeypatch.setattr(Store, "write_rows", write)
+        ingest(self, str(tmp_path / "other"), "csv", run="other")
+        return write(self, *args)
+
+    monkeypatch.setattr(Store, "write_rows", interrupted)
     ingest(store, str(tmp_path / "one"), "csv", run="one")
-    assert rows(store.read_table("t"), "id") == [("1",), ("x",)]
-    assert rows(store.commits(), "version", "_run") == [(1, "other"), (2, "two"), (3, "one")]
-    assert sorted(store.table_versions("t")) == [1]
+    assert rows(store.commits(), "version", "_run") == [(1, "other"), (2, "one")]
+    assert rows(store.read_table("t"), "id") == [(1,)] and rows(store.read_table("u"), "id") == [(7,)]

@@ -46,7 +46,7 @@ def test_repeated_and_unfinished_runs(spark, tmp_path, put):
     assert store.imports().count() == 1 and store.read_table("t").count() == 1
     put(root / "t" / "b.csv", "id\n2\n")
 
-    def lost(run):
+    def lost(*_):
         raise OSError("driver lost")
 
     store.commit, real = lost, store.commit
