@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,26 +8,6 @@ from pyspark.sql import functions as F
 from folderloom.llm.line_dedup import chunks, deduplicate
 
 
-def brute(rows):
-    """By the chunks of each text alone: where bytes repeat, only the first stays."""
-    places = defaultdict(list)
-    for d, t in dict.fromkeys(rows):
-        raw = (t or "").encode()
-        for place, (_, b, e, _, eligible, _) in enumerate(chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))):
-            if eligible:
-                places[raw[b:e]].append((d is not None, d, place, t))
-    out = []
-    for d, t in rows:
-        raw = (t or "").encode()
-        kept, at = [], 0
-        for place, (_, b, e, _, eligible, _) in enumerate(chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))):
-            if eligible and len(places[raw[b:e]]) > 1 and min(places[raw[b:e]], key=lambda x: x[:3]) != (d is not None, d, place, t):
-                kept.append(raw[at:b])
-                at = min(e + 1, len(raw))
-        out.append((d, None if t is None else b"".join([*kept, raw[at:]]).decode()))
-    return sorted(out, key=str)
-
-
 def corpus():
     rng = random.Random(9)
     line = lambda n: " ".join("w%d" % rng.randrange(500) for _ in range(n))
@@ -48,7 +27,8 @@ def test_against_brute_force(docs):
     got = deduplicate(frame)
     assert got.columns == frame.columns
     got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
-    assert got == brute(rows)
+    want = {x[0]: x[1] for x in every_run([x for x in dict.fromkeys(rows) if x[1] is not None])}
+    assert got == sorted(((d, want.get(d)) for d, _ in rows), key=str)
     assert sum(len(t or "") for _, t in got[:-1]) < 0.9 * sum(len(t or "") for d, t in rows if d != 74) + len(rows[-1][1])
     assert deduplicate(docs([])).collect() == []
 
@@ -103,3 +83,28 @@ def test_runs_of_few_ordinary_lines_go_wherever_they_stand(docs):
     assert got == every_run(rows)
     texts = [t for _, t, _ in got]
     assert sum(passages[-5] in t for t in texts) == 1 and sum(passages[-2] in t for t in texts) > 1
+
+
+def marks(text):
+    raw = text.encode()
+    (_, first, last, _, boundary), (_, hashes), _ = chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return {(int(a), int(b)): int(hashes[k]) for a, b, k in zip(first, last, boundary, strict=True)}, len(hashes)
+
+
+def test_boundaries_follow_the_content_wherever_it_stands():
+    rng = random.Random(5)
+    line = lambda n: " ".join("u%d" % rng.randrange(10_000) for _ in range(n))
+    for words, most in (((12,), 1.0), ((1, 2, 3), 0.7)):
+        passage = [line(rng.choice(words)) for _ in range(40)]
+        here, n = marks("\n".join(passage))
+        assert n <= most * len(passage)
+        for before in (1, 2, 7):
+            there, _ = marks("\n".join([*[line(5) for _ in range(before)], *passage, line(4)]))
+            assert all(there[a + before, b + before] == h for (a, b), h in here.items())
+
+
+def test_a_run_that_most_documents_share(docs):
+    run = "one two three four five six\nseven eight nine ten eleven"
+    rows = [(k, f"own {k} text\n{run}\nend {k}") for k in range(400)]
+    got = {r.doc_id: r.text for r in deduplicate(docs(rows)).collect()}
+    assert got == {k: rows[0][1] if k == 0 else f"own {k} text\nend {k}" for k in range(400)}
