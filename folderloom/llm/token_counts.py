@@ -35,7 +35,7 @@ OVERLAP = 256
 #: Tokens on either side of a splice that must be alike; characters that a word's end may depend on beyond it.
 CONFIRM, AHEAD = 3, 16
 #: Texts given to the library in one call.
-BATCH = 64
+BATCH = 16
 
 
 class Tokens(NamedTuple):
