@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,21 +92,27 @@ def is_numeric(value: Column | str) -> Column:
     return F.when(c.rlike(_PLAIN), True).otherwise(F.nullif(_undecorated(c), F.lit("")).rlike(NUMBER_PATTERN))
 
 
+def _worked_out(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once per row, however often ``then`` names it.
+
+    A branch of a condition would work out a shared part each time. Spark also keeps projections with a lambda out of whole-stage
+    code, where cleaning several columns makes one method that is too large for the JVM to compile, and splits them into small ones.
+    """
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def as_double(value: Column | str) -> Column:
-    c = as_column(value)
-    written = F.regexp_substr(_undecorated(c), F.lit(CASTABLE_PATTERN))
-    return F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(written.try_cast("double"))
+    bare = lambda b: F.when(b.rlike(CASTABLE_PATTERN), b.try_cast("double"))
+    return _worked_out(as_column(value), lambda c: F.when(c.rlike(_PLAIN), c.try_cast("double")).otherwise(
+        _worked_out(_undecorated(c), bare)))
 
 
 def as_bigint(value: Column | str) -> Column:
     """Whole numbers exactly; fractions cut toward zero; anything else null."""
-    c = as_column(value)
-    bare = _undecorated(c)
-    return (
-        F.when(c.rlike(_WHOLE), c.try_cast("bigint"))
-        .when(bare.rlike(_WHOLE), bare.try_cast("bigint"))
-        .otherwise(F.regexp_substr(bare, F.lit(CASTABLE_PATTERN)).try_cast("double").try_cast("bigint"))
-    )
+    bare = lambda b: F.when(b.rlike(_WHOLE), b.try_cast("bigint")).when(
+        b.rlike(CASTABLE_PATTERN), b.try_cast("double").try_cast("bigint"))
+    return _worked_out(as_column(value), lambda c: F.when(c.rlike(_WHOLE), c.try_cast("bigint")).otherwise(
+        _worked_out(_undecorated(c), bare)))
 
 
 def as_boolean(value: Column | str) -> Column:
@@ -126,26 +134,25 @@ def nan_text_to_null(value: Column | str) -> Column:
     return F.when(~c.isin("nan", "None"), c)
 
 
-def _iso_texts(c: Column) -> tuple[Column, ...]:
-    """ISO forms of a recognised date with its time, to be tried in order; null where the shape is another.
+def _recognised(c: Column, kind: str) -> Column:
+    """A date with its time, cast from its ISO form. No text has two of the shapes, so the first that fits decides.
 
     A slashed date is month first; day first where that is no date, that is when the month is over 12.
     """
-    year_first = F.when(c.rlike(_YEAR_FIRST), F.translate(c, "/" + WHITESPACE.replace(" ", ""), "-"))
     month = F.lower(F.substring(F.regexp_extract(c, _WORDED, 2), 1, 3))
     at = F.instr(F.lit(_MONTHS), month)
     month_no = F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3).cast("string"))
-    worded = F.when(c.rlike(_WORDED), F.concat(F.regexp_replace(c, _WORDED, "$3-"), month_no,
-                                               F.regexp_replace(c, _WORDED, "-$1$4")))
-    slashed = [F.when(c.rlike(pattern), F.regexp_replace(c, pattern, form))
-               for pattern, century in ((_SLASHED, ""), (_SLASHED_SHORT, "20"))
-               for form in (f"{century}$3-$1-$2$4", f"{century}$3-$2-$1$4")]
-    return (year_first, *slashed, worded)
+    worded = F.concat(F.regexp_replace(c, _WORDED, "$3-"), month_no, F.regexp_replace(c, _WORDED, "-$1$4"))
+    out = F.when(c.rlike(_YEAR_FIRST), F.translate(c, "/" + WHITESPACE.replace(" ", ""), "-").try_cast(kind))
+    for pattern, century in ((_SLASHED, ""), (_SLASHED_SHORT, "20")):
+        out = out.when(c.rlike(pattern), F.coalesce(*[
+            F.regexp_replace(c, pattern, form).try_cast(kind) for form in (f"{century}$3-$1-$2$4", f"{century}$3-$2-$1$4")]))
+    return out.when(c.rlike(_WORDED), worded.try_cast(kind))
 
 
-def _first_cast(c: Column, kind: str) -> Column:
-    parsed = F.coalesce(*[text.try_cast(kind) for text in _iso_texts(c)])
-    return F.when(F.contains(c, F.lit("-")) | F.contains(c, F.lit("/")), parsed)
+def _first_cast(value: Column, kind: str) -> Column:
+    return _worked_out(value, lambda c: F.when(
+        F.contains(c, F.lit("-")) | F.contains(c, F.lit("/")), _recognised(c, kind)))
 
 
 def as_date(value: Column | str) -> Column:

@@ -172,3 +172,18 @@ def test_fixture_type_pairs():
     assert sqltypes.resolve("INTEGER", "TEXT", "pairs") == "TEXT"
     assert sqltypes.resolve("BIGINT", "INTEGER", "chain") == "TEXT"
     assert sqltypes.resolve("BIGINT", "INTEGER") == "BIGINT"
+
+
+def test_cleaning_works_out_each_part_once(spark):
+    one = spark.createDataFrame([("1",)], "v string")
+    plan = lambda out: one.select(out.alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(values.as_double("v")).count("translate(") == 1
+    assert plan(values.as_bigint("v")).count("translate(") == 1
+    assert plan(values.as_date("v")).count("RLIKE") == 4  # one for each shape
+    assert apply(spark, values.as_double, ["$1,200.50", " 7 %", "+.5", "1e3", "x", "", None, "12\n", "inf"]) == [
+        1200.5, 7.0, 0.5, 1000.0, None, None, None, 12.0, float("inf")]
+    assert apply(spark, values.as_bigint, ["17.7", " 9 ", "$1,000", "9" * 20, "x", None, "-3", "1e3"]) == [
+        17, 9, 1000, None, None, None, -3, 1000]
+    day = datetime.date(1999, 12, 31)
+    assert apply(spark, values.as_date, ["12/31/1999", "31/12/1999", "12/31/99", "1999/12/31 10:00", "31-Dec-1999", "31-Foo-1999", "x", None]) == [
+        day, day, datetime.date(2099, 12, 31), day, day, None, None, None]
