@@ -36,3 +36,26 @@ def test_a_table_reads_its_own_part_of_what_is_staged(spark):
     assert {f.split("table_name=")[1].split("/")[0] for f in staged.inputFiles()} == {"t0", "t1", "t2", "t3"}
     plan = staged.filter("table_name = 't1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(table_name" in plan
+
+
+def test_a_sheet_is_read_without_work_for_every_element(monkeypatch):
+    rows = [["Id", "Price", "Text", "None"], *[[k, k / 4, f"<{k}>", None] for k in range(1200)]]
+    content, calls, cut = workbook.workbook_bytes({"S": rows}), [], workbook._local
+    monkeypatch.setattr(workbook, "_local", lambda tag: calls.append(tag) or cut(tag))
+    blocks = list(workbook._blocks("f", content))
+    assert [(b[2], len(b[4])) for b in blocks] == [(2, 500), (502, 500), (1002, 200)]
+    assert blocks[0][3] == rows[0] and blocks[2][4][-1] == ["1199", "299.75", "<1199>", None]
+    assert len(calls) < 100
+
+
+def test_rows_before_a_fault_are_read(spark):
+    body = "".join(f'<row r="{r}"><c><v>{r}</v></c></row>' for r in range(1, 4001))
+    import io
+    got = []
+    rows = workbook._sheet_rows(io.BytesIO(f"<worksheet><sheetData>{body}<row></sheetData>".encode()), [], set(), False)
+    try:
+        for row in rows:
+            got.append(row)
+    except workbook.ElementTree.ParseError:
+        got.append("fault")
+    assert got == [*[(r, [str(r)]) for r in range(1, 4001)], "fault"]
