@@ -85,10 +85,10 @@ def infer_schema(df: DataFrame, by: Sequence[str], columns: Sequence[str], compa
 
 
 def with_empty_columns(inferred: DataFrame, headers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the header columns that hold no value at all, as TEXT."""
-    types = inferred.select(*keys, "sql_type")
-    empty = headers.select(*keys).distinct().join(types, list(keys), "left_anti")
-    return types.unionByName(empty.withColumn("sql_type", F.lit("TEXT")))
+    """Add the header columns that hold no value at all, as TEXT. One join, so that the values are gone through once."""
+    types = inferred.select(*keys, "sql_type", F.lit(True).alias("_held"))
+    return types.join(headers.select(*keys).distinct(), list(keys), "full").select(
+        *keys, F.when(F.col("_held"), F.col("sql_type")).otherwise("TEXT").alias("sql_type"))
 
 
 def infer_majority(cell_rows: DataFrame, by: Sequence[str], totals: DataFrame | None = None) -> DataFrame:

@@ -152,7 +152,8 @@ def scan_contents(spark: SparkSession, contents: DataFrame, candidates: DataFram
         "table_name", "source_file", "sheet", "first_row", "header", "rows", "names"), "used", by=["table_name"])
     has_header = F.exists("header", lambda h: h.isNotNull())
     has_rows = F.exists("rows", lambda r: F.exists(r, lambda v: v.isNotNull()))
-    held = used.groupBy("table_name", "source_file").agg(F.bool_or(has_header & has_rows).alias("_any"))
+    # Staged, as it is used three times and has a row per file, where the rows of all files would be read again each time.
+    held = stage.keep(used.groupBy("table_name", "source_file").agg(F.bool_or(has_header & has_rows).alias("_any")), "held")
     empty = problem(held.groupBy("source_file").agg(F.bool_or("_any").alias("_any")).filter("NOT _any"), "skipped", "Empty data")
     # Headers only: as many rows as files have columns.
     heads = stage.keep(used.filter(has_header).join(held.filter("_any"), ["table_name", "source_file"], "left_semi").select(

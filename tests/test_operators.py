@@ -217,3 +217,14 @@ def test_broadcast_is_marked_only_when_small(spark):
     plan = lambda rows_: joins.broadcast_if_small(spark.range(10), rows_)._jdf.queryExecution().logical().toString()
     assert "ResolvedHint" in plan(10) or "UnresolvedHint" in plan(10)
     assert "Hint" not in plan(9)
+
+
+def test_empty_columns_are_added_in_one_pass(spark):
+    from folderloom.operators import inference
+
+    keys = ["t", "c"]
+    types = spark.range(2).selectExpr("'t' AS t", "concat('c', id) AS c", "'DATE' AS sql_type")
+    headers = spark.createDataFrame([("t", "c0"), ("t", "x"), ("t", "x"), ("u", "c1")], "t string, c string")
+    out = inference.with_empty_columns(types, headers, keys)
+    assert sorted(map(tuple, out.collect())) == [("t", "c0", "DATE"), ("t", "c1", "DATE"), ("t", "x", "TEXT"), ("u", "c1", "TEXT")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
