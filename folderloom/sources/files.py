@@ -60,7 +60,8 @@ def metadata_path() -> Column:
 
 
 def binary_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    with listed_in_bulk(spark):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
 
 
 def _described(root: str) -> list[Column]:
@@ -156,11 +157,19 @@ def _any_case(extensions) -> str:
     return "*{%s}" % ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
 
 
-@contextmanager
 def _unsplit(spark: SparkSession, largest: int, total: int):
     """Scans planned inside read each file as one split: none is smaller than the largest file, and as many are made as that allows."""
     least = max(1, min(spark.sparkContext.defaultParallelism, total // max(largest, 1)))
-    wanted = {"spark.sql.files.maxPartitionBytes": str(max(largest, 1 << 27)), "spark.sql.files.minPartitionNum": str(least)}
+    return _settings(spark, {"spark.sql.files.maxPartitionBytes": str(max(largest, 1 << 27)), "spark.sql.files.minPartitionNum": str(least)})
+
+
+def listed_in_bulk(spark: SparkSession):
+    """Files and folders that reads begun inside list go to the tasks in bulk; by itself Spark makes a task for each, up to 10,000."""
+    return _settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(2 * spark.sparkContext.defaultParallelism)})
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
     before = {name: spark.conf.get(name, None) for name in wanted}
     try:
         for name, value in wanted.items():

@@ -131,3 +131,15 @@ def test_relative_paths(spark):
     assert got("s3a://bucket/in/t/f.csv", "s3a://bucket/in") == "t/f.csv"
     assert got("s3a://bucket/t/f.csv", "s3a://bucket/") == "t/f.csv"
     assert got("file:/home/me/in/t/in/f.csv", "in") == "t/in/f.csv"
+
+
+def test_many_files_are_listed_in_bulk(spark, tmp_path, put):
+    paths = [str(put(tmp_path / "r" / f"{k}.csv", f"{k}") or tmp_path / "r" / f"{k}.csv") for k in range(60)]
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    found = files.binary_files(spark, paths)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    context.setJobGroup("", "")
+    assert max(tasks) <= 2 * context.defaultParallelism
+    assert sorted(r.content.decode() for r in found.select("content").collect()) == sorted(map(str, range(60)))
