@@ -8,14 +8,17 @@ square root of what separate tables would cost. Two documents of similarity s sh
 1. Equal sets are one class, named by its smallest doc_id; only classes go on, so exact copies make no pairs.
 2. A key can join classes only if its a_i and its b_j each have two. Values that one class alone has are dropped before
    pairs are formed: nothing is lost, and most keys of a clean corpus are never made.
-3. Buckets with the same members in several tables count once. First every bucket of the tables (a_i, b_i) compares its
-   members with one hub, then every bucket that still has members of two components does so, ``HUBS`` times with another hub.
+3. A class is in up to ROWS tables of each of its a_i. A value of an a_i whose members mostly share their b_j too, as those of a
+   group of near copies do, would repeat them in all of these, so its classes stay one bucket where that is less work: each is
+   in it once, and pairs that share the a_i alone are compared as well. The other values are split into their tables.
+4. Buckets with the same members count once. First every bucket of the tables (a_i, b_i) compares its members with one
+   hub, then every bucket that still has members of two components does so, ``HUBS`` times with another hub.
    So no group emits all its pairs unless none of them link. Between rounds a class is one row with its open keys.
-4. Then all remaining pairs of different components meet in their buckets, the largest component of each bucket on one side
+5. Then all remaining pairs of different components meet in their buckets, the largest component of each bucket on one side
    only. A pair leaves the join only if it can link by its sizes and by its odd sketches: bit k of a sketch tells whether an odd
    number of members hash to k, so two sketches differ in at most as many bits as the sets differ in members. A pair with too
    many differing bits cannot link: the sketch never loses a link, and there is no cap.
-5. What is left is verified on full sets.
+6. What is left is verified on full sets.
 
 Edge cases: null text, or one without words, has an empty set and links with nothing; fewer words than ``n`` make one
 shingle; rows that share a doc_id count as one document with the links of all; a row without doc_id links with nothing and
@@ -36,6 +39,8 @@ from folderloom.plans.staging import Stage
 ROWS, WIDTH = 12, 3
 #: Rounds of one hub in every open bucket. They only save work: the pairs that they leave are all compared after them.
 HUBS = 3
+#: Pairs that may be compared to save one row of a bucket, which is shuffled in every round.
+ROW = 16
 #: 64-bit words of an odd sketch.
 WORDS = 16
 PERCENT = 80
@@ -133,6 +138,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return some.where(both * (100 + percent) >= percent * (F.size("_left") + F.size("_right"))).select("a", "b")
 
 
+def _placed(left: DataFrame, rows: int, stage: Stage) -> DataFrame:
+    """(key, class, n, first, later, _n): the members of each bucket of two or more, of those with the same members one.
+
+    A value of an a_i is one bucket, or split into tables by the values of its members' b_j, whichever is less work. Its
+    table (a_i, b_i) is a bucket in either case; ``first`` marks these, ``later`` those in which all pairs meet in the end.
+    """
+    same = F.sum(F.shiftright(F.xxhash64(F.lit("sum"), "class"), 16)).alias("_sum"), F.min("class").alias("_least")
+    whole = left.select("class", "n", F.explode("a").alias("_a"), "b").select("class", "n", "_a.at", "_a.value", "b")
+    cut = F.transform("b", lambda b: F.struct(F.xxhash64("value", b["value"]).alias("key"), (F.col("at") + rows == b["at"]).alias("first")))
+    parts = whole.select("class", "value", F.inline(cut)).groupBy("value", "key").agg(
+        F.count("*").alias("_n"), *same, F.bool_or("first").alias("first")).where("_n > 1")
+    parts = stage.keep(parts, "parts")
+    # A value whose members share no b_j has no part, and no work.
+    work = parts.groupBy("value").agg(F.sum(F.col("_n") * (F.col("_n") + ROW)).alias("_work"))
+    values = whole.groupBy("value").agg(F.count("*").alias("_n"), *same).join(work.hint("merge"), "value")
+    values = stage.keep(values.withColumn("split", F.col("_work") < F.col("_n") * (F.col("_n") + ROW)), "values")
+    key = F.xxhash64("value").alias("key")
+    buckets = parts.join(values.select("value", "split").hint("merge"), "value").where("split OR first")
+    buckets = buckets.withColumnRenamed("split", "later").drop("value").unionByName(
+        values.where("NOT split").select(key, "_n", "_sum", "_least", F.lit(False).alias("first"), F.lit(True).alias("later")))
+    buckets = buckets.groupBy("_n", "_sum", "_least").agg(
+        F.min("key").alias("key"), F.bool_or("first").alias("first"), F.bool_or("later").alias("later"))
+    members = whole.join(values.select("value", "split").hint("merge"), "value")
+    keys = F.when(F.col("split"), cut["key"]).otherwise(F.concat(F.filter(cut, lambda c: c["first"])["key"], F.array(key)))
+    members = members.select("class", "n", F.explode(keys).alias("key"))
+    return members.join(buckets.select("key", "first", "later", "_n").hint("merge"), "key")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = PERCENT,
                     rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (is it that one)."""
@@ -152,14 +185,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     value = F.struct("at", "value")
     left = live.join(shared.hint("merge"), "value").groupBy("class", "n").agg(
         F.collect_list(F.when(F.col("at") < rows, value)).alias("a"), F.collect_list(F.when(F.col("at") >= rows, value)).alias("b"))
-    members = left.select("class", "n", F.explode("a").alias("_a"), "b").select("class", "n", "_a", F.explode("b").alias("_b"))
-    members = stage.keep(members.select("class", "n", F.xxhash64("_a.value", "_b.value").alias("key"),
-                                        (F.col("_a.at") + rows == F.col("_b.at")).alias("_first")), "members")
-    buckets = members.groupBy("key").agg(
-        F.count("*").alias("_n"), F.sum(F.shiftright(F.xxhash64(F.lit("sum"), "class"), 16)).alias("_sum"),
-        F.min("class").alias("_least"), F.bool_or("_first").alias("first")).where("_n > 1")
-    buckets = buckets.groupBy("_n", "_sum", "_least").agg(F.min("key").alias("key"), F.bool_or("first").alias("first"))
-    active = stage.keep(members.select("key", "class", "n").join(buckets.select("key", "first", "_n").hint("merge"), "key"), "active-0")
+    left = stage.keep(left.where((F.size("a") > 0) & (F.size("b") > 0)), "left")
+    active = stage.keep(_placed(left, rows, stage), "active-0")
     # Full sets are made again from the texts, for the classes that have a candidate only.
     wanted = classes.select("class", "owner", "print", "n").join(active.select("class").distinct().hint("merge"), "class", "left_semi")
     wanted = stage.keep(wanted, "wanted")
@@ -168,15 +195,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted.hint("merge").alias("w"), (F.col("s._id") == F.col("w.owner")) & (F.col("s.print") == F.col("w.print")))
     sets = stage.keep(again.select("class", F.col("w.n").alias("n"), "shingles", "odd").dropDuplicates(["class"]), "sets")
     # From here on a class is one row with its keys, so that labels and sketches are fetched once per class, not once per bucket.
-    held = F.collect_list(F.struct("key", "first")).alias("keys")
+    held = F.collect_list(F.struct("key", "first", "later")).alias("keys")
     nodes = active.groupBy("class", "n").agg(held, F.sum("_n").alias("weight")).join(sets.select("class", "odd").hint("merge"), "class")
     nodes = stage.keep(nodes.withColumn("comp", F.col("class")), "nodes-0")
     links, labels = None, None
     for turn in range(HUBS + 2):
-        placed = nodes.select("class", "n", "comp", "weight", *["odd"] * (turn > 0), F.explode("keys").alias("_k"))
-        placed = placed.withColumns({"key": F.col("_k.key"), "first": F.col("_k.first")}).drop("_k")
-        if turn == 0:  # the diagonal tables alone: most of a group joins there, and the other tables meet what is left of it
-            placed = placed.where("first")
+        placed = nodes.select("class", "n", "comp", "weight", *["odd"] * (turn > 0), F.inline("keys"))
+        # At first the diagonal tables alone: most of a group joins there, and the other buckets meet what is left of it.
+        placed = placed.where("later" if turn else "first")
         # A bucket is open while it has members of two components.
         # The hub is the member that shares most buckets with others, as the middle of a group does; later ones are drawn by that.
         drawn = F.xxhash64(F.lit(turn), "class")

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folderloom.llm.components import components
-from folderloom.llm.near_dedup import _odd, near_duplicates
+from folderloom.llm.near_dedup import ROWS, _odd, _placed, near_duplicates
 from folderloom.plans.staging import Stage
 
 
@@ -114,3 +114,52 @@ def test_a_large_group_of_near_copies(docs):
     rows += corpus(3, [1] * 60)
     rows = list({d: (d, t) for d, t in rows}.values())
     assert sorted(map(tuple, near_duplicates(docs(rows), n=5).collect()), key=str) == brute(rows, 5)
+
+
+def apart(seed, size):
+    """Near copies of one text, most of which share many keys and do not link."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(size):
+        copy = ["b%d" % w for w in range(200)]
+        for at in rng.sample(range(200), 5):
+            copy[at] = "e%d" % rng.randrange(5000)
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+def test_rows_of_a_group_follow_its_size(docs, monkeypatch):
+    kept, keep = {}, Stage.keep
+
+    def counted(self, df, name, by=()):
+        out = keep(self, df, name, by)
+        if name.startswith(("active-", "open-")):
+            kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stage, "keep", counted)
+    rows = apart(5, 150)
+    assert sorted(map(tuple, near_duplicates(docs(rows), n=5).collect()), key=str) == brute(rows, 5)
+    assert kept["active-0"] <= 2 * ROWS * len(rows)
+    assert all(v <= ROWS * len(rows) for k, v in kept.items() if k.startswith("open-"))
+
+
+def test_pairs_that_share_a_key_meet(spark):
+    rng = random.Random(2)
+    a = {k: [rng.choice([0, 0, 1, k // 2 + 2]) * 10 + at for at in range(3)] for k in range(120)}
+    b = {k: [(7 if a[k][0] == 10 else k // 3) * 1000 + 500 + at for at in range(3)] for k in range(120)}
+    named = "class long, n long, a array<struct<at:int,value:long>>, b array<struct<at:int,value:long>>"
+    left = spark.createDataFrame([(k, 10, list(enumerate(a[k])), [(3 + at, v) for at, v in enumerate(b[k])]) for k in a], named)
+    stage = Stage(spark)
+    placed = _placed(left, 3, stage).collect()
+    assert {r.split for r in spark.read.parquet(f"{stage.root}/values").collect()} == {True, False}
+    met = {}
+    for kind in ("first", "later"):
+        at_key = {}
+        for r in placed:
+            if r[kind]:
+                at_key.setdefault(r.key, []).append(r["class"])
+        met[kind] = {(x, y) for some in at_key.values() for x in some for y in some if x < y}
+    pairs = [(x, y) for x in a for y in a if x < y]
+    assert met["later"] >= {(x, y) for x, y in pairs if set(a[x]) & set(a[y]) and set(b[x]) & set(b[y])}
+    assert met["first"] >= {(x, y) for x, y in pairs if any(a[x][k] == a[y][k] and b[x][k] == b[y][k] for k in range(3))}
